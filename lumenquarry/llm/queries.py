@@ -7,12 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cutoff, format_copies, splitting
+from . import cutoff, format_copies, near_groups, split_overlap, splitting
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _split_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_overlap.split_records(table(spark, sf_dir, "vqa_samples"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = split_overlap.pairs(_split_records(spark, sf_dir))
+    return found.select(
+        F.least("train_id", "eval_id").alias("sample_id_lo"), F.greatest("train_id", "eval_id").alias("sample_id_hi")
+    )
+
+
+def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_overlap.report(_split_records(spark, sf_dir))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return splitting.pieces(docs).filter(F.size("pieces") > 1).select("doc_id")
@@ -46,8 +61,16 @@ def p5_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_copies.collapsed(_records(spark, sf_dir)).select("kept_id", "n_copies")
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups.document_pairs(table(spark, sf_dir, "documents"))
+
+
+def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups.document_groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (p2_found, p2_pieces, p4_found, p4_cutoffs, p5_found, p5_collapsed)
+    f.__name__: f for f in (p1_found, p1_report, p2_found, p2_pieces, p4_found, p4_cutoffs, p5_found, p5_collapsed, p6_found, p6_groups)
 }
 
 _RECORDS = r"""
