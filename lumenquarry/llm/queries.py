@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cutoff, format_copies, near_groups, split_overlap, splitting
+from . import cutoff, eval_leaks, format_copies, near_groups, split_overlap, splitting
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,8 +69,24 @@ def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups.document_groups(table(spark, sf_dir, "documents"))
 
 
+def _leak_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return eval_leaks.leaks(*_leak_tables(spark, sf_dir))
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return eval_leaks.leak_report(*_leak_tables(spark, sf_dir))
+
+
+def p8_paraphrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return eval_leaks.paraphrases(*_leak_tables(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (p1_found, p1_report, p2_found, p2_pieces, p4_found, p4_cutoffs, p5_found, p5_collapsed, p6_found, p6_groups)
+    f.__name__: f for f in (p1_found, p1_report, p2_found, p2_pieces, p4_found, p4_cutoffs, p5_found, p5_collapsed, p6_found, p6_groups, p8_found, p8_report, p8_paraphrases)
 }
 
 _RECORDS = r"""

@@ -55,14 +55,21 @@ def pieces(docs: DataFrame, max_words: int = MAX_WORDS, overlap: int = OVERLAP)
     unit = rf"^[{SPACE}]*+(?:[^{SPACE}]{{1,{MAX_RUN}}}+[{SPACE}]*+){{0,{overlap}}}"
     tail = lambda before: F.reverse(F.regexp_extract(F.reverse(before), unit, 0))
     whole = F.array(F.struct(F.lit("").alias("overlap_text"), text.alias("new_text")))
-    parts = F.transform(
-        F.sequence(F.lit(1), F.size(cores)),
-        lambda i: F.struct(
-            F.when(i == 1, "")
-            .otherwise(tail(F.concat(F.coalesce(F.get(cores, i - 3), F.lit("")), F.coalesce(F.get(cores, i - 2), F.lit("")))))
-            .alias("overlap_text"),
-            F.element_at(cores, i.cast("int")).alias("new_text"),
+    # The array is bound to a lambda variable, else every element would walk the text again.
+    parts = F.element_at(
+        F.transform(
+            F.array(cores),
+            lambda c: F.transform(
+                c,
+                lambda new, i: F.struct(
+                    F.when(i == 0, "")
+                    .otherwise(tail(F.concat(F.coalesce(F.get(c, i - 2), F.lit("")), F.coalesce(F.get(c, i - 1), F.lit("")))))
+                    .alias("overlap_text"),
+                    new.alias("new_text"),
+                ),
+            ),
         ),
+        1,
     )
     count = n_words(F.col("text"))
     none = F.array().cast("array<struct<overlap_text:string,new_text:string>>")
