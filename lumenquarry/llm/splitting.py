@@ -19,14 +19,34 @@ MAX_WORDS, OVERLAP = 300, 40
 MAX_RUN = 4000
 
 
+#: The same for texts of ASCII alone, for which Java has a fast path.
+ASCII_SPACE = r"\t\n\x0b\f\r\x1c-\x1f "
+
+
+def _by_charset(text: Column, make) -> Column:
+    """``make(space)`` with the space class that the text needs."""
+    return F.when(F.length(text) == F.octet_length(text), make(ASCII_SPACE)).otherwise(make(SPACE))
+
+
 def n_words(text: Column) -> Column:
     """Number of maximal runs of non-whitespace; 0 for null."""
-    gaps = F.regexp_replace(F.coalesce(text, F.lit("")), rf"[^{SPACE}]+[{SPACE}]*", "\u0001")
-    return F.length(gaps) - F.length(F.regexp_extract(gaps, rf"^[{SPACE}]*", 0))
+    text = F.coalesce(text, F.lit(""))
+
+    def count(space: str) -> Column:
+        marks = F.regexp_replace(text, rf"[^{space}]++[{space}]*+", "\u0001")
+        return F.length(marks) - F.length(F.regexp_extract(marks, rf"^[{space}]*", 0))
 
+    return _by_charset(text, count)
 
-def piece_pattern(new_words: int, max_run: int = MAX_RUN) -> str:
-    unit = rf"(?:[^{SPACE}]{{1,{max_run}}}+[{SPACE}]*+)"
+
+def longer_than(text: Column, words: int) -> Column:
+    """Whether a text has more words; reads no further than it must."""
+    rule = lambda space: text.rlike(rf"\A[{space}]*+(?:[^{space}]++[{space}]++){{{words}}}[^{space}]")
+    return (F.length(text) > 2 * words) & _by_charset(text, rule)
+
+
+def piece_pattern(new_words: int, space: str = SPACE, max_run: int = MAX_RUN) -> str:
+    unit = rf"(?:[^{space}]{{1,{max_run}}}+[{space}]*+)"
     least = max(1, new_words // 2)
     ends = [
         r"(?<=\n[ \t\r]{0,4}\n[ \t\r\n]{0,4})",  # paragraph
@@ -51,7 +71,9 @@ def pieces(docs: DataFrame, max_words: int = MAX_WORDS, overlap: int = OVERLAP)
     if not 0 <= overlap < max_words:
         raise ValueError("overlap must be at least 0 and below max_words")
     text = F.regexp_replace(F.coalesce("text", F.lit("")), rf"^[{SPACE}]+", "")
-    cores = F.regexp_extract_all(text, F.lit(piece_pattern(max_words - overlap)), F.lit(0))
+    cores = _by_charset(
+        text, lambda space: F.regexp_extract_all(text, F.lit(piece_pattern(max_words - overlap, space)), F.lit(0))
+    )
     unit = rf"^[{SPACE}]*+(?:[^{SPACE}]{{1,{MAX_RUN}}}+[{SPACE}]*+){{0,{overlap}}}"
     tail = lambda before: F.reverse(F.regexp_extract(F.reverse(before), unit, 0))
     whole = F.array(F.struct(F.lit("").alias("overlap_text"), text.alias("new_text")))
@@ -71,10 +93,9 @@ def pieces(docs: DataFrame, max_words: int = MAX_WORDS, overlap: int = OVERLAP)
         ),
         1,
     )
-    count = n_words(F.col("text"))
     none = F.array().cast("array<struct<overlap_text:string,new_text:string>>")
     return docs.withColumn(
-        "pieces", F.when(count > max_words, parts).when(count > 0, whole).otherwise(none)
+        "pieces", F.when(longer_than(F.col("text"), max_words), parts).when(text != "", whole).otherwise(none)
     )
 
 
