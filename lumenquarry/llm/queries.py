@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cutoff, eval_leaks, format_copies, near_groups, split_overlap, splitting
+from . import cutoff, eval_leaks, format_copies, near_groups, packing, reply_defects, split_overlap, splitting
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,18 @@ def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.exploded(table(spark, sf_dir, "documents"))
 
 
+def _replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reply_defects.replies(table(spark, sf_dir, "vqa_samples"), table(spark, sf_dir, "per_sample_results"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reply_defects.defects(_replies(spark, sf_dir))
+
+
+def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reply_defects.report(_replies(spark, sf_dir))
+
+
 def _scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return cutoff.scored_results(table(spark, sf_dir, "per_sample_results")), table(spark, sf_dir, "keep_targets")
 
@@ -69,6 +81,14 @@ def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups.document_groups(table(spark, sf_dir, "documents"))
 
 
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
+def p7_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.usage(table(spark, sf_dir, "documents"))
+
+
 def _leak_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")
 
@@ -86,7 +106,7 @@ def p8_paraphrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (p1_found, p1_report, p2_found, p2_pieces, p4_found, p4_cutoffs, p5_found, p5_collapsed, p6_found, p6_groups, p8_found, p8_report, p8_paraphrases)
+    f.__name__: f for f in (p1_found, p1_report, p2_found, p2_pieces, p3_found, p3_report, p4_found, p4_cutoffs, p5_found, p5_collapsed, p6_found, p6_groups, p7_containers, p7_usage, p8_found, p8_report, p8_paraphrases)
 }
 
 _RECORDS = r"""
