@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cutoff, eval_leaks, format_copies, near_groups, packing, reply_defects, split_overlap, splitting
+from . import cutoff, eval_leaks, format_copies, near_groups, packing, reply_defects, split_overlap, splitting, subjects
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -105,8 +105,20 @@ def p8_paraphrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return eval_leaks.paraphrases(*_leak_tables(spark, sf_dir))
 
 
+def _subject_tables(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    return [table(spark, sf_dir, t) for t in ("documents", "subject_labels", "subject_areas", "eval_items")]
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.document_subjects(*_subject_tables(spark, sf_dir)).select("doc_id", "subject").distinct()
+
+
+def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.composition(*_subject_tables(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (p1_found, p1_report, p2_found, p2_pieces, p3_found, p3_report, p4_found, p4_cutoffs, p5_found, p5_collapsed, p6_found, p6_groups, p7_containers, p7_usage, p8_found, p8_report, p8_paraphrases)
+    f.__name__: f for f in (p1_found, p1_report, p2_found, p2_pieces, p3_found, p3_report, p4_found, p4_cutoffs, p5_found, p5_collapsed, p6_found, p6_groups, p7_containers, p7_usage, p8_found, p8_report, p8_paraphrases, p9_found, p9_composition)
 }
 
 _RECORDS = r"""

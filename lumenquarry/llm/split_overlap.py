@@ -177,16 +177,21 @@ class BackwardIndex:
 
     def __init__(self, entries: list[np.ndarray]):
         sizes = np.array([len(e) + 1 for e in entries])
-        text = np.concatenate([np.append(e, np.uint64(0)) for e in entries])
-        self.alphabet, rank = np.unique(text, return_inverse=True)
-        n, longest = len(text), int(sizes.max())
+        words = np.concatenate(entries)
+        self.alphabet, of_word = np.unique(words, return_inverse=True)
+        n, longest, self.ends = int(sizes.sum()), int(sizes.max()), len(entries)
         self.n = n
-        order, width = rank.astype(np.int64), 1
-        while width < longest:  # prefix doubling; no pattern reaches over an entry's end
+        # Each entry ends with a sign of its own, so that all suffixes differ and their order is total.
+        end = np.zeros(n, bool)
+        end[np.cumsum(sizes) - 1] = True
+        rank = np.empty(n, np.int64)
+        rank[end] = np.arange(self.ends)
+        rank[~end] = of_word + self.ends
+        order, width = rank, 1
+        while width < longest:  # prefix doubling
             after = np.zeros(n, np.int64)
             after[:-width] = order[width:] + 1
-            pair = order * (n + 2) + after
-            order = np.unique(pair, return_inverse=True)[1]
+            order = np.unique(order * (n + self.ends + 2) + after, return_inverse=True)[1]
             if order.max() == n - 1:
                 break
             width *= 2
@@ -194,7 +199,6 @@ class BackwardIndex:
         bwt = rank[suffixes - 1].astype(np.int64)
         at = np.argsort(bwt, kind="stable")
         self.occ = bwt[at] * (n + 1) + at
-        self.lf = None
         self.bwt = bwt.astype(np.int32)
         self.marked = suffixes % SAMPLE == 0
         self.kept = suffixes[self.marked]
@@ -204,7 +208,7 @@ class BackwardIndex:
     def symbol(self, values: np.ndarray) -> np.ndarray:
         """Ranks in the alphabet, -1 for unknown symbols."""
         i = np.minimum(np.searchsorted(self.alphabet, values), len(self.alphabet) - 1)
-        return np.where(self.alphabet[i] == values, i, -1).astype(np.int64)
+        return np.where(self.alphabet[i] == values, i + self.ends, -1).astype(np.int64)
 
     def extend(self, symbol, lo, hi):
         """The interval of the pattern with one more symbol to its left."""
