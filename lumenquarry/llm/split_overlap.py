@@ -20,6 +20,7 @@ one class in all of this and expand to their sample_ids at the end.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,10 +33,11 @@ from .shared import WORD, cut
 
 #: Similarity of the words of two questions, as a fraction.
 NUM, DEN = 7, 10
-#: Cells of the count sketch and bits of the key filter, as powers of two: their sizes never grow.
-SKETCH_BITS, FILTER_BITS = 18, 25
+#: Cells of the count sketch as a power of two. The key filter has about FILTER_ROOM bits a key,
+#: but never more than 2 ** FILTER_MOST (32 MB); beyond, it lets more through, never less.
+SKETCH_BITS, FILTER_ROOM, FILTER_LEAST, FILTER_MOST = 18, 16, 20, 28
 #: Entries of an index shard, and of one key before it is spread over several shards.
-SHARD_ENTRIES, KEY_ENTRIES = 200_000, 50_000
+SHARD_ENTRIES, KEY_ENTRIES = 20_000, 10_000
 #: Every so many positions of the suffix array are kept.
 SAMPLE = 8
 
@@ -55,54 +57,36 @@ def split_records(samples: DataFrame) -> DataFrame:
     ).filter((F.col("split") != "") & F.col("question").isNotNull() & F.col("answer").isNotNull())
 
 
-def _record(question: str, answer: str) -> tuple[str, set[str]] | None:
-    bare = "".join(WORD.findall(answer.lower()))
-    words = set(WORD.findall(question.lower()))
-    return (bare, words) if bare and words else None
-
-
-def _cell(word: str) -> int:
-    return xxhash.xxh3_64_intdigest(word) & ((1 << SKETCH_BITS) - 1)
+def _cell(word_hash: int) -> int:
+    return word_hash & ((1 << SKETCH_BITS) - 1)
 
 
 def word_sketch(records: DataFrame) -> np.ndarray:
     """How many records hold a word, by cell."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cells: dict[str, int] = {}
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
+        total, words = np.zeros(1 << SKETCH_BITS, np.int64), Counter()
+
+        def settle() -> None:
+            for w, n in words.items():
+                total[_cell(xxhash.xxh3_64_intdigest(w))] += n
+            words.clear()
+
         for pdf in batches:
             for text in pdf.question:
-                for w in set(WORD.findall(text.lower())):
-                    c = cells.get(w)
-                    if c is None:
-                        if len(cells) > 1_000_000:
-                            cells.clear()
-                        c = cells[w] = _cell(w)
-                    total[c] += 1
+                words.update(set(WORD.findall(text.lower())))
+            if len(words) > 1_000_000:
+                settle()
+        settle()
         (at,) = total.nonzero()
         yield pd.DataFrame({"cell": at, "n": total[at]})
 
-    found = records.select("question").mapInPandas(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    found = records.select("question").mapInPandas(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     sketch = np.zeros(1 << SKETCH_BITS, np.int64)
-    sketch[found.cell.to_numpy(int)] = found.n
+    sketch[found["cell"].to_numpy()] = found["n"].to_numpy()
     return sketch
 
 
-def _symbols(bare: str, words: set[str], sketch: np.ndarray, known: dict[str, int]) -> np.ndarray:
-    """The record's symbols in the global order."""
-    out = []
-    for w in words:
-        c = known.get(w)
-        if c is None:
-            if len(known) > 1_000_000:
-                known.clear()
-            c = known[w] = int(sketch[_cell(w)])
-        out.append((c, xxhash.xxh3_64_intdigest(f"{bare}\x1f{w}")))
-    out.sort()
-    return np.array([s for _, s in out], np.uint64)
-
-
 def key_positions(n: int) -> tuple[int, int]:
     """How many leading words are shallow, and how many can be the first common one at all."""
     return 3 * n // 17 + 1, n * (DEN - NUM) // DEN + 1
@@ -126,8 +110,25 @@ def _keys(symbols: np.ndarray, evaluation: bool) -> tuple[np.ndarray, np.ndarray
     return keys, np.concatenate([at[:shallow], at[:shallow], at[shallow:]])
 
 
-def key_filter(classes: DataFrame, evaluation: bool, within: np.ndarray | None = None) -> np.ndarray:
-    """Bits of all keys; with ``within`` of those only that are in that filter."""
+def _mask(keys: np.ndarray) -> np.ndarray:
+    """Three of the 64 bits of a filter cell."""
+    one = np.uint64(1)
+    return (one << (keys & np.uint64(63))) | (one << ((keys >> np.uint64(6)) & np.uint64(63))) | (one << ((keys >> np.uint64(12)) & np.uint64(63)))
+
+
+def _filter_cell(keys: np.ndarray, cells: int) -> np.ndarray:
+    return ((keys >> np.uint64(18)) & np.uint64(cells - 1)).astype(np.int64)
+
+
+def _inside(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    mask = _mask(keys)
+    return bits[_filter_cell(keys, len(bits))] & mask == mask
+
+
+def key_filter(rows: DataFrame, evaluation: bool, n_keys: int, within: np.ndarray | None = None) -> np.ndarray:
+    """Filter of all keys; with ``within`` of those only that are in that filter."""
+    size = min(max((n_keys * FILTER_ROOM).bit_length(), FILTER_LEAST), FILTER_MOST)
+    cells = 1 << (size - 6)
 
     def bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -136,18 +137,12 @@ def key_filter(classes: DataFrame, evaluation: bool, within: np.ndarray | None =
             h = np.concatenate([_keys(np.frombuffer(s, np.uint64), evaluation)[0] for s in pdf.symbols])
             if within is not None:
                 h = h[_inside(within, h)]
-            h &= np.uint64((1 << FILTER_BITS) - 1)
-            yield pd.DataFrame({"cell": (h >> np.uint64(6)).astype(np.int64), "b": (np.uint64(1) << (h & np.uint64(63))).view(np.int64)})
-
-    found = classes.select("symbols").mapInPandas(bits, "cell long, b long").groupBy("cell").agg(F.bit_or("b").alias("b")).toPandas()
-    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    out[found.cell.to_numpy(int)] = found.b
-    return out
+            yield pd.DataFrame({"cell": _filter_cell(h, cells), "b": _mask(h).view(np.int64)})
 
-
-def _inside(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    h = keys & np.uint64((1 << FILTER_BITS) - 1)
-    return (bits[(h >> np.uint64(6)).astype(np.int64)].view(np.uint64) >> (h & np.uint64(63))) & np.uint64(1) == 1
+    found = rows.select("symbols").mapInPandas(bits, "cell long, b long").groupBy("cell").agg(F.bit_or("b").alias("b")).toArrow()
+    out = np.zeros(cells, np.int64)
+    out[found["cell"].to_numpy()] = found["b"].to_numpy()
+    return out.view(np.uint64)
 
 
 def symbol_rows(records: DataFrame, sketch, within, evaluation: bool) -> DataFrame:
@@ -157,20 +152,53 @@ def symbol_rows(records: DataFrame, sketch, within, evaluation: bool) -> DataFra
         counts, known = sketch.value, {}
         bits = within.value if within is not None else None
         for pdf in batches:
-            out = []
+            ids, sizes, answers, words = [], [], [], []
             for sample_id, question, answer in zip(pdf.sample_id, pdf.question, pdf.answer):
-                record = _record(question, answer)
-                if record is None:
+                bare, said = "".join(WORD.findall(answer.lower())), set(WORD.findall(question.lower()))
+                if not bare or not said:
                     continue
-                s = _symbols(*record, counts, known)
-                if bits is None or _inside(bits, _keys(s, evaluation)[0]).any():
-                    b = s.tobytes()
-                    out.append((xxhash.xxh3_128_digest(b), b, sample_id))
+                for w in said:
+                    h = known.get(w)
+                    if h is None:
+                        if len(known) > 1_000_000:
+                            known.clear()
+                        h = known[w] = xxhash.xxh3_64_intdigest(w)
+                    words.append(h)
+                ids.append(sample_id)
+                sizes.append(len(said))
+                answers.append(xxhash.xxh3_64_intdigest(bare))
+            if not ids:
+                continue
+            n = np.array(sizes)
+            record = np.repeat(np.arange(len(n)), n)
+            hashes = np.array(words, np.uint64)
+            symbol = _mix(hashes ^ np.repeat(np.array(answers, np.uint64), n))
+            order = np.lexsort((symbol, counts[_cells(hashes)], record))  # the global order within each record
+            symbol = symbol[order]
+            start = np.concatenate([[0], np.cumsum(n)])
+            keep = np.ones(len(n), bool)
+            if bits is not None:
+                at = np.arange(len(symbol)) - start[record]
+                last = n[record] * (DEN - NUM) // DEN + 1
+                shallow = (at < 3 * n[record] // 17 + 1) & (at < last)
+                other, own = (1, 2) if evaluation else (2, 1)
+                hit = np.zeros(len(symbol), bool)
+                for where, kind in ((shallow, 0), (shallow, other), ((at < last) & ~shallow, own)):
+                    hit[where] |= _inside(bits, _mix(symbol[where] + _KIND[kind]))
+                keep = np.bincount(record[hit], minlength=len(n)) > 0
+            out = []
+            for k in np.flatnonzero(keep):
+                b = symbol[start[k] : start[k + 1]].tobytes()
+                out.append((xxhash.xxh3_128_digest(b), b, ids[k]))
             yield pd.DataFrame(out, columns=["class", "symbols", "sample_id"])
 
     return records.select("sample_id", "question", "answer").mapInPandas(rows, "class binary, symbols binary, sample_id string")
 
 
+def _cells(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)
+
+
 class BackwardIndex:
     """FM-index over words: the Burrows-Wheeler transform as sorted positions of each symbol
     (a rank is a binary search in them) and a sampled suffix array."""
@@ -214,17 +242,20 @@ class BackwardIndex:
         """The interval of the pattern with one more symbol to its left."""
         return np.searchsorted(self.occ, symbol * (self.n + 1) + lo), np.searchsorted(self.occ, symbol * (self.n + 1) + hi)
 
-    def entries(self, lo: int, hi: int) -> np.ndarray:
-        """The entries in which the suffixes of an interval start."""
-        i, steps = np.arange(lo, hi), np.zeros(hi - lo, np.int64)
-        out = np.empty(hi - lo, np.int64)
-        open_ = np.arange(hi - lo)
+    def previous(self, suffix: np.ndarray) -> np.ndarray:
+        """The suffixes that begin one word earlier."""
+        return np.searchsorted(self.occ, self.bwt[suffix].astype(np.int64) * (self.n + 1) + suffix)
+
+    def entries(self, suffix: np.ndarray) -> np.ndarray:
+        """The entries in which the suffixes start."""
+        i, open_ = suffix, np.arange(len(suffix))
+        steps, out = np.zeros(len(suffix), np.int64), np.empty(len(suffix), np.int64)
         while len(open_):
             done = self.marked[i]
             out[open_[done]] = self.kept[self.before[i[done]]] + steps[open_[done]]
             open_, i = open_[~done], i[~done]
             steps[open_] += 1
-            i = np.searchsorted(self.occ, self.bwt[i].astype(np.int64) * (self.n + 1) + i)
+            i = self.previous(i)
         return np.searchsorted(self.starts, out, "right") - 1
 
 
@@ -271,36 +302,67 @@ def _search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield from _matches(part, index, ys, y_class)
 
 
+#: Occurrences that are followed at a time.
+_OCCURRENCES = 400_000
+
+
 def _matches(part: pd.DataFrame, index: BackwardIndex, ys: list[np.ndarray], y_class: np.ndarray) -> Iterator[pd.DataFrame]:
     first = index.symbol(part.key.to_numpy().view(np.uint64))
     lo, hi = index.extend(np.maximum(first, 0), 0, index.n)
-    out = []
-    for r in np.flatnonzero((first >= 0) & (hi > lo)):
-        x = np.frombuffer(part.symbols.iat[r], np.uint64)
-        at = part["at"].iat[r]
-        found = index.entries(lo[r], hi[r])
-        run = dict.fromkeys(found, 1)
-        a, b, more = lo[r], hi[r], index.symbol(x[at + 1 :])
-        for depth, s in enumerate(more, 2):  # to the maximal match
-            if s < 0:
-                break
-            a, b = index.extend(s, a, b)
-            if a >= b:
-                break
-            for e in index.entries(a, b):
-                run[e] = depth
-        xs = np.sort(x)
-        for e in found:
-            y = ys[e]
-            if len(x) * DEN < NUM * len(y) or len(y) * DEN < NUM * len(x):
-                continue
-            i = np.minimum(np.searchsorted(xs, y), len(xs) - 1)
-            same = xs[i] == y
-            common = int(same.sum())  # the merged spans of all maximal matches of the pair
-            if common * DEN >= NUM * (len(x) + len(y) - common) and y[same.argmax()] == x[at]:
-                out.append((part["class"].iat[r], y_class[e], common, len(x) + len(y) - common, run[e]))
-    if out:
-        yield pd.DataFrame(out, columns=["x", "y", "n_common", "n_either", "longest_run"])
+    rows = np.flatnonzero((first >= 0) & (hi > lo))
+    if not len(rows):
+        return
+    ends = np.cumsum((hi - lo)[rows])
+    for chunk in np.split(rows, np.searchsorted(ends, np.arange(_OCCURRENCES, ends[-1], _OCCURRENCES))):
+        if len(chunk):
+            found = _follow(part, chunk, lo[chunk], hi[chunk], index, ys, y_class)
+            if len(found):
+                yield found
+
+
+def _follow(part, rows, lo, hi, index: BackwardIndex, ys, y_class) -> pd.DataFrame:
+    """Pairs of the threshold among the occurrences lo..hi of each row's key."""
+    xs = [np.frombuffer(part.symbols.iat[r], np.uint64) for r in rows]
+    at = part["at"].to_numpy()[rows]
+    count = hi - lo
+    x = np.repeat(np.arange(len(rows)), count)
+    suffix = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)
+    e = index.entries(suffix)
+    nx, ny = np.array([len(v) for v in xs])[x], np.array([len(v) for v in ys])[e]
+    fits = (nx * DEN >= NUM * ny) & (ny * DEN >= NUM * nx)
+    x, e, suffix, nx, ny = x[fits], e[fits], suffix[fits], nx[fits], ny[fits]
+
+    # maximal matches: every occurrence is extended to the left while the index agrees
+    width = max((len(v) - p - 1 for v, p in zip(xs, at)), default=0)
+    ahead = np.full((len(xs), width + 1), -1, np.int64)
+    tails = [v[p + 1 :] for v, p in zip(xs, at)]
+    sizes = np.array([len(t) for t in tails])
+    ahead[np.repeat(np.arange(len(tails)), sizes), np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = index.symbol(np.concatenate(tails))
+    run, live, here = np.ones(len(x), np.int64), np.arange(len(x)), suffix
+    for depth in range(width):
+        same = index.bwt[here] == ahead[x[live], depth]
+        live, here = live[same], here[same]
+        if not len(live):
+            break
+        run[live] += 1
+        here = index.previous(here)
+
+    # all matches of a pair merged: the words common to both, and the first of them
+    pair = np.arange(len(x))
+    left, right = [xs[i] for i in x], [ys[i] for i in e]
+    symbols = np.concatenate([*left, *right]) if len(x) else np.empty(0, np.uint64)
+    owner = np.concatenate([np.repeat(pair, nx), np.repeat(pair, ny)])
+    rank = np.concatenate([np.arange(len(v)) for v in left] + [np.full(len(v), -1) for v in right]) if len(x) else np.empty(0, np.int64)
+    order = np.lexsort((symbols, owner))
+    twice = np.flatnonzero((symbols[order][1:] == symbols[order][:-1]) & (owner[order][1:] == owner[order][:-1]))
+    who = owner[order][twice]
+    common = np.bincount(who, minlength=len(x))
+    earliest = np.full(len(x), np.iinfo(np.int64).max)
+    np.minimum.at(earliest, who, np.maximum(rank[order][twice], rank[order][twice + 1]))
+    ok = (common * DEN >= NUM * (nx + ny - common)) & (earliest == at[x])
+    return pd.DataFrame(
+        {"x": part["class"].to_numpy()[rows][x[ok]], "y": y_class[e[ok]], "n_common": common[ok], "n_either": (nx + ny - common)[ok], "longest_run": run[ok]}
+    )
 
 
 def class_matches(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -310,9 +372,10 @@ def class_matches(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     held, train = records.filter("split <> 'train'"), records.filter("split = 'train'")
     sketch = spark.sparkContext.broadcast(word_sketch(held))
     eval_rows = cut(symbol_rows(held, sketch, None, True))
-    of_eval = key_filter(eval_rows, True)
+    keys_each = 9  # keys of a record of usual length; only the filter's size hangs on it
+    of_eval = key_filter(eval_rows, True, keys_each * eval_rows.count())
     train_rows = cut(symbol_rows(train, sketch, spark.sparkContext.broadcast(of_eval), False))
-    both = key_filter(train_rows, False, of_eval)
+    both = key_filter(train_rows, False, keys_each * train_rows.count(), of_eval)
     bits = spark.sparkContext.broadcast(both)
     one = lambda rows: rows.groupBy("class").agg(F.min("symbols").alias("symbols"))
     shape = "key long, at int, class binary, symbols binary"
@@ -334,7 +397,7 @@ def class_matches(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     routed = (
         y.withColumn("side", F.lit(0)).withColumn("shard", shard).select(columns)
         .unionByName(x.withColumn("side", F.lit(1)).withColumn("shard", shard).select(columns))
-        .repartition(max(shards, spark.sparkContext.defaultParallelism) if shards > 1 else 1, "shard")
+        .repartition(shards, "shard")
         .sortWithinPartitions("shard", "side")
     )
     found = routed.mapInPandas(_search, "x binary, y binary, n_common long, n_either long, longest_run long")
