@@ -38,8 +38,11 @@ GAIN = 0.05
 MIN_DOCUMENTS = 3
 #: Pseudo-counts that draw a rate towards the class's share.
 SHRINK = 4.0
-#: Lift (natural logarithm) from which a word is an item, and statement evidence to be assigned.
-ITEM_LIFT, ASSIGN = 0.7, 1.0
+#: Lift (natural logarithm) and share of one class from which a word is an item, and statement
+#: evidence to be assigned.
+ITEM_LIFT, ITEM_SHARE, ASSIGN = 0.7, 0.35, 1.0
+#: Share of one class from which a word needs no other words beside it.
+SURE = 0.95
 #: Calibrated probability from which a statement has the subject.
 ACCEPT = 0.5
 NONE = ""
@@ -66,44 +69,35 @@ def statements(text: str, usual: int) -> Iterator[list[str]]:
 
 
 class Model:
-    """Pruned rules by their rarest word, and the calibration of their evidence."""
+    """Pruned rules by word, and the calibration of their evidence."""
 
     def __init__(self, classes: list[str], rules: list[tuple[frozenset, int, float]], usual: int, items: dict[str, int]):
-        self.classes, self.usual, self.items = classes, usual, items
-        self.by_word: dict[str, list[tuple[frozenset, int, float]]] = defaultdict(list)
+        self.classes, self.usual = classes, usual
+        # a rule of one word stands under it without words to check, a longer one under its rarest word
+        self.by_word: dict[str, list[tuple[frozenset | None, int, float]]] = defaultdict(list)
         for words, c, weight in rules:
-            self.by_word[min(words, key=lambda w: (items.get(w, 0), w))].append((words, c, weight))
+            rarest = min(words, key=lambda w: (items.get(w, 0), w))
+            self.by_word[rarest].append((words if len(words) > 1 else None, c, weight))
+        self.by_word = dict(self.by_word)
         self.slope, self.offset, self.least = 1.0, 0.0, float(np.log(ACCEPT / (1 - ACCEPT)))
-        self.known: dict[frozenset, int] = {}
 
-    def evidence(self, words: frozenset) -> list[float]:
-        """Per class the sum over all matching rules."""
-        total = [0.0] * len(self.classes)
-        for w in words:
-            for rule, c, weight in self.by_word.get(w, ()):
-                if len(rule) == 1 or rule <= words:
-                    total[c] += weight
-        return total
+    def margin(self, words: list[str]) -> tuple[int, float]:
+        """The class with most evidence, and how far it stands above half of the next one's."""
+        told, evidence, by_word = set(words), {}, self.by_word
+        for w in told:
+            for rule, c, weight in by_word.get(w, ()):
+                if rule is None or rule <= told:
+                    evidence[c] = evidence.get(c, 0.0) + weight
+        if not evidence:
+            return -1, 0.0
+        if len(evidence) == 1:
+            return next(iter(evidence.items()))
+        (best, c), (second, _) = sorted(((v, k) for k, v in evidence.items()), reverse=True)[:2]
+        return c, best - 0.5 * second
 
     def judge(self, words: list[str]) -> int:
         """Number of the statement's subject, -1 for none."""
-        told = frozenset(w for w in words if w in self.items)
-        if not told:
-            return -1
-        c = self.known.get(told)
-        if c is None:
-            if len(self.known) > 300_000:
-                self.known.clear()
-            c = self.known[told] = self._judge(told)
-        return c
-
-    def margin(self, told: frozenset) -> tuple[int, float]:
-        e = self.evidence(told)
-        c = max(range(len(e)), key=e.__getitem__)
-        return c, e[c] - 0.5 * max(x for i, x in enumerate(e) if i != c)
-
-    def _judge(self, told: frozenset) -> int:
-        c, margin = self.margin(told)
+        c, margin = self.margin(words)
         return c if margin > 0 and self.slope * margin + self.offset >= self.least and self.classes[c] != NONE else -1
 
 
@@ -168,7 +162,7 @@ def fit(docs: DataFrame, labels: DataFrame, areas: DataFrame, cases: DataFrame)
 
     lift = lifts(uses)
     common = {w for w, n in uses.items() if n[-1] >= MIN_DOCUMENTS}
-    chosen: list[tuple[list[str], int | None, list[int]]] = []
+    chosen: list[tuple[list[str], int | None]] = []
     for _ in range(2):  # tell the statements of a document apart, then count words by statement
         chosen = []
         uses = defaultdict(lambda: np.zeros(len(classes) + 1))
@@ -179,34 +173,43 @@ def fit(docs: DataFrame, labels: DataFrame, areas: DataFrame, cases: DataFrame)
                 e = np.sum([t for t in told if t.max() > 0.3] or [np.zeros(len(pick))], axis=0)
                 best = int(e.argmax())
                 c = pick[best] if e[best] >= ASSIGN else None
-                chosen.append((s, c, own))
+                chosen.append((s, c))
                 for w in set(s):
                     uses[w][-1] += 1
                     if c is not None:
                         uses[w][c] += 1
         lift = lifts(uses)
-    items = {w: int(uses[w][-1]) for w, v in lift.items() if v.max() >= ITEM_LIFT and uses[w][-1] >= MIN_COUNT and w in common and not w.isdigit()}
-
-    baskets = [sorted({w for w in s if w in items}) + ([f"={c}"] if c is not None else []) for s, c, _ in chosen]
-    rules = _mine(spark, [b for b in baskets if b], prior)
+    telling = lambda w: uses[w][:-1].max() >= ITEM_SHARE * uses[w][-1] and uses[w][-1] >= MIN_COUNT
+    items = {w: int(uses[w][-1]) for w, v in lift.items() if v.max() >= ITEM_LIFT and telling(w) and w in common and not w.isdigit()}
+
+    # A word that is sure by itself needs no company: it makes a basket of its own.
+    sure = {w for w in items if uses[w][:-1].max() >= SURE * uses[w][-1]}
+    baskets = []
+    for s, c in chosen:
+        end = [f"={c}"] if c is not None else []
+        told = {w for w in s if w in items}
+        baskets += [[w, *end] for w in told & sure]
+        if told - sure:
+            baskets.append([*sorted(told - sure), *end])
+    rules = _mine(spark, baskets, len(chosen), prior)
     model = Model(classes, rules, usual, items)
     margins, right = [], []
-    for s, c, own in chosen:
-        told = frozenset(w for w in s if w in items)
-        if told:
-            best, m = model.margin(told)
-            if m > 0:
-                margins.append(m)
-                right.append(float(c == best))
+    for s, c in chosen:
+        best, m = model.margin(s)
+        if m > 0:
+            margins.append(m)
+            right.append(float(c == best))
     if margins:
         _calibrate(model, np.array(margins), np.array(right))
     return model
 
 
-def _mine(spark, baskets: list[list[str]], prior: np.ndarray) -> list[tuple[frozenset, int, float]]:
+def _mine(spark, baskets: list[list[str]], n_statements: int, prior: np.ndarray) -> list[tuple[frozenset, int, float]]:
     from pyspark.ml.fpm import FPGrowth
 
-    support = max(MIN_SUPPORT, MIN_COUNT / len(baskets))
+    if not baskets:
+        return []
+    support = max(MIN_SUPPORT * n_statements, MIN_COUNT) / len(baskets)
     data = spark.createDataFrame(pd.DataFrame({"items": baskets}), "items array<string>")
     found = FPGrowth(itemsCol="items", minSupport=support, minConfidence=MIN_CONFIDENCE).fit(data).freqItemsets
     sets = found.filter(F.size("items") <= RULE_WORDS + 1).toPandas()  # at most len(baskets) / support sets of each size
