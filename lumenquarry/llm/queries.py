@@ -160,7 +160,37 @@ limits AS (
   WHERE n_kept * 100 >= target_pct * n_results GROUP BY source, answer_type)
 """
 
+_WORDS = r"list_filter(regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
+
+
+def _runs(n: int) -> str:
+    """All sequences of n words of the list w, as texts."""
+    return f"list_transform(range(1, len(w) - {n - 2}), lambda i: array_to_string(w[i:i + {n - 1}], ' '))"
+
+
 SQL: dict[str, str] = {
+    "p1_found": rf"""
+        WITH r AS (
+          SELECT DISTINCT sample_id, regexp_extract(sample_id, '_(train|val|test)_[^_]+$', 1) AS split,
+                 regexp_replace(lower(answer), '[^\p{{L}}\p{{N}}]', '', 'g') AS ba, list_distinct({_WORDS.format('question')}) AS w
+          FROM vqa_samples WHERE sample_id IS NOT NULL AND question IS NOT NULL AND answer IS NOT NULL),
+        e AS (SELECT sample_id, split = 'train' AS tr, ba, len(w) AS n, unnest(w) AS word FROM r WHERE ba <> '' AND split <> ''),
+        c AS (
+          SELECT t.sample_id AS a, h.sample_id AS b, t.n AS n, h.n AS m, count(*) AS k
+          FROM e t JOIN e h ON t.ba = h.ba AND t.word = h.word WHERE t.tr AND NOT h.tr GROUP BY ALL)
+        SELECT least(a, b) AS sample_id_lo, greatest(a, b) AS sample_id_hi FROM c WHERE k * 10 >= 7 * (n + m - k)""",
+    "p6_found": f"""
+        WITH v AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents WHERE text IS NOT NULL),
+        d AS (SELECT doc_id, list_distinct({_runs(3)}) AS s FROM v WHERE len(w) >= 3),
+        e AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM d),
+        c AS (SELECT a.doc_id AS lo, b.doc_id AS hi, a.n AS n, b.n AS m, count(*) AS k FROM e a JOIN e b USING (x) WHERE a.doc_id < b.doc_id GROUP BY ALL)
+        SELECT lo AS doc_id_lo, hi AS doc_id_hi FROM c WHERE k * 10 >= 6 * (n + m - k)""",
+    "p8_found": f"""
+        WITH i AS (SELECT item_id, {_WORDS.format('passage')} AS w FROM eval_items UNION ALL SELECT item_id, {_WORDS.format('question')} FROM eval_items),
+        g AS (SELECT DISTINCT item_id, unnest({_runs(12)}) AS x FROM i WHERE len(w) >= 12),
+        v AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents),
+        d AS (SELECT doc_id, unnest({_runs(12)}) AS x FROM v WHERE len(w) >= 12)
+        SELECT DISTINCT doc_id, item_id FROM d JOIN g USING (x)""",
     "p2_found": r"""
         SELECT doc_id FROM documents
         WHERE len(regexp_extract_all(text, '[^\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+')) > 300""",
