@@ -124,6 +124,8 @@ def is_copy(question: str, reply: str) -> bool:
     q, a = " ".join(tokens(question)).encode(), " ".join(tokens(reply)).encode()
     if len(q) < 8 or len(a) < 0.5 * len(q):
         return False
+    if q == a:
+        return True
 
     def size(text: bytes, given: bytes) -> int:
         d = zstandard.ZstdCompressionDict(given, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
