@@ -14,6 +14,7 @@ Texts without statement marks are cut into stretches of the usual statement leng
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -142,56 +143,65 @@ def fit(docs: DataFrame, labels: DataFrame, areas: DataFrame, cases: DataFrame)
     number = {c: i for i, c in enumerate(classes)}
     marked = [len(WORD.findall(s)) for t in sample.text for s in MARKS.split(t)]
     usual = int(np.median([n for n in marked if 3 <= n <= 40] or [16]))
-    rows = cases.select("passage", "question").orderBy(F.xxhash64("item_id"), "item_id").limit(FIT_CASES).toPandas()
+    rows = cases.select("passage", "question").orderBy(F.xxhash64("item_id"), "item_id").limit(min(FIT_CASES, max(50, len(sample) // 2))).toPandas()
     parts = [(list(statements(t, usual)), [number[s] for s in subjects]) for t, subjects in zip(sample.text, sample.subjects)]
     parts += [(list(statements(t, usual)), [0]) for r in rows.itertuples(index=False) for t in r if isinstance(t, str)]
 
-    seen = np.zeros(len(classes))
-    uses: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(classes) + 1))
+    k = len(classes)
+    seen = [1.0] * k
+    uses: dict[str, list[float]] = {}  # by class, and over all
     for said, own in parts:
-        share = np.zeros(len(classes))
-        share[own] = 1 / len(own)
-        seen += share
+        share = 1 / len(own)
+        for c in own:
+            seen[c] += share
         for w in {w for s in said for w in s}:
-            uses[w][:-1] += share
-            uses[w][-1] += 1
-    prior = (seen + 1) / (seen + 1).sum()
+            n = uses.setdefault(w, [0.0] * (k + 1))
+            n[k] += 1
+            for c in own:
+                n[c] += share
+    prior = [x / sum(seen) for x in seen]
 
-    def lifts(counts: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        return {w: np.log((n[:-1] + SHRINK * prior) / (n[-1] + SHRINK) / prior) for w, n in counts.items() if n[-1] >= 2}
+    def lifts(counts: dict[str, list[float]]) -> dict[str, list[float]]:
+        return {w: [math.log((n[c] + SHRINK * p) / (n[k] + SHRINK) / p) for c, p in enumerate(prior)] for w, n in counts.items() if n[k] >= 2}
 
     lift = lifts(uses)
-    common = {w for w, n in uses.items() if n[-1] >= MIN_DOCUMENTS}
+    common = {w for w, n in uses.items() if n[k] >= MIN_DOCUMENTS}
     chosen: list[tuple[list[str], int | None]] = []
     for _ in range(2):  # tell the statements of a document apart, then count words by statement
-        chosen = []
-        uses = defaultdict(lambda: np.zeros(len(classes) + 1))
+        chosen, uses = [], {}
         for said, own in parts:
             pick = sorted({0, *own})
             for s in said:
-                told = [lift[w][pick] for w in set(s) if w in lift]
-                e = np.sum([t for t in told if t.max() > 0.3] or [np.zeros(len(pick))], axis=0)
-                best = int(e.argmax())
+                told = set(s)
+                e = [0.0] * len(pick)
+                for w in told:
+                    v = lift.get(w)
+                    if v is not None:
+                        own_lift = [v[c] for c in pick]
+                        if max(own_lift) > 0.3:
+                            e = [a + b for a, b in zip(e, own_lift)]
+                best = max(range(len(pick)), key=e.__getitem__)
                 c = pick[best] if e[best] >= ASSIGN else None
                 chosen.append((s, c))
-                for w in set(s):
-                    uses[w][-1] += 1
+                for w in told:
+                    n = uses.setdefault(w, [0.0] * (k + 1))
+                    n[k] += 1
                     if c is not None:
-                        uses[w][c] += 1
+                        n[c] += 1
         lift = lifts(uses)
-    telling = lambda w: uses[w][:-1].max() >= ITEM_SHARE * uses[w][-1] and uses[w][-1] >= MIN_COUNT
-    items = {w: int(uses[w][-1]) for w, v in lift.items() if v.max() >= ITEM_LIFT and telling(w) and w in common and not w.isdigit()}
+    telling = lambda w: max(uses[w][:k]) >= ITEM_SHARE * uses[w][k] and uses[w][k] >= MIN_COUNT
+    items = {w: int(uses[w][k]) for w, v in lift.items() if max(v) >= ITEM_LIFT and telling(w) and w in common and not w.isdigit()}
 
-    # A word that is sure by itself needs no company: it makes a basket of its own.
-    sure = {w for w in items if uses[w][:-1].max() >= SURE * uses[w][-1]}
+    # The single words are counted already, and one that is sure needs no company. Growth starts
+    # from the statements' other items.
+    sure = {w for w in items if max(uses[w][:k]) >= SURE * uses[w][k]}
     baskets = []
     for s, c in chosen:
-        end = [f"={c}"] if c is not None else []
-        told = {w for w in s if w in items}
-        baskets += [[w, *end] for w in told & sure]
-        if told - sure:
-            baskets.append([*sorted(told - sure), *end])
-    rules = _mine(spark, baskets, len(chosen), prior)
+        told = {w for w in s if w in items and w not in sure}
+        if told:
+            baskets.append([*sorted(told), *([f"={c}"] if c is not None else [])])
+    counted = {(frozenset([w]), c): (uses[w][c], uses[w][k]) for w in items for c in range(k) if uses[w][c] >= MIN_CONFIDENCE * uses[w][k]}
+    rules = _pruned(counted | _mine(spark, baskets, len(chosen)), prior)
     model = Model(classes, rules, usual, items)
     margins, right = [], []
     for s, c in chosen:
@@ -204,32 +214,35 @@ def fit(docs: DataFrame, labels: DataFrame, areas: DataFrame, cases: DataFrame)
     return model
 
 
-def _mine(spark, baskets: list[list[str]], n_statements: int, prior: np.ndarray) -> list[tuple[frozenset, int, float]]:
+def _mine(spark, baskets: list[list[str]], n_statements: int) -> dict[tuple[frozenset, int], tuple[float, float]]:
+    """(words, class) -> (statements with both, statements with the words), by frequent-pattern growth."""
     from pyspark.ml.fpm import FPGrowth
 
     if not baskets:
-        return []
+        return {}
     support = max(MIN_SUPPORT * n_statements, MIN_COUNT) / len(baskets)
-    data = spark.createDataFrame(pd.DataFrame({"items": baskets}), "items array<string>")
-    found = FPGrowth(itemsCol="items", minSupport=support, minConfidence=MIN_CONFIDENCE).fit(data).freqItemsets
-    sets = found.filter(F.size("items") <= RULE_WORDS + 1).toPandas()  # at most len(baskets) / support sets of each size
-    freq = {frozenset(i): n for i, n in zip(sets["items"], sets.freq)}
-    best: dict[tuple[frozenset, int], float] = {}
-    weight: dict[tuple[frozenset, int], float] = {}
+    data = spark.createDataFrame([(b,) for b in baskets], "items array<string>")
+    found = FPGrowth(itemsCol="items", minSupport=min(1.0, support), minConfidence=MIN_CONFIDENCE).fit(data).freqItemsets
+    sets = found.filter(F.size("items") <= RULE_WORDS + 1).collect()  # at most len(baskets) / support sets of each size
+    freq = {frozenset(r["items"]): r["freq"] for r in sets}
+    out = {}
     for items, n in freq.items():
         cls = [x for x in items if x[0] == "="]
         words = frozenset(x for x in items if x[0] != "=")
-        if len(cls) == 1 and words and words in freq:
-            c, all_ = int(cls[0][1:]), freq[words]
-            if n >= MIN_CONFIDENCE * all_:
-                best[words, c] = n / all_
-                p = (n + SHRINK * prior[c]) / (all_ + SHRINK)
-                weight[words, c] = float(np.log(p / (1 - p + 1e-9)) - np.log(prior[c] / (1 - prior[c])))
+        if len(cls) == 1 and len(words) > 1 and words in freq and n >= MIN_CONFIDENCE * freq[words]:
+            out[words, int(cls[0][1:])] = (n, freq[words])
+    return out
+
+
+def _pruned(found: dict[tuple[frozenset, int], tuple[float, float]], prior: list[float]) -> list[tuple[frozenset, int, float]]:
+    """Rules with their weight, without those that a shorter one makes redundant."""
     kept = []
-    for (words, c), confidence in best.items():
-        shorter = (frozenset(x) for k in range(1, len(words)) for x in combinations(words, k))
-        if weight[words, c] > 0 and not any(best.get((x, c), 0) >= confidence - GAIN for x in shorter):
-            kept.append((words, c, weight[words, c]))
+    for (words, c), (n, total) in found.items():
+        shorter = (found.get((frozenset(x), c)) for k in range(1, len(words)) for x in combinations(words, k))
+        p = (n + SHRINK * prior[c]) / (total + SHRINK)
+        weight = math.log(p / (1 - p + 1e-9)) - math.log(prior[c] / (1 - prior[c]))
+        if weight > 0 and not any(x and x[0] / x[1] >= n / total - GAIN for x in shorter):
+            kept.append((words, c, weight))
     return kept
 
 
