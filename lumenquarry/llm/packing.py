@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .shared import cut
 
-CAPACITY, BLOCK_ITEMS = 1024, 1000
+CAPACITY, BLOCK_ITEMS, BLOCKS_PER_TASK = 1024, 1000, 8
 TOKENIZERS = os.environ.get("LUMENQUARRY_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: The published splitting pattern that belongs to the vocabulary (a fixed value).
@@ -117,7 +117,8 @@ def containers(counts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             {"container_id": names, "doc_id": pdf.doc_id, "part": pdf.part, "first_token": pdf.part * capacity, "n_tokens": pdf["size"]}
         )
 
-    mixed = rest.groupBy("block").applyInPandas(pack, "container_id string, doc_id long, part long, first_token long, n_tokens long")
+    # The rows are few bytes and much work: tasks are made by blocks, not by bytes.
+    mixed = rest.repartition(-(-blocks // BLOCKS_PER_TASK), "block").groupBy("block").applyInPandas(pack, "container_id string, doc_id long, part long, first_token long, n_tokens long")
     return full.unionByName(mixed)
 
 
