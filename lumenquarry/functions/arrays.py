@@ -74,3 +74,29 @@ def isotonic(confidence: Column, xs: list[float], ys: list[float]) -> Column:
         out = out.when(confidence <= x1, F.lit(float(y0)) + (confidence - x0) * F.lit((y1 - y0) / (x1 - x0) if x1 > x0 else 0.0))
     out = out.when(confidence.isNotNull(), F.lit(float(ys[-1])))
     return F.greatest(F.lit(0.01), F.least(F.lit(0.99), out))
+
+
+def training_numbers(n: Column, batch: Column, train_loss: Column, eval_loss: Column) -> Column:
+    """Steps of an epoch, perplexity (null without a loss), and whether the evaluation loss is
+    over one and a half times the training loss."""
+    return F.struct(
+        F.ceil(n / batch).alias("steps"), F.exp(eval_loss).alias("perplexity"), F.coalesce(eval_loss > 1.5 * train_loss, F.lit(False)).alias("overfit")
+    )
+
+
+# Prefixes of parameter names and what stands for them today; the first that fits counts.
+RENAMED = (
+    ("model.vision_tower.vision_tower.", "model.vision_tower."),
+    ("model.mm_projector.0.", "model.multi_modal_projector.linear_1."),
+    ("model.mm_projector.2.", "model.multi_modal_projector.linear_2."),
+    ("model.layers.", "model.language_model.layers."),
+    ("model.embed_tokens.", "model.language_model.embed_tokens."),
+    ("model.norm.", "model.language_model.norm."),
+)
+
+
+def renamed_key(key: Column) -> Column:
+    out = key
+    for old, new in reversed(RENAMED):
+        out = F.when(key.startswith(old), F.concat(F.lit(new), F.substr(key, F.lit(len(old) + 1)))).otherwise(out)
+    return out

@@ -146,3 +146,21 @@ def progress(results: DataFrame, every: int = 25) -> DataFrame:
         .withColumn("accuracy", F.round(F.col("n_correct") / F.col("done"), 6))
         .drop("_all")
     )
+
+
+def type_table(results: DataFrame, configs: list[tuple[int, str]]) -> DataFrame:
+    """Accuracies by question type, closed F1 and both counts of each configuration; abstentions
+    count as results, runs that are missing have null measures."""
+    kind = lambda k: F.col("answer_type") == k
+    counts = results.groupBy("run_id").agg(
+        F.round(metrics.ratio(F.count_if(kind("closed") & F.col("hit")), F.count_if(kind("closed"))), 6).alias("closed_accuracy"),
+        F.round(metrics.ratio(F.count_if(kind("open") & F.col("hit")), F.count_if(kind("open"))), 6).alias("open_accuracy"),
+        F.count_if(kind("closed")).alias("closed_count"),
+        F.count_if(kind("open")).alias("open_count"),
+    )
+    f1 = metrics.precision_recall_f1(results, "run_id").select("run_id", F.col("f1").alias("closed_f1"))
+    frame = results.sparkSession.createDataFrame(configs, "num int, run_id string")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return frame.join(counts.join(f1, "run_id"), "run_id", "left").select(
+        "num", "run_id", "closed_accuracy", "open_accuracy", "closed_f1", zero("closed_count"), zero("open_count")
+    )

@@ -56,3 +56,19 @@ def with_baseline(agent: DataFrame, baseline: DataFrame) -> DataFrame:
 def remaining(samples: DataFrame, done: DataFrame) -> DataFrame:
     """Samples that no finished result has: what a resumed run still owes."""
     return samples.join(done.select("sample_id").distinct(), "sample_id", "left_anti")
+
+
+def demo_entries(wanted: DataFrame, results: DataFrame, fallback: DataFrame) -> DataFrame:
+    """One row for each wanted sample_id: its result, else the fallback's, else nulls; ``found``
+    tells where it comes from."""
+    cols = ["prediction", "ground_truth", "confidence", "decision"]
+    side = lambda df, p: last_per_sample(df).dropDuplicates(["sample_id"]).select("sample_id", *[F.col(c).alias(f"{p}{c}") for c in cols], F.lit(True).alias(f"{p}has"))
+    joined = wanted.select("sample_id").distinct().join(side(results, "r_"), "sample_id", "left").join(side(fallback, "f_"), "sample_id", "left")
+    found = F.when(F.col("r_has"), "result").when(F.col("f_has"), "fallback").otherwise("none")
+    return joined.select("sample_id", *[F.when(F.col("r_has"), F.col(f"r_{c}")).otherwise(F.col(f"f_{c}")).alias(c) for c in cols], found.alias("found"))
+
+
+def index_range(samples: DataFrame, first: int, last: int) -> DataFrame:
+    """Samples whose index lies within first..last; bounds beyond the collection are no error."""
+    index = F.regexp_extract("sample_id", r"_(\d+)$", 1).try_cast("long")
+    return samples.filter(index.between(first, last))

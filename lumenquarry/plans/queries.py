@@ -294,6 +294,23 @@ def component_deltas(spark, d):
     return compare.component_deltas(compare.ablation(compare.summary(per_sample(spark, d)), CONFIGS), STEPS)
 
 
+@query
+def question_type_table(spark, d):
+    return compare.type_table(per_sample(spark, d), CONFIGS)
+
+
+@query
+def demo_entries(spark, d):
+    r = per_sample(spark, d)
+    wanted = samples(spark, d).filter("sample_id RLIKE '_test_'")
+    return results.demo_entries(wanted, r.filter("run_id = 'agent_a'"), r.filter(F.col("run_id") == BASELINE)).select("sample_id", "prediction", "found")
+
+
+@query
+def index_range(spark, d):
+    return results.index_range(samples(spark, d), 5, 40).select("sample_id")
+
+
 @query
 def report_flags(spark, d):
     r = per_sample(spark, d)

@@ -397,6 +397,17 @@ SQL: dict[str, str] = {
         st AS (SELECT * FROM (VALUES {_STEPS}) v(component, to_num, from_num))
         SELECT component, to_num, from_num, {', '.join(f'round(a.{m} - b.{m}, 6) AS {m}_delta' for m in _ABLATION)}
         FROM st LEFT JOIN tab a ON a.num = to_num LEFT JOIN tab b ON b.num = from_num""",
+    "question_type_table": f"""WITH {_PRF}, cfg AS (SELECT * FROM (VALUES {_CONFIGS}) v(num, run_id)),
+        k AS (SELECT run_id, round({ratio("count(*) FILTER (WHERE hit AND answer_type = 'closed')", "count(*) FILTER (WHERE answer_type = 'closed')")}, 6) AS closed_accuracy,
+          round({ratio("count(*) FILTER (WHERE hit AND answer_type = 'open')", "count(*) FILTER (WHERE answer_type = 'open')")}, 6) AS open_accuracy,
+          count(*) FILTER (WHERE answer_type = 'closed') AS closed_count, count(*) FILTER (WHERE answer_type = 'open') AS open_count FROM ps GROUP BY run_id)
+        SELECT num, run_id, closed_accuracy, open_accuracy, round(f1, 6) AS closed_f1, coalesce(closed_count, 0) AS closed_count, coalesce(open_count, 0) AS open_count FROM cfg LEFT JOIN k USING (run_id) LEFT JOIN f USING (run_id)""",
+    "demo_entries": f"""WITH {PS}, {VS}, l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id, sample_id ORDER BY result_id DESC) AS k FROM ps) WHERE k = 1)
+        SELECT vs.sample_id, CASE WHEN a.result_id IS NOT NULL THEN a.prediction ELSE b.prediction END AS prediction,
+          CASE WHEN a.result_id IS NOT NULL THEN 'result' WHEN b.result_id IS NOT NULL THEN 'fallback' ELSE 'none' END AS found
+        FROM vs LEFT JOIN l a ON a.sample_id = vs.sample_id AND a.run_id = 'agent_a' LEFT JOIN l b ON b.sample_id = vs.sample_id AND b.run_id = '{BASELINE}'
+        WHERE regexp_matches(vs.sample_id, '_test_')""",
+    "index_range": rf"WITH {VS} SELECT sample_id FROM vs WHERE TRY_CAST(regexp_extract(sample_id, '_(\d+)$', 1) AS BIGINT) BETWEEN 5 AND 40",
     "report_flags": f"""WITH {_SUMMARY}, {_REL}
         SELECT run_id, abstention_rate > 0.25 AS high_abstention, {ratio('n_relevant', 'n_answered')} < 0.5 AS low_citation_relevance, open_accuracy < 0.30 AS low_open_accuracy, ece > 0.15 AS high_ece,
           overall_accuracy < (SELECT overall_accuracy FROM summary WHERE run_id = '{BASELINE}') AS grounding_hurt FROM summary LEFT JOIN rel USING (run_id)""",

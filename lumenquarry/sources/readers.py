@@ -169,3 +169,17 @@ def dicom(spark: SparkSession, pattern: str) -> DataFrame:
 
     files = spark.read.format("binaryFile").load(pattern).select("path", "content")
     return files.mapInPandas(rows, "path string, pixels array<array<double>>, tags map<string,string>")
+
+
+def check_first(rows: DataFrame, *columns: str) -> None:
+    """Fails unless there is a row and its ``columns`` are filled."""
+    first = rows.select(*columns).limit(1).collect()
+    if not first or any(first[0][c] in (None, "") for c in columns):
+        raise ValueError(f"the first row lacks one of {', '.join(columns)}")
+
+
+def newest(spark: SparkSession, pattern: str) -> str | None:
+    """The last file by name that fits the pattern."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    return max((f.getPath().toString() for f in found), default=None) if found else None

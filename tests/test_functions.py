@@ -98,3 +98,12 @@ def test_print_forms(spark):
     assert one(spark, T.percent(F.lit(0.415))) == "41.5%"
     assert one(spark, T.percent(F.lit(-1.0))) == "N/A"
     assert one(spark, T.signed(F.lit(0.02))) == "+2.0%"
+
+
+def test_training_numbers_and_names(spark):
+    null = F.lit(None).cast("double")
+    got = one(spark, A.training_numbers(F.lit(10), F.lit(4), F.lit(1.0), F.lit(2.0)))
+    assert (got.steps, got.overfit) == (3, True)
+    assert one(spark, A.training_numbers(F.lit(10), F.lit(4), F.lit(1.0), null)).asDict() == {"steps": 3, "perplexity": None, "overfit": False}
+    assert one(spark, A.renamed_key(F.lit("model.layers.3.w"))) == "model.language_model.layers.3.w"
+    assert one(spark, A.renamed_key(F.lit("lm_head.w"))) == "lm_head.w"

@@ -263,3 +263,21 @@ def test_report(spark):
     s = compare.summary(df)
     text = report.markdown(s, compare.flags(s, metrics.citation_relevance(df, "run_id"), BASELINE), BASELINE)
     assert "| a | overall_accuracy |" in text and "high abstention" in text
+
+
+def test_first_row_and_newest(spark, tmp_path):
+    readers.check_first(spark.createDataFrame([("q",)], "question string"), "question")
+    with pytest.raises(ValueError):
+        readers.check_first(spark.createDataFrame([("",)], "question string"), "question")
+    for n in ("a1.json", "a2.json"):
+        (tmp_path / n).write_text("{}")
+    assert readers.newest(spark, f"{tmp_path}/a*.json").endswith("a2.json")
+    assert readers.newest(spark, f"{tmp_path}/b*.json") is None
+
+
+def test_demo_entries(spark):
+    r = frame(spark, [dict(sample_id="s_test_0"), dict(sample_id="s_test_0", prediction="no")])
+    f = frame(spark, [dict(sample_id="s_test_1", prediction="left")])
+    wanted = spark.createDataFrame([("s_test_0",), ("s_test_1",), ("s_test_2",)], "sample_id string")
+    got = {x.sample_id: (x.prediction, x.found) for x in results.demo_entries(wanted, r, f).collect()}
+    assert got == {"s_test_0": ("no", "result"), "s_test_1": ("left", "fallback"), "s_test_2": (None, "none")}
