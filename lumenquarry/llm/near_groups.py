@@ -41,29 +41,32 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class Shingler:
-    """Distinct hashed word sequences of a text; remembers the hashes of words it has seen."""
+    """Distinct hashed word sequences of texts; remembers the hashes of words it has seen."""
 
     def __init__(self, n: int = SHINGLE_WORDS):
         self.n, self.words = n, {}
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = WORD.findall((text or "").lower())
-        if len(words) < self.n:
-            return np.empty(0, np.uint64)
+    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         if len(self.words) > 2_000_000:
             self.words.clear()
-        known = self.words
-        ids = []
-        for w in words:
-            h = known.get(w)
-            if h is None:
-                h = known[w] = xxhash.xxh3_64_intdigest(w)
-            ids.append(h)
+        known, ids, sizes = self.words, [], []
+        for text in texts:
+            words = WORD.findall(text.lower()) if isinstance(text, str) else ()
+            try:
+                ids += [known[w] for w in words]
+            except KeyError:
+                for w in words:
+                    if w not in known:
+                        known[w] = xxhash.xxh3_64_intdigest(w)
+                ids += [known[w] for w in words]
+            sizes.append(len(words))
         a = np.array(ids, np.uint64)
-        h = a[: len(a) - self.n + 1].copy()
-        for k in range(1, self.n):
-            h = _mix(h * _M + a[k : len(a) - self.n + 1 + k])
-        return np.unique(h)
+        m = max(0, len(a) - self.n + 1)
+        h = a[:m].copy()
+        for k in range(1, self.n):  # over the whole batch; what reaches over a text's end is left out below
+            h = _mix(h * _M + a[k : m + k])
+        end = np.cumsum(sizes)
+        return [np.unique(h[e - n : max(e - n, e - self.n + 1)]) for e, n in zip(end, sizes)]
 
 
 def _seeds(count: int) -> tuple[np.ndarray, np.ndarray]:
@@ -75,21 +78,27 @@ def signature(shingles: np.ndarray, mul: np.ndarray, add: np.ndarray) -> np.ndar
     """The lowest value of each hash function, B_BITS bits of it."""
     best = np.full(len(mul), np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(shingles), 4096):
-        h = shingles[i : i + 4096, None] * mul + add
-        np.minimum(best, h.min(axis=0), out=best)
+        h = mul[:, None] * shingles[i : i + 4096]
+        h += add[:, None]
+        np.minimum(best, h.min(axis=1), out=best)
     return (_mix(best) & np.uint64((1 << B_BITS) - 1)).astype(np.uint16)
 
 
+#: Texts whose sequences are hashed at a time.
+_TEXTS = 200
+
+
 def _signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     shingler, (mul, add) = Shingler(), _seeds(CHUNKS * PARTS)
     for pdf in batches:
         ids, classes, sigs = [], [], []
-        for i, text in zip(pdf.doc_id, pdf.text):
-            s = shingler(text)
-            if len(s):
-                ids.append(i)
-                classes.append(xxhash.xxh3_128_digest(s.tobytes()))
-                sigs.append(signature(s, mul, add).tobytes())
+        for k in range(0, len(pdf), _TEXTS):
+            part = pdf.iloc[k : k + _TEXTS]
+            for i, s in zip(part.doc_id, shingler(part.text.tolist())):
+                if len(s):
+                    ids.append(i)
+                    classes.append(xxhash.xxh3_128_digest(s.tobytes()))
+                    sigs.append(signature(s, mul, add).tobytes())
         yield pd.DataFrame({"doc_id": np.array(ids, np.int64), "class": classes, "sig": sigs})
 
 
@@ -114,8 +123,10 @@ def _keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     shingler = Shingler()
     for pdf in batches:
-        sets = [(shingler(t) & np.uint64(0xFFFFFFFF)).astype(np.uint32) for t in pdf.text]
-        yield pd.DataFrame({"doc_id": pdf.doc_id, "s": [np.unique(x).tobytes() for x in sets]})
+        for k in range(0, len(pdf), _TEXTS):
+            part = pdf.iloc[k : k + _TEXTS]
+            sets = [np.unique((s & np.uint64(0xFFFFFFFF)).astype(np.uint32)).tobytes() for s in shingler(part.text.tolist())]
+            yield pd.DataFrame({"doc_id": part.doc_id, "s": sets})
 
 
 def _similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -162,7 +173,7 @@ def class_pairs(docs: DataFrame, reps: DataFrame) -> DataFrame:
         .mapInPandas(_agree, "lo long, hi long")
     )
     wanted = near.select(F.col("lo").alias("doc_id")).union(near.select("hi")).distinct()
-    sets = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").mapInPandas(_shingles, "doc_id long, s binary")
+    sets = cut(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").mapInPandas(_shingles, "doc_id long, s binary"))
     return (
         near.join(sets.toDF("lo", "s_lo"), "lo")
         .join(sets.toDF("hi", "s_hi"), "hi")
