@@ -70,23 +70,37 @@ def ece(results: DataFrame, *keys: str, n_bins: int = 10) -> DataFrame:
     )
 
 
+#: Width of the blocks of confidences in which running sums are taken, as parts of 1.
+BLOCKS = 4096
+
+
+def below(by: DataFrame, *keys: str) -> DataFrame:
+    """``by`` with the wrong results of all lower confidences. Sums run within narrow blocks of
+    confidences; only the list of blocks is summed up in one task a key."""
+    wrong = F.col("n") - F.col("k")
+    blocked = by.withColumn("_b", F.floor(F.col("confidence") * BLOCKS))
+    lower = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    base = blocked.groupBy(*keys, "_b").agg(F.sum(wrong).alias("_w")).withColumn("_w0", F.coalesce(F.sum("_w").over(lower), F.lit(0))).drop("_w")
+    inside = Window.partitionBy(*keys, "_b").orderBy("confidence").rowsBetween(Window.unboundedPreceding, -1)
+    return blocked.join(base, [*keys, "_b"]).withColumn("below", F.col("_w0") + F.coalesce(F.sum(wrong).over(inside), F.lit(0))).drop("_b", "_w0")
+
+
 def discrimination(results: DataFrame, *keys: str) -> DataFrame:
     """Mean confidence of right and wrong results, their gap, and AUROC with ties counted
     half; 0.5 where one class is missing."""
-    below = Window.partitionBy(*keys).orderBy("confidence").rowsBetween(Window.unboundedPreceding, -1)
     wrong = F.col("n") - F.col("k")
     area = F.sum(F.col("k") * (F.col("below") + 0.5 * wrong))
     k, w = F.sum("k"), F.sum(wrong)
+    mean = lambda x, n: ratio(F.sum(x * F.col("confidence")), n)
     return (
-        by_confidence(results, *keys)
-        .withColumn("below", F.coalesce(F.sum(wrong).over(below), F.lit(0)))
+        below(by_confidence(results, *keys), *keys)
         .groupBy(*keys)
         .agg(
             k.alias("n_correct"),
             w.alias("n_wrong"),
-            F.round(ratio(F.sum(F.col("k") * F.col("confidence")), k), 6).alias("mean_correct"),
-            F.round(ratio(F.sum(wrong * F.col("confidence")), w), 6).alias("mean_wrong"),
-            F.round(ratio(F.sum(F.col("k") * F.col("confidence")), k) - ratio(F.sum(wrong * F.col("confidence")), w), 6).alias("gap"),
+            F.round(mean(F.col("k"), k), 6).alias("mean_correct"),
+            F.round(mean(wrong, w), 6).alias("mean_wrong"),
+            F.round(mean(F.col("k"), k) - mean(wrong, w), 6).alias("gap"),
             F.round(F.coalesce(F.try_divide(area, (k * w).cast("double")), F.lit(0.5)), 6).alias("auroc"),
         )
     )

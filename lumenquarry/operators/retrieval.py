@@ -82,10 +82,14 @@ def filtered_topk(queries: DataFrame, vectors: DataFrame, labels: DataFrame, k:
     return over.withColumn("r", F.row_number().over(again)).filter(F.col("r") <= k).select("query_id", "doc_id", "score", F.col("r").alias("rank"))
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """term, doc_id, tf, dl: the index as a table. ``docs`` has doc_id and text."""
+def postings(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """term, doc_id, tf, dl: the index as a table, of the ``terms`` alone if they are given
+    (other words are dropped before anything is shuffled by document). ``docs`` has doc_id and text."""
     tokens = docs.select("doc_id", T.bm25_tokens(F.col("text")).alias("w"))
-    return tokens.select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"))
+    tokens = tokens.select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("term"))
+    if terms is not None:
+        tokens = tokens.join(terms, "term", "left_semi")
+    return tokens.groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"))
 
 
 def term_weights(docs: DataFrame) -> DataFrame:
@@ -107,7 +111,7 @@ def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = CANDIDATES) -> DataF
     wanted = asked.select("term").distinct()
     lengths = docs.select("doc_id", F.size(T.bm25_tokens(F.col("text"))).alias("dl"))
     avgdl = lengths.agg(F.avg("dl").alias("avgdl"))  # one row
-    hits = postings(docs).join(wanted, "term", "left_semi")
+    hits = postings(docs, wanted)
     weight = term_weights(docs).join(wanted, "term", "left_semi")
     tf = F.col("tf").cast("double")
     part = F.col("times") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
