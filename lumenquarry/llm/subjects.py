@@ -35,8 +35,9 @@ LEAST_SHARE = 0.25
 MIN_SUPPORT, MIN_COUNT, MIN_CONFIDENCE, RULE_WORDS = 0.001, 4, 0.5, 4
 #: A longer rule is redundant unless it is surer by this much than all shorter ones within it.
 GAIN = 0.05
-#: Documents in which a word must stand to be an item.
-MIN_DOCUMENTS = 3
+#: Documents in which a word must stand to be an item, and how many times the even share of a
+#: subject's documents it may stand in before it belongs to none.
+MIN_DOCUMENTS, MOST_DOCUMENTS = 3, 2.5
 #: Pseudo-counts that draw a rate towards the class's share.
 SHRINK = 4.0
 #: Lift (natural logarithm) and share of one class from which a word is an item, and statement
@@ -165,7 +166,7 @@ def fit(docs: DataFrame, labels: DataFrame, areas: DataFrame, cases: DataFrame)
         return {w: [math.log((n[c] + SHRINK * p) / (n[k] + SHRINK) / p) for c, p in enumerate(prior)] for w, n in counts.items() if n[k] >= 2}
 
     lift = lifts(uses)
-    common = {w for w, n in uses.items() if n[k] >= MIN_DOCUMENTS}
+    common = {w for w, n in uses.items() if MIN_DOCUMENTS <= n[k] <= MOST_DOCUMENTS * len(sample) / (k - 1)}
     chosen: list[tuple[list[str], int | None]] = []
     for _ in range(2):  # tell the statements of a document apart, then count words by statement
         chosen, uses = [], {}
