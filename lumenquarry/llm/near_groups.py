@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WORD, cut
+from .shared import WORD, cut, keyed
 
 SHINGLE_WORDS, THRESHOLD = 3, 0.6
 CHUNKS, PARTS, B_BITS = 16, 5, 16
@@ -149,7 +149,7 @@ def _agree(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, class) of every document with at least three words, and (class, rep, sig)."""
-    signed = cut(docs.select("doc_id", "text").mapInPandas(_signatures, "doc_id long, class binary, sig binary"))
+    signed = cut(keyed(docs, "doc_id", "text").mapInPandas(_signatures, "doc_id long, class binary, sig binary"))
     reps = signed.groupBy("class").agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig"))
     return signed.select("doc_id", "class"), cut(reps)
 
@@ -173,7 +173,7 @@ def class_pairs(docs: DataFrame, reps: DataFrame) -> DataFrame:
         .mapInPandas(_agree, "lo long, hi long")
     )
     wanted = near.select(F.col("lo").alias("doc_id")).union(near.select("hi")).distinct()
-    sets = cut(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").mapInPandas(_shingles, "doc_id long, s binary"))
+    sets = cut(keyed(docs, "doc_id", "text").join(wanted, "doc_id", "left_semi").mapInPandas(_shingles, "doc_id long, s binary"))
     return (
         near.join(sets.toDF("lo", "s_lo"), "lo")
         .join(sets.toDF("hi", "s_hi"), "hi")
@@ -185,8 +185,8 @@ def class_pairs(docs: DataFrame, reps: DataFrame) -> DataFrame:
 
 def document_pairs(docs: DataFrame) -> DataFrame:
     """doc_id_lo, doc_id_hi of all pairs of documents at THRESHOLD or above, those of equal
-    sets included. Documents of fewer than three words (null and empty texts too) have no
-    pair; doc_id is unique, a repeated one counts once."""
+    sets included. Documents of fewer than three words (null and empty texts too) and rows
+    without doc_id have no pair; a repeated doc_id is no pair with itself."""
     members, reps = classes(docs)
     pairs = class_pairs(docs, reps).select("lo", "hi")
     size = members.groupBy("class").agg(F.countDistinct("doc_id").alias("n"), F.min("doc_id").alias("rep"))
@@ -196,7 +196,7 @@ def document_pairs(docs: DataFrame) -> DataFrame:
         pairs.unionByName(same)
         .join(member.toDF("x", "lo"), "lo")
         .join(member.toDF("y", "hi"), "hi")
-        .filter("lo <> hi OR x < y")
+        .filter("(lo <> hi AND x <> y) OR x < y")
         .select(F.least("x", "y").alias("doc_id_lo"), F.greatest("x", "y").alias("doc_id_hi"))
     )
 

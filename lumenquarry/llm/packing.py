@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, keyed
 
 CAPACITY, BLOCK_ITEMS, BLOCKS_PER_TASK = 1024, 1000, 8
 TOKENIZERS = os.environ.get("LUMENQUARRY_TOKENIZERS", "/opt/tokenizers")
@@ -31,7 +31,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 
 
 def token_counts(docs: DataFrame, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
-    """doc_id, n_tokens; null and empty texts have 0 tokens."""
+    """doc_id, n_tokens; null and empty texts have 0 tokens, rows without doc_id are left out."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import tiktoken
@@ -44,7 +44,7 @@ def token_counts(docs: DataFrame, folder: str = TOKENIZERS, vocabulary: str = VO
                 {"doc_id": pdf.doc_id, "n_tokens": [len(encoding.encode_ordinary(t)) if isinstance(t, str) else 0 for t in pdf.text]}
             )
 
-    return docs.select("doc_id", "text").mapInPandas(rows, "doc_id long, n_tokens long")
+    return keyed(docs, "doc_id", "text").mapInPandas(rows, "doc_id long, n_tokens long")
 
 
 def differencing(sizes: np.ndarray, windows: int) -> list[tuple[int, list[int]]]:

@@ -60,5 +60,10 @@ def digest(*cols: Column) -> Column:
     return F.unhex(F.md5(F.concat_ws("\x1f", *[F.coalesce(c, F.lit("")) for c in cols])))
 
 
+def keyed(df: DataFrame, key: str, *columns: str) -> DataFrame:
+    """``key`` and ``columns`` of the rows that have a key; a row without one can't be reported."""
+    return df.filter(F.col(key).isNotNull()).select(key, *columns)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WORD
+from .shared import WORD, keyed
 
 #: Bounds of the fitting sample: labelled documents and case descriptions.
 FIT_DOCUMENTS, FIT_CASES = 4000, 2000
@@ -130,7 +130,7 @@ def _sample(docs: DataFrame, labels: DataFrame, areas: DataFrame) -> pd.DataFram
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(FIT_DOCUMENTS)
     )
-    one = docs.select("doc_id", "text").filter("text IS NOT NULL")
+    one = keyed(docs, "doc_id", "text").filter("text IS NOT NULL")
     return one.join(labelled, "doc_id").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id", ignore_index=True)
 
 
@@ -250,7 +250,8 @@ def _pruned(found: dict[tuple[frozenset, int], tuple[float, float]], prior: list
 def document_subjects(docs: DataFrame, labels: DataFrame, areas: DataFrame, cases: DataFrame) -> DataFrame:
     """doc_id, subject, n_statements, n_with_subject of every subject that holds at least
     LEAST_SHARE of the document's statements with a subject. Documents without such a
-    statement (null and empty texts too) have no row; without labels nobody has one."""
+    statement (null and empty texts too) and rows without doc_id have no row; without labels
+    nobody has one."""
     schema = "doc_id long, subject string, n_statements long, n_with_subject long"
     model = fit(docs, labels, areas, cases)
     if model is None:
@@ -270,7 +271,7 @@ def document_subjects(docs: DataFrame, labels: DataFrame, areas: DataFrame, case
                 out += [(doc, m.classes[c], n, total) for c, n in count.items() if n >= LEAST_SHARE * total]
             yield pd.DataFrame(out, columns=["doc_id", "subject", "n_statements", "n_with_subject"])
 
-    return docs.select("doc_id", "text").mapInPandas(rows, schema)
+    return keyed(docs, "doc_id", "text").mapInPandas(rows, schema)
 
 
 def composition(docs: DataFrame, labels: DataFrame, areas: DataFrame, cases: DataFrame) -> DataFrame:
