@@ -65,8 +65,8 @@ def ranked(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
-def filtered_topk(queries: DataFrame, vectors: DataFrame, labels: DataFrame, k: int = TOP_K, mode: str = "reference") -> DataFrame:
-    """Top k among the documents with the query's label. ``reference`` fetches 3k and filters
+def filtered_topk(queries: DataFrame, vectors: DataFrame, labels: DataFrame, k: int = TOP_K, mode: str = "overfetch") -> DataFrame:
+    """Top k among the documents with the query's label. ``overfetch`` fetches 3k and filters
     afterwards, so it may return fewer; ``pushdown`` filters before it ranks, label by label."""
     wanted = queries.select("query_id", F.col("label").alias("wanted"))
     if mode == "pushdown":
