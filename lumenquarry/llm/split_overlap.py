@@ -259,28 +259,57 @@ class BackwardIndex:
         return np.searchsorted(self.starts, out, "right") - 1
 
 
-def _entries(evaluation: bool, bits):
+def _key_rows(bits):
+    """The keys of evaluation records that are in the filter."""
+
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         inside = bits.value
         for pdf in batches:
-            keys, at, n = [], [], []
-            for s in pdf.symbols:
-                k, p = _keys(np.frombuffer(s, np.uint64), evaluation)
-                ok = _inside(inside, k)
-                keys.append(k[ok])
-                at.append(p[ok])
-                n.append(int(ok.sum()))
-            if sum(n):
-                yield pd.DataFrame(
-                    {"key": np.concatenate(keys).view(np.int64), "at": np.concatenate(at).astype(np.int32), "class": np.repeat(pdf["class"].to_numpy(), n), "symbols": np.repeat(pdf.symbols.to_numpy(), n)}
-                )
+            if len(pdf):
+                k = np.concatenate([_keys(np.frombuffer(v, np.uint64), True)[0] for v in pdf.symbols])
+                yield pd.DataFrame({"key": k[_inside(inside, k)].view(np.int64)})
+
+    return rows
+
+
+def _routed(evaluation: bool, bits, hot, shards: int):
+    """A record once for each shard that one of its keys belongs to, with these keys. A hot key
+    has several blocks: an evaluation record is in one of them, a training record meets all."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        inside, blocks_of = bits.value, hot.value
+        for pdf in batches:
+            out = []
+            for cls, symbols in zip(pdf["class"], pdf.symbols):
+                keys, at = _keys(np.frombuffer(symbols, np.uint64), evaluation)
+                ok = _inside(inside, keys)
+                keys, at = keys[ok], at[ok].astype(np.int32)
+                if not len(keys):
+                    continue
+                block = np.zeros(len(keys), np.uint64)
+                if blocks_of:
+                    n = np.array([blocks_of.get(k, 1) for k in keys.view(np.int64).tolist()])
+                    if evaluation:
+                        block = (np.uint64(int.from_bytes(cls[:8], "little")) % n.astype(np.uint64)).astype(np.uint64)
+                    else:
+                        keys, at = np.repeat(keys, n), np.repeat(at, n)
+                        block = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)).astype(np.uint64)
+                shard = (_mix(keys + block * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(shards)).astype(np.int64)
+                for s in np.unique(shard):
+                    own = shard == s
+                    out.append((s, 0 if evaluation else 1, cls, symbols, keys[own].tobytes(), at[own].tobytes()))
+            yield pd.DataFrame(out, columns=["shard", "side", "class", "symbols", "keys", "at"])
 
     return rows
 
 
+#: Words behind a key that the index holds; a longer match is followed in the records themselves.
+TAIL = 64
+
+
 def _search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows sorted by shard, evaluation entries first."""
-    shard, pending, index = None, [], None
+    shard, pending, index, held = None, [], None, None
     for pdf in batches:
         edges = np.flatnonzero(np.diff(pdf["shard"].to_numpy() * 2 + pdf.side.to_numpy())) + 1
         for a, b in zip([0, *edges], [*edges, len(pdf)]):
@@ -288,7 +317,7 @@ def _search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if not len(part):
                 continue
             if part["shard"].iat[0] != shard:
-                shard, pending, index = part["shard"].iat[0], [], None
+                shard, pending, index, held = part["shard"].iat[0], [], None, None
             if part.side.iat[0] == 0:
                 pending.append(part)
                 continue
@@ -296,72 +325,103 @@ def _search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 continue
             if index is None:
                 y = pd.concat(pending)
-                ys = [np.frombuffer(s, np.uint64) for s in y.symbols]
-                index = BackwardIndex([np.append(s[p + 1 :][::-1], np.uint64(k)) for s, p, k in zip(ys, y["at"], y.key.to_numpy().view(np.uint64))])
-                y_class = y["class"].to_numpy()
-            yield from _matches(part, index, ys, y_class)
+                ys = [np.frombuffer(v, np.uint64) for v in y.symbols]
+                owner, at, keys = _flat(y)
+                entries = [np.append(ys[o][p + 1 : p + 1 + TAIL][::-1], k) for o, p, k in zip(owner, at, keys)]
+                index, held = BackwardIndex(entries), (ys, y["class"].to_numpy(), owner, at)
+            yield from _matches(part, index, held)
+
+
+def _flat(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, position and key of every key of the rows."""
+    keys, at = [np.frombuffer(k, np.uint64) for k in rows["keys"]], [np.frombuffer(a, np.int32) for a in rows["at"]]
+    return np.repeat(np.arange(len(rows)), [len(k) for k in keys]), np.concatenate(at).astype(np.int64), np.concatenate(keys)
 
 
-#: Occurrences that are followed at a time.
-_OCCURRENCES = 400_000
+#: Occurrences that are followed, and words that are compared, at a time.
+_OCCURRENCES, _WORDS = 400_000, 4_000_000
 
 
-def _matches(part: pd.DataFrame, index: BackwardIndex, ys: list[np.ndarray], y_class: np.ndarray) -> Iterator[pd.DataFrame]:
-    first = index.symbol(part.key.to_numpy().view(np.uint64))
+def _matches(part: pd.DataFrame, index: BackwardIndex, held) -> Iterator[pd.DataFrame]:
+    row, at, keys = _flat(part)
+    first = index.symbol(keys)
     lo, hi = index.extend(np.maximum(first, 0), 0, index.n)
-    rows = np.flatnonzero((first >= 0) & (hi > lo))
-    if not len(rows):
+    found = np.flatnonzero((first >= 0) & (hi > lo))
+    if not len(found):
         return
-    ends = np.cumsum((hi - lo)[rows])
-    for chunk in np.split(rows, np.searchsorted(ends, np.arange(_OCCURRENCES, ends[-1], _OCCURRENCES))):
+    ends = np.cumsum((hi - lo)[found])
+    # all keys of a row stay together, so that a pair is looked at once a shard
+    bounds = np.searchsorted(ends, np.arange(_OCCURRENCES, ends[-1], _OCCURRENCES))
+    starts = np.searchsorted(row[found], row[found][bounds], "left") if len(bounds) else bounds
+    for chunk in np.split(found, np.unique(starts[starts > 0])):
         if len(chunk):
-            found = _follow(part, chunk, lo[chunk], hi[chunk], index, ys, y_class)
-            if len(found):
-                yield found
+            out = _follow(part, row[chunk], at[chunk], lo[chunk], hi[chunk], index, held)
+            if len(out):
+                yield out
 
 
-def _follow(part, rows, lo, hi, index: BackwardIndex, ys, y_class) -> pd.DataFrame:
-    """Pairs of the threshold among the occurrences lo..hi of each row's key."""
-    xs = [np.frombuffer(part.symbols.iat[r], np.uint64) for r in rows]
-    at = part["at"].to_numpy()[rows]
+def _follow(part, row, at, lo, hi, index: BackwardIndex, held) -> pd.DataFrame:
+    """Pairs of the threshold among the occurrences lo..hi of the keys of training rows."""
+    ys, y_class, y_of, y_at = held
+    xs = {r: np.frombuffer(part.symbols.iat[r], np.uint64) for r in np.unique(row)}
     count = hi - lo
-    x = np.repeat(np.arange(len(rows)), count)
+    x, p = np.repeat(row, count), np.repeat(at, count)
     suffix = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)
     e = index.entries(suffix)
-    nx, ny = np.array([len(v) for v in xs])[x], np.array([len(v) for v in ys])[e]
-    fits = (nx * DEN >= NUM * ny) & (ny * DEN >= NUM * nx)
-    x, e, suffix, nx, ny = x[fits], e[fits], suffix[fits], nx[fits], ny[fits]
+    y, q = y_of[e], y_at[e]
+    size_x, size_y = np.zeros(len(part), np.int64), np.array([len(v) for v in ys])
+    size_x[list(xs)] = [len(v) for v in xs.values()]
+    nx, ny = size_x[x], size_y[y]
+    # lengths that can agree, and words before the keys that then can't be common
+    fits = (nx * DEN >= NUM * ny) & (ny * DEN >= NUM * nx) & ((p + q) * NUM <= (DEN - NUM) * np.minimum(nx - p, ny - q))
+    order = np.flatnonzero(fits)
+    order = order[np.lexsort((p[order], y[order], x[order]))]
+    one = np.ones(len(order), bool)
+    one[1:] = (x[order][1:] != x[order][:-1]) | (y[order][1:] != y[order][:-1])
+    pick = order[one]  # the earliest key of each pair
+    x, p, y, q, suffix, nx, ny = x[pick], p[pick], y[pick], q[pick], suffix[pick], nx[pick], ny[pick]
+    if not len(x):
+        return pd.DataFrame()
 
     # maximal matches: every occurrence is extended to the left while the index agrees
-    width = max((len(v) - p - 1 for v, p in zip(xs, at)), default=0)
-    ahead = np.full((len(xs), width + 1), -1, np.int64)
-    tails = [v[p + 1 :] for v, p in zip(xs, at)]
-    sizes = np.array([len(t) for t in tails])
-    ahead[np.repeat(np.arange(len(tails)), sizes), np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = index.symbol(np.concatenate(tails))
+    flat = np.concatenate([xs[r] for r in xs])
+    begin = dict(zip(xs, np.cumsum([0, *(len(v) for v in xs.values())])))
+    ranks, ahead = index.symbol(flat), np.array([begin[r] for r in x]) + p + 1
     run, live, here = np.ones(len(x), np.int64), np.arange(len(x)), suffix
-    for depth in range(width):
-        same = index.bwt[here] == ahead[x[live], depth]
+    for depth in range(TAIL):
+        inside = p[live] + 1 + depth < nx[live]
+        live, here = live[inside], here[inside]
+        same = index.bwt[here] == ranks[ahead[live] + depth]
         live, here = live[same], here[same]
         if not len(live):
             break
         run[live] += 1
         here = index.previous(here)
+    for k in live:  # matches that go on behind what the index holds
+        a, b = xs[x[k]][p[k] + 1 + TAIL :], ys[y[k]][q[k] + 1 + TAIL :]
+        m = min(len(a), len(b))
+        differ = np.flatnonzero(a[:m] != b[:m])
+        run[k] += differ[0] if len(differ) else m
 
     # all matches of a pair merged: the words common to both, and the first of them
-    pair = np.arange(len(x))
-    left, right = [xs[i] for i in x], [ys[i] for i in e]
-    symbols = np.concatenate([*left, *right]) if len(x) else np.empty(0, np.uint64)
-    owner = np.concatenate([np.repeat(pair, nx), np.repeat(pair, ny)])
-    rank = np.concatenate([np.arange(len(v)) for v in left] + [np.full(len(v), -1) for v in right]) if len(x) else np.empty(0, np.int64)
-    order = np.lexsort((symbols, owner))
-    twice = np.flatnonzero((symbols[order][1:] == symbols[order][:-1]) & (owner[order][1:] == owner[order][:-1]))
-    who = owner[order][twice]
-    common = np.bincount(who, minlength=len(x))
-    earliest = np.full(len(x), np.iinfo(np.int64).max)
-    np.minimum.at(earliest, who, np.maximum(rank[order][twice], rank[order][twice + 1]))
-    ok = (common * DEN >= NUM * (nx + ny - common)) & (earliest == at[x])
+    common, earliest = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
+    parts = np.searchsorted(np.cumsum(nx + ny), np.arange(_WORDS, (nx + ny).sum(), _WORDS))
+    for chunk in np.split(np.arange(len(x)), np.unique(parts[parts > 0])):
+        left, right = [xs[r] for r in x[chunk]], [ys[r] for r in y[chunk]]
+        symbols = np.concatenate([*left, *right])
+        n, m = nx[chunk], ny[chunk]
+        owner = np.concatenate([np.repeat(np.arange(len(chunk)), n), np.repeat(np.arange(len(chunk)), m)])
+        rank = np.concatenate([np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n), np.full(m.sum(), -1)])
+        by = np.lexsort((symbols, owner))
+        twice = np.flatnonzero((symbols[by][1:] == symbols[by][:-1]) & (owner[by][1:] == owner[by][:-1]))
+        who = owner[by][twice]
+        common[chunk] = np.bincount(who, minlength=len(chunk))
+        least = np.full(len(chunk), np.iinfo(np.int64).max)
+        np.minimum.at(least, who, np.maximum(rank[by][twice], rank[by][twice + 1]))
+        earliest[chunk] = least
+    ok = (common * DEN >= NUM * (nx + ny - common)) & (earliest == p)
     return pd.DataFrame(
-        {"x": part["class"].to_numpy()[rows][x[ok]], "y": y_class[e[ok]], "n_common": common[ok], "n_either": (nx + ny - common)[ok], "longest_run": run[ok]}
+        {"x": part["class"].to_numpy()[x[ok]], "y": y_class[y[ok]], "n_common": common[ok], "n_either": (nx + ny - common)[ok], "longest_run": run[ok]}
     )
 
 
@@ -378,29 +438,23 @@ def class_matches(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     both = key_filter(train_rows, False, keys_each * train_rows.count(), of_eval)
     bits = spark.sparkContext.broadcast(both)
     one = lambda rows: rows.groupBy("class").agg(F.min("symbols").alias("symbols"))
-    shape = "key long, at int, class binary, symbols binary"
-    y = cut(one(eval_rows).mapInPandas(_entries(True, bits), shape))
-    x = one(train_rows).mapInPandas(_entries(False, bits), shape)
-    total = y.count()
+    held_classes = cut(one(eval_rows))
+    keys = held_classes.select("symbols").mapInPandas(_key_rows(bits), "key long").groupBy("key").agg(F.count("*").alias("n"))
+    total, most = keys.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    hot = {}
+    if most > KEY_ENTRIES:  # at most total / KEY_ENTRIES of them
+        hot = {r.key: -(-r.n // KEY_ENTRIES) for r in keys.filter(F.col("n") > KEY_ENTRIES).collect()}
+    hot = spark.sparkContext.broadcast(hot)
     shards = max(1, -(-total // SHARD_ENTRIES))
-    spread = F.lit(0)
-    if total > KEY_ENTRIES:  # a key held by very many entries is spread over several blocks
-        hot = y.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > KEY_ENTRIES)
-        hot = hot.select("key", F.ceil(F.col("n") / KEY_ENTRIES).cast("int").alias("blocks"))
-        blocks = F.coalesce("blocks", F.lit(1))
-        y = y.join(hot, "key", "left").withColumn("block", F.pmod(F.xxhash64("class"), blocks))
-        x = x.join(hot, "key", "left").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    else:
-        y, x = y.withColumn("block", spread), x.withColumn("block", spread)
-    shard = F.pmod(F.xxhash64("key", F.col("block").cast("long")), F.lit(shards)).cast("int")
-    columns = ["shard", "side", "key", "at", "class", "symbols"]
-    routed = (
-        y.withColumn("side", F.lit(0)).withColumn("shard", shard).select(columns)
-        .unionByName(x.withColumn("side", F.lit(1)).withColumn("shard", shard).select(columns))
+    shape = "shard long, side int, class binary, symbols binary, keys binary, at binary"
+    y = held_classes.mapInPandas(_routed(True, bits, hot, shards), shape)
+    x = one(train_rows).mapInPandas(_routed(False, bits, hot, shards), shape)
+    found = (
+        y.unionByName(x)
         .repartition(shards, "shard")
         .sortWithinPartitions("shard", "side")
+        .mapInPandas(_search, "x binary, y binary, n_common long, n_either long, longest_run long")
     )
-    found = routed.mapInPandas(_search, "x binary, y binary, n_common long, n_either long, longest_run long")
     member = lambda rows: rows.select("class", "sample_id").distinct()
     return cut(found), member(train_rows), member(eval_rows)
 

@@ -69,6 +69,13 @@ def test_overlap_of_hot_keys_in_blocks(spark, monkeypatch):
     assert len(got) == len(set(got)) and set(got) == overlap_truth(rows)
 
 
+def test_overlap_of_very_long_questions(spark):
+    words = [f"w{i}" for i in range(8000)]
+    rows = [("x_train_1", " ".join(words), "yes"), ("x_val_1", " ".join(words[300:] + ["a"] * 9), "yes"), ("x_test_2", " ".join(words[4000:]), "yes"), ("x_train_2", "w1 w2", "yes")]
+    got = {(r.train_id, r.eval_id): r for r in split_overlap.pairs(split_overlap.split_records(spark.createDataFrame(rows, SAMPLE))).collect()}
+    assert set(got) == {("x_train_1", "x_val_1")} and got["x_train_1", "x_val_1"].n_common == 7700
+
+
 def test_overlap_of_nothing(spark):
     assert split_overlap.pairs(split_overlap.split_records(spark.createDataFrame([], SAMPLE))).count() == 0
 
