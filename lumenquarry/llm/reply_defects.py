@@ -19,10 +19,12 @@ The models keep contexts by their share of all replies, so their size has a boun
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -147,11 +149,16 @@ class Endings:
         self.pairs = pairs
         for (a, b), n in pairs.items():
             self.followers.setdefault(a, []).append((b, n))
+        for known in self.followers.values():
+            known.sort()
 
     def cut_off(self, words: list[str]) -> bool:
         if not words:
             return False
-        passed, ended = self.templates.get(template(words, self.slots), (0, 0))
+        whole = 0
+        for whole in contexts(template(words, self.slots)):
+            pass
+        passed, ended = self.templates.get(whole, (0, 0))
         if passed >= LEAST_SEEN and ended <= TEMPLATE_ENDS * passed:
             return True
         last, before = words[-1], words[-2] if len(words) > 1 else "\x02"
@@ -160,17 +167,32 @@ class Endings:
             return True
         if len(last) > 1 and last.isdigit():
             return False
-        own = self.pairs.get((before, last), 0)
-        return any(n >= max(3, 5 * own) and len(w) > len(last) and w.startswith(last) for w, n in self.followers.get(before, ()))
+        own, known = self.pairs.get((before, last), 0), self.followers.get(before, [])
+        for i in range(bisect_right(known, (last, float("inf"))), len(known)):  # words that begin with the last one
+            w, n = known[i]
+            if not w.startswith(last):
+                return False
+            if n >= max(3, 5 * own):
+                return True
+        return False
 
 
-def template(words: list[str], slots: set[str]) -> str:
+def template(words: list[str], slots: set[str]) -> list[str]:
+    """The words with slots and numbers as signs, slots in a row as one."""
     out: list[str] = []
     for w in words:
         t = "0" if w.isdigit() else "_" if w in slots and not SCRIPTS["han"].match(w) else w
         if not (t == "_" and out and out[-1] == "_"):
             out.append(t)
-    return " ".join(out)
+    return out
+
+
+def contexts(signs: list[str]) -> Iterator[int]:
+    """A number for each beginning of a template, the whole one last."""
+    h = 0
+    for t in signs:
+        h = xxhash.xxh3_64_intdigest(t, h)
+        yield h - (1 << 64) if h >> 63 else h
 
 
 def replies(samples: DataFrame, results: DataFrame) -> DataFrame:
@@ -212,19 +234,27 @@ def _word_rows(uses, ends, short, pairs) -> pd.DataFrame:
     return pd.DataFrame([*one, *((a, b, n, 0, 0) for (a, b), n in pairs.items())], columns=["a", "b", "n", "ends", "short"])
 
 
-def _count_templates(slots):
+def _count_contexts(slots):
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = slots.value
-        found: Counter = Counter()
+        passed, ended = Counter(), Counter()
+
+        def settle() -> pd.DataFrame:
+            out = pd.DataFrame({"context": list(passed), "passed": list(passed.values()), "ended": [ended[c] for c in passed]}, dtype="int64")
+            passed.clear()
+            ended.clear()
+            return out
+
         for pdf in batches:
             for reply, n in pdf.reply.value_counts().items():
-                w = tokens(reply)
-                if w:
-                    found[template(w, known)] += n
-            if len(found) > 200_000:
-                yield pd.DataFrame(found.items(), columns=["t", "n"])
-                found.clear()
-        yield pd.DataFrame(found.items(), columns=["t", "n"])
+                last = None
+                for last in contexts(template(tokens(reply), known)):
+                    passed[last] += n
+                if last is not None:
+                    ended[last] += n
+                if len(passed) > 500_000:
+                    yield settle()
+        yield settle()
 
     return rows
 
@@ -244,18 +274,14 @@ def endings(pairs: DataFrame) -> Endings:
     words = {r.b: (r.n, r.ends, r.short) for r in kept[kept.a == ""].itertuples()}
     follow = {(r.a, r.b): r.n for r in kept[kept.a != ""].itertuples()}
     model = Endings(words, {}, follow)
-    templates = (
-        reply.mapInPandas(_count_templates(spark.sparkContext.broadcast(model.slots)), "t string, n long")
-        .groupBy("t")
-        .agg(F.sum("n").alias("n"))
-        .withColumn("w", F.split("t", " "))
-        .select("n", F.size("w").alias("size"), F.posexplode("w").alias("i", "_x"), "w")
-        .groupBy(F.array_join(F.slice("w", 1, F.col("i") + 1), " ").alias("context"))
-        .agg(F.sum("n").alias("passed"), F.sum(F.when(F.col("i") + 1 == F.col("size"), F.col("n")).otherwise(0)).alias("ended"))
+    found = (
+        reply.mapInPandas(_count_contexts(spark.sparkContext.broadcast(model.slots)), "context long, passed long, ended long")
+        .groupBy("context")
+        .agg(F.sum("passed").alias("passed"), F.sum("ended").alias("ended"))
         .filter(F.col("passed") >= max(LEAST_SEEN, least))
-        .toPandas()
+        .toArrow()
     )
-    model.templates = {r.context: (r.passed, r.ended) for r in templates.itertuples()}
+    model.templates = dict(zip(found["context"].to_pylist(), zip(found["passed"].to_pylist(), found["ended"].to_pylist())))
     return model
 
 
