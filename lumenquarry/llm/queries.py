@@ -168,6 +168,12 @@ def _runs(n: int) -> str:
     return f"list_transform(range(1, len(w) - {n - 2}), lambda i: array_to_string(w[i:i + {n - 1}], ' '))"
 
 
+_LEAKS = f"""
+        WITH i AS (SELECT item_id, {_WORDS.format('passage')} AS w FROM eval_items UNION ALL SELECT item_id, {_WORDS.format('question')} FROM eval_items),
+        g AS (SELECT DISTINCT item_id, unnest({_runs(12)}) AS x FROM i WHERE len(w) >= 12),
+        v AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents),
+        d AS (SELECT doc_id, unnest({_runs(12)}) AS x FROM v WHERE len(w) >= 12)"""
+
 SQL: dict[str, str] = {
     "p1_found": rf"""
         WITH r AS (
@@ -185,12 +191,9 @@ SQL: dict[str, str] = {
         e AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM d),
         c AS (SELECT a.doc_id AS lo, b.doc_id AS hi, a.n AS n, b.n AS m, count(*) AS k FROM e a JOIN e b USING (x) WHERE a.doc_id < b.doc_id GROUP BY ALL)
         SELECT lo AS doc_id_lo, hi AS doc_id_hi FROM c WHERE k * 10 >= 6 * (n + m - k)""",
-    "p8_found": f"""
-        WITH i AS (SELECT item_id, {_WORDS.format('passage')} AS w FROM eval_items UNION ALL SELECT item_id, {_WORDS.format('question')} FROM eval_items),
-        g AS (SELECT DISTINCT item_id, unnest({_runs(12)}) AS x FROM i WHERE len(w) >= 12),
-        v AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents),
-        d AS (SELECT doc_id, unnest({_runs(12)}) AS x FROM v WHERE len(w) >= 12)
-        SELECT DISTINCT doc_id, item_id FROM d JOIN g USING (x)""",
+    "p8_found": f"{_LEAKS} SELECT DISTINCT doc_id, item_id FROM d JOIN g USING (x)",
+    "p8_report": f"""{_LEAKS}, n AS (SELECT item_id, count(DISTINCT doc_id) AS n FROM d JOIN g USING (x) GROUP BY item_id)
+        SELECT item_id, dataset, coalesce(n, 0) AS n_documents FROM eval_items LEFT JOIN n USING (item_id)""",
     "p2_found": r"""
         SELECT doc_id FROM documents
         WHERE len(regexp_extract_all(text, '[^\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+')) > 300""",
