@@ -207,7 +207,7 @@ def document_groups(docs: DataFrame) -> DataFrame:
     members, reps = classes(docs)
     edges = cut(class_pairs(docs, reps).select("lo", "hi"))
     both = cut(edges.union(edges.select("hi", "lo")).toDF("a", "b"))
-    label = cut(reps.select("rep", F.col("rep").alias("group_id")))
+    label = cut(both.select(F.col("a").alias("rep")).distinct().withColumn("group_id", F.col("rep")))  # classes without a link need no rounds
     while True:  # each round takes the smallest label around, and that label's own label
         seen = both.join(label.toDF("b", "l"), "b").groupBy("a").agg(F.min("l").alias("l"))
         step = label.join(seen.withColumnRenamed("a", "rep"), "rep", "left").select(
@@ -222,8 +222,8 @@ def document_groups(docs: DataFrame) -> DataFrame:
     links = both.groupBy("a").agg(F.count("*").alias("n_links")).withColumnRenamed("a", "rep")
     return (
         members.join(reps.select("class", "rep"), "class")
-        .join(label, "rep")
+        .join(label, "rep", "left")
         .join(links, "rep", "left")
         .join(docs.select("doc_id", F.lower(F.trim("attribute")).alias("attribute")), "doc_id")
-        .select("doc_id", "group_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "attribute")
+        .select("doc_id", F.coalesce("group_id", "rep").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "attribute")
     )

@@ -239,7 +239,16 @@ def test_near_pairs_and_groups(spark):
     assert len(set(got)) >= 0.99 * len(truth) and (903, 904) in got
     groups = {r.doc_id: r.group_id for r in near_groups.document_groups(docs).collect()}
     assert set(groups) == {i for i, t, _ in rows if i is not None and len(WORD.findall(t or "")) >= 3}
-    assert all(groups[a] == groups[b] for a, b in got)
+    parent = {i: i for i in groups}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in got:
+        parent[max(root(a), root(b))] = min(root(a), root(b))
+    assert groups == {i: root(i) for i in parent}
     assert near_groups.document_pairs(docs.limit(0)).count() == 0
 
 
