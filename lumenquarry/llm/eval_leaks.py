@@ -8,7 +8,13 @@ term x RANK blocks) gives the latent space. Every window of RUN words of a passa
 every window of WINDOW words of the evaluation texts. The cosine below which a window can't
 hold a given run is no guess: it is the smallest that any of the evaluation window's own runs
 has with it, so the candidate search loses no leak. Candidates are then compared word by word
-for their longest common run, and, for paraphrases, by longest common subsequence and answer.
+for their longest common run.
+
+A paraphrase brings in foreign words, so it is sought in the whole text: a span of WINDOW words
+that has PARAPHRASE_SHARE of a window's words in their order. Foreign words count in the span's
+length and in its norm. No cosine bounds such a span, as its other words may be any; what does is
+the number of rare words it must share, so candidates come from those and lose nothing. The
+cosine is reported and cuts nothing.
 
 The evaluation set is taken in blocks of BLOCK_ITEMS items, so what the tasks receive is
 bounded whatever its size.
@@ -28,8 +34,10 @@ from .shared import WORD, cut, keyed
 RUN, WINDOW, RANK, EXTRA, POWER_STEPS = 12, 24, 48, 8, 1
 #: Items of a block; with ITEM_WORDS words of an item at most, a block's tables stay small.
 BLOCK_ITEMS, ITEM_WORDS = 4000, 5000
-#: Cosine of a paraphrase candidate and the share of its words in the common subsequence.
-PARAPHRASE_COSINE, PARAPHRASE_SHARE = 0.9, 0.7
+#: Share of a window's words in the common subsequence with a paraphrase.
+PARAPHRASE_SHARE = 0.7
+#: Words from one window for paraphrases to the next, and how many rare words find one.
+ITEM_STEP, KEYS = WINDOW - RUN, 10
 
 
 class Items:
@@ -55,11 +63,46 @@ class Items:
                     self.windows.append(words[start:stop])
                     self.of.append(t)
 
+        #: Known words of a span below which it is a paraphrase of no window.
+        self.least_common = min((_least_common(min(len(w), WINDOW)) for w in self.texts), default=0)
+
+    def keyed(self, df: np.ndarray) -> None:
+        """Windows for paraphrases, the end of the text among them, and the words to find them by. At most
+        ``n - common`` words of a window are missing in a span that is its paraphrase, so of that
+        many and KEYS more, the rarest, at least KEYS are there."""
+        self.windows, self.of, post = [], [], []
+        for t, words in enumerate(self.texts):
+            last = max(0, len(words) - WINDOW)
+            for start in [*range(0, last, ITEM_STEP), last]:
+                self.windows.append(words[start : start + WINDOW])
+                self.of.append(t)
+        self.sizes = np.array([len(w) for w in self.windows])
+        self.common = np.array([_least_common(n) for n in self.sizes])
+        self.demand = np.minimum(KEYS, self.common)
+        for k, w in enumerate(self.windows):
+            rare = w[np.lexsort((w, df[w]))][: len(w) - self.common[k] + self.demand[k]]
+            post.append(np.unique(rare).astype(np.int64) << 32 | k)
+        post = np.sort(np.concatenate(post))
+        self.keys = (post & 0xFFFFFFFF).astype(np.int32)
+        self.key_end = np.searchsorted(post >> 32, np.arange(len(self.vocabulary) + 1))
+        self.padded = np.stack([np.pad(w, (0, WINDOW - len(w)), constant_values=-1) for w in self.windows])
+
+    def cosine(self, windows: np.ndarray, spans: np.ndarray) -> np.ndarray:
+        """Cosine in the latent space; a foreign word has a direction of its own."""
+        known = spans >= 0
+        v = (self.terms[spans] * known[:, :, None]).sum(1)
+        norm = np.sqrt((v * v).sum(1) + (~known).sum(1) * self.foreign)
+        return (v * self.unit[windows]).sum(1) / np.maximum(norm, 1e-12)
+
     def latent(self, idf: np.ndarray, basis: np.ndarray) -> None:
-        """Unit vectors of the windows and the least cosine that a run of each has with it."""
+        """Unit vectors of the windows."""
         self.terms = (idf[:, None] * basis).astype(np.float32)
+        self.foreign = float((self.terms**2).sum(1).mean())  # squared norm of a foreign word: that of a known one
         vectors = np.stack([self.terms[w].sum(0) for w in self.windows])
         self.unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+
+    def bounds(self) -> None:
+        """The least cosine that a run of each window has with it."""
         least = []
         for w, u in zip(self.windows, self.unit):
             runs, ok = self.run_vectors(w)
@@ -76,8 +119,9 @@ class Items:
         return (runs / np.maximum(norm, 1e-12)).astype(np.float32), norm[:, 0] > 1e-6
 
 
-def _passages(vocabulary: dict[str, int]):
-    """Rows of kind 0 (a passage: doc_id and word numbers) and 1 (a word's document count)."""
+def _passages(vocabulary: dict[str, int], least: int | None = None):
+    """Rows of kind 0 (a passage: doc_id and word numbers) and 1 (a word's document count). With
+    ``least``, a passage is the whole text, foreign words as -1, if _near finds a stretch in it."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = vocabulary.value
@@ -91,6 +135,11 @@ def _passages(vocabulary: dict[str, int]):
                 a = np.array(w, np.int32)
                 inside = a >= 0
                 df[np.unique(a[inside])] += 1
+                if least is not None:
+                    if _near(a, least):
+                        ids.append(doc)
+                        words.append(a.tobytes())
+                    continue
                 if inside.sum() < RUN:
                     continue
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], inside.view(np.int8), [0]])))
@@ -109,18 +158,21 @@ def _passages(vocabulary: dict[str, int]):
 _BLOCK = 4096
 
 
-def _range_step(idf, omega):
-    """Sums of (TF-IDF)^T (TF-IDF) omega over passages, in blocks of terms."""
+def _range_step(idf, omega, least=None):
+    """Sums of (TF-IDF)^T (TF-IDF) omega over passages (with ``least``, over the stretches of
+    whole texts), in blocks of terms."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         w, o = idf.value, omega.value
         total = np.zeros_like(o)
         for pdf in batches:
             for words in pdf.words:
-                terms, tf = np.unique(np.frombuffer(words, np.int32), return_counts=True)
-                row = tf * w[terms]
-                row /= max(np.linalg.norm(row), 1e-12)
-                total[terms] += row[:, None] * (row @ o[terms])
+                a = np.frombuffer(words, np.int32)
+                for part in [a] if least is None else [a[x:y] for x, y in _near(a, least)]:
+                    terms, tf = np.unique(part, return_counts=True)
+                    row = tf * np.where(terms < 0, w.max(), w[terms])
+                    row, terms = (row / max(np.linalg.norm(row), 1e-12))[terms >= 0], terms[terms >= 0]
+                    total[terms] += row[:, None] * (row @ o[terms])
         for b in range(0, len(total), _BLOCK):
             yield pd.DataFrame({"b": [b], "m": [total[b : b + _BLOCK].tobytes()]})
 
@@ -131,7 +183,7 @@ def _sum_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"b": [pdf.b.iat[0]], "m": [sum(np.frombuffer(m) for m in pdf.m).tobytes()]})
 
 
-def latent_basis(passages: DataFrame, idf: np.ndarray) -> np.ndarray:
+def latent_basis(passages: DataFrame, idf: np.ndarray, least: int | None = None) -> np.ndarray:
     """Orthonormal term directions (terms x RANK) by a randomised range finder over the
     distributed passages and a small SVD of the projected Gram matrix."""
     spark = passages.sparkSession
@@ -139,7 +191,7 @@ def latent_basis(passages: DataFrame, idf: np.ndarray) -> np.ndarray:
     basis = np.linalg.qr(np.random.default_rng(7).standard_normal((len(idf), width)))[0]
     weights = spark.sparkContext.broadcast(idf)
     for _ in range(POWER_STEPS + 1):
-        step = passages.select("words").mapInPandas(_range_step(weights, spark.sparkContext.broadcast(basis)), "b int, m binary")
+        step = passages.select("words").mapInPandas(_range_step(weights, spark.sparkContext.broadcast(basis), least), "b int, m binary")
         blocks = step.groupBy("b").applyInPandas(_sum_blocks, "b int, m binary").toPandas().sort_values("b")
         y = np.concatenate([np.frombuffer(m) for m in blocks.m]).reshape(-1, width)
         gram = basis.T @ y
@@ -190,26 +242,76 @@ def _lcs(a: np.ndarray, b: np.ndarray) -> int:
     return int(row[-1])
 
 
+def _least_common(n: int) -> int:
+    """Words that a window of n words must have in common with a span."""
+    return -int(-n * PARAPHRASE_SHARE // 1)
+
+
+def _near(words: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """The stretches whose every span of WINDOW words has ``least`` known ones; a foreign word is -1.
+    No other span can have that many words of the items."""
+    known = np.concatenate([[0], np.cumsum(words >= 0)])
+    width = min(WINDOW, len(words))
+    full = np.concatenate([[0], (known[width:] - known[:-width] >= least).view(np.int8), [0]]) if width else np.zeros(2, np.int8)
+    edge = np.flatnonzero(np.diff(full))
+    return [(s, e - 1 + width) for s, e in zip(edge[::2], edge[1::2])]
+
+
+def _lcs_rows(windows: np.ndarray, spans: np.ndarray) -> np.ndarray:
+    """Longest common subsequences row by row, a window as the bits of a number (Hyyro); -1 in a
+    window and a foreign word in a span match nothing."""
+    v = np.full(len(spans), (1 << WINDOW) - 1, np.uint64)
+    weights = np.uint64(1) << np.arange(0, windows.shape[1], 8, dtype=np.uint64)
+    for j in range(spans.shape[1]):
+        same = (windows == spans[:, j : j + 1]) & (windows >= 0)
+        u = v & (np.packbits(same, axis=1, bitorder="little") @ weights)
+        v = ((v + u) | (v - u)) & np.uint64((1 << WINDOW) - 1)
+    return WINDOW - np.bitwise_count(v).astype(np.int64)
+
+
+def _candidates(it: Items, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows and span starts with at least the keys in common that _least_common demands."""
+    at = np.flatnonzero(words >= 0)
+    n = it.key_end[words[at] + 1] - it.key_end[words[at]]
+    p = np.repeat(at, n)
+    w = it.keys[np.repeat(it.key_end[words[at]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+    order = np.argsort(w, kind="stable")
+    p, w = p[order], w[order]
+    first = np.arange(len(w))
+    last = first + it.demand[w] - 1
+    ok = last < len(w)
+    first, last = first[ok], last[ok]
+    ok = (w[first] == w[last]) & (p[last] - p[first] < WINDOW)
+    first, last = first[ok], last[ok]
+    low = np.maximum(p[last] - WINDOW + 1, 0)
+    n = np.maximum(np.minimum(p[first], max(0, len(words) - WINDOW)) - low + 1, 0)
+    found = np.unique(np.repeat(w[first].astype(np.int64) << 32 | low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+    return found >> 32, found & 0xFFFFFFFF
+
+
 def _paraphrases(it: Items, ids, of, words: np.ndarray) -> list:
-    """Items a window of which has most of its words, in order, in a window of the passage."""
-    vectors, spans = [], []
-    for s in range(0, max(1, len(words) - WINDOW + 1), RUN):
-        spans.append(words[s : s + WINDOW])
-        vectors.append(it.terms[spans[-1]].sum(0))
-    v = np.stack(vectors)
-    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-    cos = v @ it.unit.T
+    """Items a window of which has most of its words, in order, in a span of WINDOW words."""
     best: dict = {}
-    for r, w in zip(*(cos >= PARAPHRASE_COSINE).nonzero()):
-        n = _lcs(it.windows[w], spans[r])
-        share = n / len(it.windows[w])
-        if share >= PARAPHRASE_SHARE:
-            best[ids[of[w]]] = max(best.get(ids[of[w]], (0.0, 0, 0.0, False)), (share, n, float(cos[r, w]), of[w]))
+    for a, b in _near(words, it.least_common):
+        part = words[a:b]
+        spans = np.lib.stride_tricks.sliding_window_view(part, min(WINDOW, len(part)))
+        windows, starts = _candidates(it, part)
+        for c in range(0, len(windows), 20_000):
+            w, s = windows[c : c + 20_000], starts[c : c + 20_000]
+            n = _lcs_rows(it.padded[w], spans[s])
+            (hit,) = (n >= it.common[w]).nonzero()
+            w, s, n = w[hit], s[hit], n[hit]
+            share, texts = n / it.sizes[w], of[w]
+            top = np.zeros(len(it.texts))
+            np.maximum.at(top, texts, share)
+            (hit,) = (share == top[texts]).nonzero()
+            for t, x, y, z in zip(texts[hit], share[hit], n[hit], it.cosine(w[hit], spans[s[hit]])):
+                best[ids[t]] = max(best.get(ids[t], (0.0, 0, 0.0, 0)), (float(x), int(y), float(z), int(t)))
     names = None
     out = []
     for item, (share, n, cosine, t) in best.items():
         names = names or {i: x for x, i in it.vocabulary.items()}
-        text = f" {' '.join(names[i] for i in words)} "
+        text = f" {' '.join(names.get(i, '_') for i in words)} "
         answer = it.answers[t]
         out.append((item, cosine, n, share, bool(answer) and f" {answer} " in text))
     return out
@@ -232,7 +334,8 @@ def _retrieve(docs: DataFrame, items: DataFrame, paraphrases: bool, schema: str)
         it = Items(rows)
         if not it.windows:
             continue
-        words = cut(keyed(docs, "doc_id", "text").mapInPandas(_passages(spark.sparkContext.broadcast(it.vocabulary)), "kind int, id long, n long, words binary"))
+        least = it.least_common if paraphrases else None
+        words = cut(keyed(docs, "doc_id", "text").mapInPandas(_passages(spark.sparkContext.broadcast(it.vocabulary), least), "kind int, id long, n long, words binary"))
         passages = words.filter("kind = 0").select("id", "words")
         documents = documents or docs.count()
         df = np.zeros(len(it.vocabulary))
@@ -240,7 +343,12 @@ def _retrieve(docs: DataFrame, items: DataFrame, paraphrases: bool, schema: str)
         df[counted.id.to_numpy(int)] = counted.n
         idf = np.log((1 + documents) / (1 + df)) + 1
         own = spark.createDataFrame(pd.DataFrame({"id": -1, "words": [w.tobytes() for w in it.windows]}), "id long, words binary")
-        it.latent(idf, latent_basis(passages.unionByName(own), idf))
+        basis = latent_basis(passages.unionByName(own), idf, least)
+        if paraphrases:
+            it.keyed(df)
+        it.latent(idf, basis)
+        if not paraphrases:
+            it.bounds()
         found = found.unionByName(passages.mapInPandas(_search(spark.sparkContext.broadcast(it), paraphrases), schema))
     return found
 
@@ -253,9 +361,10 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def paraphrases(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, item_id, cosine, lcs_words, lcs_share, has_answer: documents with a passage
-    close to a window of the item in the latent space that has at least PARAPHRASE_SHARE of
-    its words in the same order; whether the passage holds the item's answer."""
+    """doc_id, item_id, cosine, lcs_words, lcs_share, has_answer: documents with a span
+    of WINDOW words that has at least PARAPHRASE_SHARE of the words of a window of the item in the
+    same order; the span's cosine with the window in the latent space (of the best window's best
+    span); whether the document holds the item's answer."""
     schema = "doc_id long, item_id long, cosine double, lcs_words long, lcs_share double, has_answer boolean"
     best = _retrieve(docs, items, True, schema)
     row = F.max(F.struct("lcs_share", "lcs_words", "cosine")).alias("b")

@@ -358,6 +358,39 @@ def test_paraphrase(spark):
     assert eval_leaks._lcs(np.array([1, 2, 3, 4]), np.array([2, 4, 9])) == 2
 
 
+def paraphrase_truth(docs, items):
+    """(doc_id, item_id): the best share of a window of WINDOW words in a span of as many, by plain comparison."""
+    cut_up = lambda w, step: [w[s : s + 24] for s in sorted({*range(0, max(1, len(w) - 23), step), max(0, len(w) - 24)})]
+    number, out = {}, {}
+    words = lambda t: np.array([number.setdefault(x, len(number)) for x in re.findall(r"[^\W_]+", t.lower())])
+    for item, _, *texts, _ in items:
+        windows = [w for t in texts for w in cut_up(words(t), eval_leaks.ITEM_STEP) if len(w) >= 12]
+        for doc, text in docs:
+            best = max((eval_leaks._lcs(w, s) / len(w) for w in windows for s in cut_up(words(text), 1)), default=0)
+            if best >= 0.7:
+                out[doc, item] = best
+    return out
+
+
+def test_paraphrases_with_foreign_words_against_brute_force(spark):
+    rng = random.Random(9)
+    common, rare = [f"c{i}" for i in range(30)], [f"r{i}" for i in range(400)]
+    text = lambda n: [rng.choice(common if rng.random() < 0.6 else rare) for _ in range(n)]
+    items = [(i, "d", " ".join(text(rng.choice((12, 19, 30, 61)))), " ".join(text(14)), "x") for i in range(12)]
+    docs = []
+    for d in range(40):
+        w = rng.choice(items)[2].split()
+        w = w[rng.randrange(max(1, len(w) - 24)) :]
+        for k in range(rng.randrange(5), len(w), rng.choice((4, 5, 6, 11))):  # no twelve known words in a row
+            w[k] = f"foreign{k}"
+        docs.append((d, " ".join([*text(rng.randrange(30)), *w, *(["x"] if d % 2 else [])])))
+    truth = paraphrase_truth(docs, items)
+    assert 10 < len(truth) < 200
+    got = eval_leaks.paraphrases(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, ITEM)).collect()
+    assert {(r.doc_id, r.item_id): round(r.lcs_share, 6) for r in got} == {k: round(v, 6) for k, v in truth.items()}
+    assert all(-1.001 <= r.cosine <= 1.001 for r in got)
+
+
 # 9 subjects
 
 
