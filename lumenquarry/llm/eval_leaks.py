@@ -37,7 +37,7 @@ BLOCK_ITEMS, ITEM_WORDS = 4000, 5000
 #: Share of a window's words in the common subsequence with a paraphrase.
 PARAPHRASE_SHARE = 0.7
 #: Words from one window for paraphrases to the next, and how many rare words find one.
-ITEM_STEP, KEYS = WINDOW - RUN, 10
+ITEM_STEP, KEYS = 1, 10
 
 
 class Items:

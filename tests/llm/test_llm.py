@@ -391,6 +391,19 @@ def test_paraphrases_with_foreign_words_against_brute_force(spark):
     assert all(-1.001 <= r.cosine <= 1.001 for r in got)
 
 
+def test_paraphrases_at_every_place(spark):
+    words = [f"w{i}" for i in range(70)]
+    items = spark.createDataFrame([(1, "d", " ".join(words), "q", None)], ITEM)
+    docs = []
+    for start in range(len(words) - 23):  # 24 words of the item from anywhere, seven of them replaced, anywhere in the text
+        w = words[start : start + 24]
+        for k in (2, 5, 8, 11, 14, 17, 20):
+            w[k] = "foreign"
+        docs.append((start, " ".join(["before"] * (start % 13) + w + ["after"] * (start % 5))))
+    got = eval_leaks.paraphrases(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()
+    assert sorted((r.doc_id, r.lcs_words) for r in got) == [(d, 17) for d, _ in docs]
+
+
 # 9 subjects
 
 
