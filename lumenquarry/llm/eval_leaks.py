@@ -55,6 +55,11 @@ class Items:
                         self.ids.append(item)
                         self.texts.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in part], np.int32))
                         self.answers.append(" ".join(WORD.findall(answer.lower())) if isinstance(answer, str) else "")
+        #: Words that stand in answers alone: no part of a window, but an answer is sought by them.
+        self.more: dict[str, int] = {}
+        for w in (w for answer in self.answers for w in answer.split()):
+            if w not in self.vocabulary:
+                self.more.setdefault(w, len(self.vocabulary) + len(self.more))
         self.windows, self.of, self.runs = [], [], []
         for t, words in enumerate(self.texts):
             for start in range(0, max(1, len(words) - RUN + 1), WINDOW - RUN):
@@ -119,13 +124,13 @@ class Items:
         return (runs / np.maximum(norm, 1e-12)).astype(np.float32), norm[:, 0] > 1e-6
 
 
-def _passages(vocabulary: dict[str, int], least: int | None = None):
+def _passages(vocabulary: dict[str, int], size: int, least: int | None = None):
     """Rows of kind 0 (a passage: doc_id and word numbers) and 1 (a word's document count). With
-    ``least``, a passage is the whole text, foreign words as -1, if _near finds a stretch in it."""
+    ``least``, a passage is the whole text, foreign words as -1, if _near finds a stretch in it. Words from number ``size`` on are the answers' own."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = vocabulary.value
-        df = np.zeros(len(known), np.int64)
+        df = np.zeros(size, np.int64)
         for pdf in batches:
             ids, words = [], []
             for doc, text in zip(pdf.doc_id, pdf.text):
@@ -133,10 +138,10 @@ def _passages(vocabulary: dict[str, int], least: int | None = None):
                     continue
                 w = [known.get(x, -1) for x in WORD.findall(text.lower())]
                 a = np.array(w, np.int32)
-                inside = a >= 0
+                inside = (a >= 0) & (a < size)
                 df[np.unique(a[inside])] += 1
                 if least is not None:
-                    if _near(a, least):
+                    if _near(np.where(inside, a, -1), least):
                         ids.append(doc)
                         words.append(a.tobytes())
                     continue
@@ -168,6 +173,7 @@ def _range_step(idf, omega, least=None):
         for pdf in batches:
             for words in pdf.words:
                 a = np.frombuffer(words, np.int32)
+                a = np.where(a < len(w), a, -1)
                 for part in [a] if least is None else [a[x:y] for x, y in _near(a, least)]:
                     terms, tf = np.unique(part, return_counts=True)
                     row = tf * np.where(terms < 0, w.max(), w[terms])
@@ -292,6 +298,7 @@ def _candidates(it: Items, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _paraphrases(it: Items, ids, of, words: np.ndarray) -> list:
     """Items a window of which has most of its words, in order, in a span of WINDOW words."""
     best: dict = {}
+    text, words = words, np.where(words < len(it.vocabulary), words, -1)
     for a, b in _near(words, it.least_common):
         part = words[a:b]
         spans = np.lib.stride_tricks.sliding_window_view(part, min(WINDOW, len(part)))
@@ -310,10 +317,10 @@ def _paraphrases(it: Items, ids, of, words: np.ndarray) -> list:
     names = None
     out = []
     for item, (share, n, cosine, t) in best.items():
-        names = names or {i: x for x, i in it.vocabulary.items()}
-        text = f" {' '.join(names.get(i, '_') for i in words)} "
+        names = names or {i: x for x, i in (it.vocabulary | it.more).items()}
+        said = f" {' '.join(names.get(i, '_') for i in text)} "
         answer = it.answers[t]
-        out.append((item, cosine, n, share, bool(answer) and f" {answer} " in text))
+        out.append((item, cosine, n, share, bool(answer) and f" {answer} " in said))
     return out
 
 
@@ -335,7 +342,8 @@ def _retrieve(docs: DataFrame, items: DataFrame, paraphrases: bool, schema: str)
         if not it.windows:
             continue
         least = it.least_common if paraphrases else None
-        words = cut(keyed(docs, "doc_id", "text").mapInPandas(_passages(spark.sparkContext.broadcast(it.vocabulary), least), "kind int, id long, n long, words binary"))
+        known = spark.sparkContext.broadcast(it.vocabulary | it.more if paraphrases else it.vocabulary)
+        words = cut(keyed(docs, "doc_id", "text").mapInPandas(_passages(known, len(it.vocabulary), least), "kind int, id long, n long, words binary"))
         passages = words.filter("kind = 0").select("id", "words")
         documents = documents or docs.count()
         df = np.zeros(len(it.vocabulary))

@@ -404,6 +404,14 @@ def test_paraphrases_at_every_place(spark):
     assert sorted((r.doc_id, r.lcs_words) for r in got) == [(d, 17) for d, _ in docs]
 
 
+def test_paraphrase_answer_in_the_whole_text(spark):
+    passage = " ".join(f"w{i}" for i in range(30))
+    items = spark.createDataFrame([(1, "d", passage, "q", "Rare word"), (2, "d", passage, "q", "w3 rare")], ITEM)
+    docs = spark.createDataFrame([(1, f"{passage} foreign words, then a rare word."), (2, f"{passage} rare, then a word")], "doc_id long, text string")
+    got = eval_leaks.paraphrases(docs, items).collect()
+    assert {(r.doc_id, r.item_id): r.has_answer for r in got} == {(1, 1): True, (2, 1): False, (1, 2): False, (2, 2): False}
+
+
 # 9 subjects
 
 
