@@ -102,18 +102,24 @@ def script_of(text: str) -> str:
     return best if n[best] else ""
 
 
+def asked_in(question: str) -> tuple[bool, str, str]:
+    """Whether the question has Han signs, its script and its language: all that has_other_language takes from it."""
+    q = question.lower()
+    asked = tokens(q)
+    own = max(LANGUAGES, key=lambda k: (sum(w in LANGUAGES[k] for w in asked), k == "en"))
+    return bool(SCRIPTS["han"].search(q)), script_of(q), own
+
+
 def has_other_language(question: str, words: list[str], reply: str) -> bool:
-    q, a = question.lower(), reply.lower()
-    asked_han = bool(SCRIPTS["han"].search(q))
+    a = reply.lower()
+    asked_han, asked_script, own = asked_in(question)
     script = script_of(a)
     if not script:
         return False
     if script != "latin" or asked_han:
         if asked_han:
             return not SCRIPTS["han"].search(a) and sum(len(w) for w in words if not w.isdigit()) > 3
-        return script != script_of(q)
-    asked = tokens(q)
-    own = max(LANGUAGES, key=lambda k: (sum(w in LANGUAGES[k] for w in asked), k == "en"))
+        return script != asked_script
     score = {k: sum(w in v for w in words) for k, v in LANGUAGES.items()}
     best = max((k for k in LANGUAGES if k != own), key=lambda k: score[k])
     accented = own == "en" and bool(ACCENTS.search(a))
@@ -310,13 +316,13 @@ def defects(pairs: DataFrame) -> DataFrame:
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = model.value
-        known: dict[tuple[str, bool], str | None] = {}
+        known: dict[tuple[str, tuple[bool, str, str]], str | None] = {}
         for pdf in batches:
             out = []
             for kind, key, question, reply in zip(pdf.record_kind, pdf.record_key, pdf.question, pdf.reply):
                 short = isinstance(reply, str) and isinstance(question, str) and 3 * len(reply) < len(question)
-                if short:  # what a short reply is depends on the question's script alone, if it is in English
-                    memo = (reply, bool(SCRIPTS["han"].search(question)))
+                if short:  # what a short reply is depends on the question's script and language alone
+                    memo = (reply, asked_in(question))
                     if memo not in known:
                         if len(known) > 200_000:
                             known.clear()

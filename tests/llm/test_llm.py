@@ -150,6 +150,17 @@ def test_defects(spark):
     assert got == {("sample", k): d for k, (_, _, d) in bad.items() if d} | {("result", "7"): "empty"}
 
 
+@pytest.mark.parametrize("turn", [1, -1])
+def test_short_replies_to_questions_of_several_languages(spark, turn):
+    asked = {
+        "en": "Which of the findings in the left wrist is seen on the second image of this series, and is it new or was it there before?",
+        "de": "Welcher Befund ist auf dem zweiten Bild der Serie am linken Handgelenk zu sehen, und ist er neu oder war er schon da?",
+    }
+    rows = [(k, q, "Kein Befund am Handgelenk") for k, q in asked.items()][::turn]
+    got = reply_defects.defects(reply_defects.replies(spark.createDataFrame(rows, SAMPLE).coalesce(1), spark.createDataFrame([], "result_id long, question string, prediction string")))
+    assert {r.record_key: r.defect for r in got.collect()} == {"en": "other_language"}
+
+
 def test_defects_of_nothing_and_long(spark):
     none, results = spark.createDataFrame([], SAMPLE), spark.createDataFrame([], "result_id long, question string, prediction string")
     assert reply_defects.defects(reply_defects.replies(none, results)).count() == 0
