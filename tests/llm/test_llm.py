@@ -161,6 +161,54 @@ def test_short_replies_to_questions_of_several_languages(spark, turn):
     assert {r.record_key: r.defect for r in got.collect()} == {"en": "other_language"}
 
 
+def _pairs(spark, rows):
+    return reply_defects.replies(spark.createDataFrame(rows, SAMPLE), spark.createDataFrame([], "result_id long, question string, prediction string"))
+
+
+def test_defects_whatever_a_task_holds(spark):
+    """Endings that no task holds are joined; the rows are the same, however few are held."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(900):
+        t = f"The {rng.choice(['cyst', 'mass', 'tear'])} lies in the {rng.choice(['left', 'right'])} {rng.choice(['lung', 'knee', 'orbit'])}, about {i % 9} mm from the rim of name{i % 200}"
+        rows.append((f"s{i}", "Where is it?", t if i % 5 else t[: rng.randint(1, len(t) - 1)]))
+    want = {tuple(r) for r in reply_defects.defects(_pairs(spark, rows)).collect()}
+    assert sum(d == "truncated" for _, _, d in want) > 50
+    for most in (0, 40):
+        assert {tuple(r) for r in reply_defects.defects(_pairs(spark, rows), most).collect()} == want
+
+
+@pytest.mark.parametrize("turn", [1, -1])
+def test_reply_that_copies_one_of_two_questions(spark, turn):
+    """A question of many signs and few words: its copy is short, and no copy of the other question."""
+    rows = [("copy", "?" * 90 + " left lung", "left lung"), ("answer", "?" * 90 + " where is it", "left lung")][::turn]
+    got = reply_defects.defects(reply_defects.replies(spark.createDataFrame(rows, SAMPLE).coalesce(1), spark.createDataFrame([], "result_id long, question string, prediction string")))
+    assert {(r.record_key, r.defect) for r in got.collect()} == {("copy", "question_copy")}
+
+
+HELD_OUT = {
+    "refusal": """I'm going to have to pass on this one|I must respectfully decline|We're sorry, this isn't something the system supports|It's outside my area of expertise
+        I do not feel comfortable making a diagnosis|I can't tell from what I was given|There's insufficient data to decide|Apologies, I cannot process medical images|I won't speculate
+        I am not licensed to give medical opinions|Not possible for me to say|My instructions do not allow this|I'm unable to interpret X-rays|I have to refuse|As a language model, I cannot see images
+        Es tut mir leid, aber das weiß ich nicht|Ich darf darauf nicht antworten|Je ne sais pas|Désolé, je ne suis pas habilité à répondre|No puedo ayudarle con eso|Non sono in grado di rispondere
+        Desculpe, não posso responder|Helaas kan ik dat niet zeggen|Przepraszam, nie mogę pomóc|很抱歉，我无法提供医疗建议|Извините, я не могу помочь""",
+    "other_language": """Das Herz ist vergrößert|ein Bruch des Wadenbeins|Verdickung der Pleura|Il s'agit d'une fracture|au niveau du genou|Fractura de la tibia|hay una masa en el pecho
+        Una frattura del femore|massa no pulmão direito|een breuk van het bot|złamanie kości udowej|zlomenina je vlevo|en fraktur i höger ben|brud på venstre arm|o fractură la braț|törés van a bal karon
+        sol akciğerde kitle var|murtuma on oikealla|перелом бедра|大腿骨の骨折です|골절이 있습니다|股骨骨折|كسر في العظم|Κάταγμα οστού|mit Sicherheit nicht|peut-être un kyste|quizás un tumor
+        sans doute|Knochenbruch|fractura""",
+    None: """A fracture of the distal radius|The patient cannot be moved|I see a pleural effusion on the left|It points to the aortic arch|Sternal wires are visible|no abnormality
+        No answer key is printed on the film|This is beyond the diaphragm|The ureter is unable to drain|A policy of watchful waiting|Patient shows no sorry state of the bone|Ménière disease|vena cava|none|yes""",
+}
+
+
+def test_dictionaries_on_replies_they_were_not_made_for():
+    judge = reply_defects.Judge(set())
+    for label, texts in HELD_OUT.items():
+        texts = [t.strip() for t in texts.replace("\n", "|").split("|")]
+        right = sum(judge("What does the arrow in this radiograph point to?", t)[0] == label for t in texts)
+        assert right >= (0.85 if label else 1) * len(texts), (label, right, len(texts))
+
+
 def test_defects_of_nothing_and_long(spark):
     none, results = spark.createDataFrame([], SAMPLE), spark.createDataFrame([], "result_id long, question string, prediction string")
     assert reply_defects.defects(reply_defects.replies(none, results)).count() == 0
@@ -365,7 +413,7 @@ def test_paraphrase(spark):
     items = spark.createDataFrame([(1, "d", passage, "q", "nodule")], ITEM)
     docs = spark.createDataFrame([(1, " ".join(w[4:])), (2, "something else altogether")], "doc_id long, text string")
     got = eval_leaks.paraphrases(docs, items).collect()
-    assert [(r.doc_id, r.item_id, r.has_answer) for r in got] in ([(1, 1, True)], [])
+    assert [(r.doc_id, r.item_id, r.has_answer) for r in got] == [(1, 1, True)]
     assert eval_leaks._lcs(np.array([1, 2, 3, 4]), np.array([2, 4, 9])) == 2
 
 
