@@ -1,21 +1,27 @@
 """Same or near-same records across splits (problem 1).
 
 Evaluation records are indexed, in shards, by a compressed full-text index (an FM-index over
-words); training records are streamed through it by backward search.
+words: the Burrows-Wheeler transform as a wavelet matrix of packed bits, and a sampled suffix
+array); training records are streamed through it by backward search.
 
 * A record is its set of question words, written as symbols of (bare answer, word) and put
   in one global order, rare words first. The order comes from a count sketch of fixed size.
 * Of two records that agree, the first common word stands among the first 30 % of either,
   and in one of them among the first 3/17 ("shallow"; both "deep" contradicts the threshold).
-  So an entry is the tail of a record behind such a word, and its key tells word and depth.
+  Such a word with its depths is a key. A record goes to the shards of its keys, and in the
+  text of a shard a word that is a key there has a symbol of its own.
 * A filter of fixed size over the evaluation keys drops the training records that have no
   key in common before anything of them is shuffled; it errs to one side only.
-* In a shard, the text of all entries, common words first and the key last, is indexed.
-  Backward search from the key extends leftwards word by word to the maximal matches; spans
-  and counts of a pair are then merged to the number of common words, which is exact.
-
-A pair is reported by the shard of its first common word and by no other. Equal records are
-one class in all of this and expand to their sample_ids at the end.
+* In a shard, backward search of a training record's keys gives the places where a match can
+  begin. From the end of each record found there, backward steps through the index spell it out
+  from its rarest word on; the stretches that go along with the training record are the
+  maximal matches, and their lengths add up to the number of common words. That number
+  decides the pair. The index alone holds the evaluation records; nothing is compared outside it.
+
+A pair is reported by the shard of its first common word and by no other. Keys of very many
+evaluation records are spread over several shards, and a shard that very many training records go
+to is searched by several tasks. Equal records are one class in all of this and expand to their
+sample_ids at the end.
 """
 
 from __future__ import annotations
@@ -36,8 +42,9 @@ NUM, DEN = 7, 10
 #: Cells of the count sketch as a power of two. The key filter has about FILTER_ROOM bits a key,
 #: but never more than 2 ** FILTER_MOST (32 MB); beyond, it lets more through, never less.
 SKETCH_BITS, FILTER_ROOM, FILTER_LEAST, FILTER_MOST = 18, 16, 20, 28
-#: Entries of an index shard, and of one key before it is spread over several shards.
-SHARD_ENTRIES, KEY_ENTRIES = 20_000, 10_000
+#: Entries of an index shard, entries of one key before it is spread over several shards, and
+#: training records of a shard before several tasks search it.
+SHARD_ENTRIES, KEY_ENTRIES, SHARD_RECORDS = 20_000, 10_000, 50_000
 #: Every so many positions of the suffix array are kept.
 SAMPLE = 8
 
@@ -98,16 +105,17 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _keys(symbols: np.ndarray, evaluation: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of a record and the positions they stand for. Kind 0: both shallow; 1: only the
-    evaluation record shallow; 2: only the training record."""
+def _keys(symbols: np.ndarray, evaluation: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of a record, the positions they stand for and their kinds. Kind 0: both shallow; 1: only
+    the evaluation record shallow; 2: only the training record."""
     shallow, last = key_positions(len(symbols))
     shallow = min(shallow, last)
     head, deep = symbols[:shallow], symbols[shallow:last]
     other, own = (1, 2) if evaluation else (2, 1)
     keys = np.concatenate([_mix(head), _mix(head + _KIND[other]), _mix(deep + _KIND[own])])
     at = np.arange(last)
-    return keys, np.concatenate([at[:shallow], at[:shallow], at[shallow:]])
+    kinds = np.repeat(np.array([0, other, own], np.uint8), [shallow, shallow, last - shallow])
+    return keys, np.concatenate([at[:shallow], at[:shallow], at[shallow:]]), kinds
 
 
 def _mask(keys: np.ndarray) -> np.ndarray:
@@ -199,64 +207,112 @@ def _cells(hashes: np.ndarray) -> np.ndarray:
     return (hashes & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)
 
 
+class Bits:
+    """A bit vector in 64-bit words with a count in front of each word."""
+
+    def __init__(self, bits: np.ndarray):
+        self.words = np.zeros(len(bits) // 64 + 1, np.uint64)
+        packed = np.packbits(bits, bitorder="little")
+        self.words.view(np.uint8)[: len(packed)] = packed
+        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words), dtype=np.uint32)[:-1]]).astype(np.uint32)
+        self.ones = int(np.count_nonzero(bits))
+
+    def rank(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ones before each place, and the bit there."""
+        at, bit = i >> 6, (i & 63).astype(np.uint64)
+        word = self.words[at]
+        ones = self.before[at] + np.bitwise_count(word & ((np.uint64(1) << bit) - np.uint64(1)))
+        return ones.astype(np.int64), ((word >> bit) & np.uint64(1)).astype(bool)
+
+
 class BackwardIndex:
-    """FM-index over words: the Burrows-Wheeler transform as sorted positions of each symbol
-    (a rank is a binary search in them) and a sampled suffix array."""
-
-    def __init__(self, entries: list[np.ndarray]):
-        sizes = np.array([len(e) + 1 for e in entries])
-        words = np.concatenate(entries)
-        self.alphabet, of_word = np.unique(words, return_inverse=True)
-        n, longest, self.ends = int(sizes.sum()), int(sizes.max()), len(entries)
-        self.n = n
+    """FM-index over the words of entries. An entry is a list of words, each with a mark (0..7); it
+    is kept back to front, so that backward steps read it forwards."""
+
+    def __init__(self, words: list[np.ndarray], marks: list[np.ndarray]):
+        sizes = np.array([len(w) for w in words])
+        self.ends, self.n = len(words), int(sizes.sum()) + len(words)
+        self.alphabet, base = np.unique(np.concatenate([w[::-1] for w in words]), return_inverse=True)
+        self.codes, code = np.unique(base.astype(np.int64) * 8 + np.concatenate([m[::-1] for m in marks]), return_inverse=True)
+        self.word_of = np.concatenate([[-1], self.codes >> 3])
+        self.starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
+        self.sizes = sizes
         # Each entry ends with a sign of its own, so that all suffixes differ and their order is total.
-        end = np.zeros(n, bool)
-        end[np.cumsum(sizes) - 1] = True
-        rank = np.empty(n, np.int64)
+        end = np.zeros(self.n, bool)
+        end[self.starts + sizes] = True
+        rank = np.empty(self.n, np.int64)
         rank[end] = np.arange(self.ends)
-        rank[~end] = of_word + self.ends
+        rank[~end] = code + self.ends
         order, width = rank, 1
-        while width < longest:  # prefix doubling
-            after = np.zeros(n, np.int64)
+        while width <= sizes.max():  # prefix doubling
+            after = np.zeros(self.n, np.int64)
             after[:-width] = order[width:] + 1
-            order = np.unique(order * (n + self.ends + 2) + after, return_inverse=True)[1]
-            if order.max() == n - 1:
+            order = np.unique(order * (self.n + self.ends + 2) + after, return_inverse=True)[1]
+            if order.max() == self.n - 1:
                 break
             width *= 2
         suffixes = np.argsort(order, kind="stable")
-        bwt = rank[suffixes - 1].astype(np.int64)
-        at = np.argsort(bwt, kind="stable")
-        self.occ = bwt[at] * (n + 1) + at
-        self.bwt = bwt.astype(np.int32)
-        self.marked = suffixes % SAMPLE == 0
-        self.kept = suffixes[self.marked]
-        self.before = np.concatenate([[0], np.cumsum(self.marked)])
-        self.starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-
-    def symbol(self, values: np.ndarray) -> np.ndarray:
-        """Ranks in the alphabet, -1 for unknown symbols."""
-        i = np.minimum(np.searchsorted(self.alphabet, values), len(self.alphabet) - 1)
-        return np.where(self.alphabet[i] == values, i + self.ends, -1).astype(np.int64)
-
-    def extend(self, symbol, lo, hi):
-        """The interval of the pattern with one more symbol to its left."""
-        return np.searchsorted(self.occ, symbol * (self.n + 1) + lo), np.searchsorted(self.occ, symbol * (self.n + 1) + hi)
-
-    def previous(self, suffix: np.ndarray) -> np.ndarray:
-        """The suffixes that begin one word earlier."""
-        return np.searchsorted(self.occ, self.bwt[suffix].astype(np.int64) * (self.n + 1) + suffix)
-
-    def entries(self, suffix: np.ndarray) -> np.ndarray:
-        """The entries in which the suffixes start."""
+        text = np.where(end, 0, rank - self.ends + 1)  # all end signs are 0 from here on: no step passes one
+        count = np.bincount(text, minlength=len(self.codes) + 1)
+        self.first = np.concatenate([[0], np.cumsum(count)])
+        self._wavelet(text[suffixes - 1])
+        kept = (suffixes % SAMPLE == 0) | np.isin(suffixes, self.starts)
+        self.sampled, self.places = Bits(kept), suffixes[kept].astype(np.int32)
+
+    def _wavelet(self, bwt: np.ndarray) -> None:
+        """The transform bit by bit, the zeros of each bit before its ones."""
+        self.levels = []
+        for bit in reversed(range(max(1, int(len(self.codes)).bit_length()))):
+            bits = (bwt >> bit) & 1 == 1
+            self.levels.append((bit, Bits(bits), len(bits) - int(np.count_nonzero(bits))))
+            bwt = np.concatenate([bwt[~bits], bwt[bits]])
+        begin = np.zeros(len(self.codes) + 1, np.int64)
+        found, at = np.unique(bwt, return_index=True)
+        begin[found] = at
+        self.shift = self.first[:-1] - begin
+
+    def step(self, suffix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The sign before each suffix, and the suffix that begins with it."""
+        i, sign = suffix, np.zeros(len(suffix), np.int64)
+        for bit, bits, zeros in self.levels:
+            ones, one = bits.rank(i)
+            i = np.where(one, zeros + ones, i - ones)
+            sign |= one.astype(np.int64) << bit
+        return sign, i + self.shift[sign]
+
+    def extend(self, sign: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The intervals of suffixes that begin with ``sign`` and go on as those in lo..hi."""
+        n, i = len(sign), np.concatenate([lo, hi])
+        both = np.concatenate([sign, sign])
+        for bit, bits, zeros in self.levels:
+            ones, _ = bits.rank(i)
+            i = np.where((both >> bit) & 1 == 1, zeros + ones, i - ones)
+        i = i + self.shift[both]
+        return i[:n], i[n:]
+
+    def signs(self, words: np.ndarray, marks: np.ndarray) -> np.ndarray:
+        """The signs of marked words; -1 for one that the index lacks."""
+        code = self.words(words) * 8 + marks
+        i = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        return np.where((code >= 0) & (self.codes[i] == code), i + 1, -1)
+
+    def words(self, words: np.ndarray) -> np.ndarray:
+        """The numbers of words whatever their mark; -1 for one that the index lacks."""
+        i = np.minimum(np.searchsorted(self.alphabet, words), len(self.alphabet) - 1)
+        return np.where(self.alphabet[i] == words, i, -1).astype(np.int64)
+
+    def locate(self, suffix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The entries in which suffixes start, and the place of their first word in them."""
         i, open_ = suffix, np.arange(len(suffix))
         steps, out = np.zeros(len(suffix), np.int64), np.empty(len(suffix), np.int64)
         while len(open_):
-            done = self.marked[i]
-            out[open_[done]] = self.kept[self.before[i[done]]] + steps[open_[done]]
+            before, done = self.sampled.rank(i)
+            out[open_[done]] = self.places[before[done]] + steps[open_[done]]
             open_, i = open_[~done], i[~done]
             steps[open_] += 1
-            i = self.previous(i)
-        return np.searchsorted(self.starts, out, "right") - 1
+            i = self.step(i)[1]
+        e = np.searchsorted(self.starts, out, "right") - 1
+        return e, self.sizes[e] - 1 - (out - self.starts[e])
 
 
 def _key_rows(bits):
@@ -272,52 +328,67 @@ def _key_rows(bits):
     return rows
 
 
-def _routed(evaluation: bool, bits, hot, shards: int):
-    """A record once for each shard that one of its keys belongs to, with these keys. A hot key
-    has several blocks: an evaluation record is in one of them, a training record meets all."""
+def _shards_of(cls: bytes, symbols: bytes, evaluation: bool, inside, blocks_of: dict, shards: int):
+    """Shard, position and kind of each key of a record that is in the filter. A hot key has several
+    blocks: an evaluation record is in one of them, a training record meets all."""
+    keys, at, kinds = _keys(np.frombuffer(symbols, np.uint64), evaluation)
+    ok = _inside(inside, keys)
+    keys, at, kinds = keys[ok], at[ok].astype(np.int32), kinds[ok]
+    block = np.zeros(len(keys), np.uint64)
+    if blocks_of:
+        n = np.array([blocks_of.get(k, 1) for k in keys.view(np.int64).tolist()], np.int64)
+        if evaluation:
+            block = np.uint64(int.from_bytes(cls[:8], "little")) % n.astype(np.uint64)
+        else:
+            keys, at, kinds = np.repeat(keys, n), np.repeat(at, n), np.repeat(kinds, n)
+            block = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)).astype(np.uint64)
+    return (_mix(keys + block * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(shards)).astype(np.int64), at, kinds
+
+
+def _loads(bits, hot, shards: int):
+    """How many training records go to each shard."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = Counter()
+        for pdf in batches:
+            for cls, symbols in zip(pdf["class"], pdf.symbols):
+                n.update(np.unique(_shards_of(cls, symbols, False, bits.value, hot.value, shards)[0]).tolist())
+        yield pd.DataFrame({"shard": list(n), "n": list(n.values())}, dtype="int64")
+
+    return rows
+
+
+def _routed(evaluation: bool, bits, hot, shards: int, split):
+    """A record once for each shard that one of its keys belongs to, with these keys. ``split`` has the
+    tasks of the shards that several search: an evaluation record is in all, a training record in one."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        inside, blocks_of = bits.value, hot.value
         for pdf in batches:
             out = []
             for cls, symbols in zip(pdf["class"], pdf.symbols):
-                keys, at = _keys(np.frombuffer(symbols, np.uint64), evaluation)
-                ok = _inside(inside, keys)
-                keys, at = keys[ok], at[ok].astype(np.int32)
-                if not len(keys):
-                    continue
-                block = np.zeros(len(keys), np.uint64)
-                if blocks_of:
-                    n = np.array([blocks_of.get(k, 1) for k in keys.view(np.int64).tolist()])
-                    if evaluation:
-                        block = (np.uint64(int.from_bytes(cls[:8], "little")) % n.astype(np.uint64)).astype(np.uint64)
-                    else:
-                        keys, at = np.repeat(keys, n), np.repeat(at, n)
-                        block = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)).astype(np.uint64)
-                shard = (_mix(keys + block * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(shards)).astype(np.int64)
+                shard, at, kinds = _shards_of(cls, symbols, evaluation, bits.value, hot.value, shards)
                 for s in np.unique(shard):
                     own = shard == s
-                    out.append((s, 0 if evaluation else 1, cls, symbols, keys[own].tobytes(), at[own].tobytes()))
-            yield pd.DataFrame(out, columns=["shard", "side", "class", "symbols", "keys", "at"])
+                    tasks = split.value.get(int(s), (int(s),))
+                    if not evaluation:
+                        tasks = (tasks[int.from_bytes(cls[8:16], "little") % len(tasks)],)
+                    out += [(t, 0 if evaluation else 1, cls, symbols, kinds[own].tobytes(), at[own].tobytes()) for t in tasks]
+            yield pd.DataFrame(out, columns=["task", "side", "class", "symbols", "kinds", "at"])
 
     return rows
 
 
-#: Words behind a key that the index holds; a longer match is followed in the records themselves.
-TAIL = 64
-
-
 def _search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by shard, evaluation entries first."""
-    shard, pending, index, held = None, [], None, None
+    """Rows sorted by task, evaluation records first."""
+    task, pending, index, held = None, [], None, None
     for pdf in batches:
-        edges = np.flatnonzero(np.diff(pdf["shard"].to_numpy() * 2 + pdf.side.to_numpy())) + 1
+        edges = np.flatnonzero(np.diff(pdf["task"].to_numpy() * 2 + pdf.side.to_numpy())) + 1
         for a, b in zip([0, *edges], [*edges, len(pdf)]):
             part = pdf.iloc[a:b]
             if not len(part):
                 continue
-            if part["shard"].iat[0] != shard:
-                shard, pending, index, held = part["shard"].iat[0], [], None, None
+            if part["task"].iat[0] != task:
+                task, pending, index, held = part["task"].iat[0], [], None, None
             if part.side.iat[0] == 0:
                 pending.append(part)
                 continue
@@ -325,53 +396,64 @@ def _search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 continue
             if index is None:
                 y = pd.concat(pending)
-                ys = [np.frombuffer(v, np.uint64) for v in y.symbols]
-                owner, at, keys = _flat(y)
-                entries = [np.append(ys[o][p + 1 : p + 1 + TAIL][::-1], k) for o, p, k in zip(owner, at, keys)]
-                index, held = BackwardIndex(entries), (ys, y["class"].to_numpy(), owner, at)
+                pending = [y.iloc[:0]]
+                words = [np.frombuffer(v, np.uint64) for v in y.symbols]
+                marks = [np.zeros(len(w), np.int64) for w in words]
+                for m, at, kinds in zip(marks, y["at"], y["kinds"]):
+                    np.bitwise_or.at(m, np.frombuffer(at, np.int32), 1 << np.frombuffer(kinds, np.uint8).astype(np.int64))
+                index, held = BackwardIndex(words, marks), y["class"].to_numpy()
             yield from _matches(part, index, held)
 
 
-def _flat(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, position and key of every key of the rows."""
-    keys, at = [np.frombuffer(k, np.uint64) for k in rows["keys"]], [np.frombuffer(a, np.int32) for a in rows["at"]]
-    return np.repeat(np.arange(len(rows)), [len(k) for k in keys]), np.concatenate(at).astype(np.int64), np.concatenate(keys)
-
-
-#: Occurrences that are followed, and words that are compared, at a time.
-_OCCURRENCES, _WORDS = 400_000, 4_000_000
+#: The marks under which the index holds a word that is a key of each kind there.
+MARKS = ((1, 3), (2, 3), (4,))
+#: Occurrences that are followed at a time.
+_OCCURRENCES = 400_000
 
 
 def _matches(part: pd.DataFrame, index: BackwardIndex, held) -> Iterator[pd.DataFrame]:
-    row, at, keys = _flat(part)
-    first = index.symbol(keys)
-    lo, hi = index.extend(np.maximum(first, 0), 0, index.n)
-    found = np.flatnonzero((first >= 0) & (hi > lo))
-    if not len(found):
+    """Pairs of the training records ``part`` with those of the index."""
+    xs = [np.frombuffer(v, np.uint64) for v in part.symbols]
+    at, kinds = [np.frombuffer(a, np.int32) for a in part["at"]], [np.frombuffer(k, np.uint8) for k in part["kinds"]]
+    row = np.repeat(np.arange(len(part)), [len(k) for k in kinds])
+    at, kinds = np.concatenate(at).astype(np.int64), np.concatenate(kinds)
+    size = np.array([len(x) for x in xs])
+    begin = np.cumsum(size) - size
+    flat = np.concatenate(xs)
+    words = flat[begin[row] + at]
+    asked = [(row[kinds == k], at[kinds == k], index.signs(words[kinds == k], m)) for k, marks in enumerate(MARKS) for m in marks]
+    row, at, sign = (np.concatenate(v) for v in zip(*asked))
+    known = sign >= 0
+    order = np.flatnonzero(known)[np.lexsort((at[known], row[known]))]  # all keys of a row stay together
+    row, at, sign = row[order], at[order], sign[order]
+    if not len(row):
         return
-    ends = np.cumsum((hi - lo)[found])
-    # all keys of a row stay together, so that a pair is looked at once a shard
+    lo, hi = index.extend(sign, np.zeros(len(sign), np.int64), np.full(len(sign), index.n))
+    # x's words by number, to see whether a word that the index spells out is one of them, and where
+    number = index.words(flat)
+    of = np.repeat(np.arange(len(xs)), size)
+    n_words = len(index.alphabet) + 1
+    held_at = np.flatnonzero(number >= 0)
+    table = of[held_at] * n_words + number[held_at]
+    by = np.argsort(table, kind="stable")
+    table, place = table[by], (held_at - begin[of[held_at]])[by]
+    ends = np.cumsum(hi - lo)
     bounds = np.searchsorted(ends, np.arange(_OCCURRENCES, ends[-1], _OCCURRENCES))
-    starts = np.searchsorted(row[found], row[found][bounds], "left") if len(bounds) else bounds
-    for chunk in np.split(found, np.unique(starts[starts > 0])):
+    starts = np.searchsorted(row, row[bounds], "left") if len(bounds) else bounds
+    for chunk in np.split(np.arange(len(row)), np.unique(starts[starts > 0])):
         if len(chunk):
-            out = _follow(part, row[chunk], at[chunk], lo[chunk], hi[chunk], index, held)
+            out = _follow(part["class"].to_numpy(), size, row[chunk], at[chunk], lo[chunk], hi[chunk], index, held, (table, place, n_words))
             if len(out):
                 yield out
 
 
-def _follow(part, row, at, lo, hi, index: BackwardIndex, held) -> pd.DataFrame:
+def _follow(x_class, size, row, at, lo, hi, index: BackwardIndex, y_class, words) -> pd.DataFrame:
     """Pairs of the threshold among the occurrences lo..hi of the keys of training rows."""
-    ys, y_class, y_of, y_at = held
-    xs = {r: np.frombuffer(part.symbols.iat[r], np.uint64) for r in np.unique(row)}
     count = hi - lo
     x, p = np.repeat(row, count), np.repeat(at, count)
     suffix = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)
-    e = index.entries(suffix)
-    y, q = y_of[e], y_at[e]
-    size_x, size_y = np.zeros(len(part), np.int64), np.array([len(v) for v in ys])
-    size_x[list(xs)] = [len(v) for v in xs.values()]
-    nx, ny = size_x[x], size_y[y]
+    y, q = index.locate(suffix)
+    nx, ny = size[x], index.sizes[y]
     # lengths that can agree, and words before the keys that then can't be common
     fits = (nx * DEN >= NUM * ny) & (ny * DEN >= NUM * nx) & ((p + q) * NUM <= (DEN - NUM) * np.minimum(nx - p, ny - q))
     order = np.flatnonzero(fits)
@@ -379,115 +461,113 @@ def _follow(part, row, at, lo, hi, index: BackwardIndex, held) -> pd.DataFrame:
     one = np.ones(len(order), bool)
     one[1:] = (x[order][1:] != x[order][:-1]) | (y[order][1:] != y[order][:-1])
     pick = order[one]  # the earliest key of each pair
-    x, p, y, q, suffix, nx, ny = x[pick], p[pick], y[pick], q[pick], suffix[pick], nx[pick], ny[pick]
+    x, p, y, nx, ny = x[pick], p[pick], y[pick], nx[pick], ny[pick]
     if not len(x):
         return pd.DataFrame()
 
-    # maximal matches: every occurrence is extended to the left while the index agrees
-    flat = np.concatenate([xs[r] for r in xs])
-    begin = dict(zip(xs, np.cumsum([0, *(len(v) for v in xs.values())])))
-    ranks, ahead = index.symbol(flat), np.array([begin[r] for r in x]) + p + 1
-    run, live, here = np.ones(len(x), np.int64), np.arange(len(x)), suffix
-    for depth in range(TAIL):
-        inside = p[live] + 1 + depth < nx[live]
-        live, here = live[inside], here[inside]
-        same = index.bwt[here] == ranks[ahead[live] + depth]
-        live, here = live[same], here[same]
-        if not len(live):
-            break
-        run[live] += 1
-        here = index.previous(here)
-    for k in live:  # matches that go on behind what the index holds
-        a, b = xs[x[k]][p[k] + 1 + TAIL :], ys[y[k]][q[k] + 1 + TAIL :]
-        m = min(len(a), len(b))
-        differ = np.flatnonzero(a[:m] != b[:m])
-        run[k] += differ[0] if len(differ) else m
-
-    # all matches of a pair merged: the words common to both, and the first of them
-    common, earliest = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
-    parts = np.searchsorted(np.cumsum(nx + ny), np.arange(_WORDS, (nx + ny).sum(), _WORDS))
-    for chunk in np.split(np.arange(len(x)), np.unique(parts[parts > 0])):
-        left, right = [xs[r] for r in x[chunk]], [ys[r] for r in y[chunk]]
-        symbols = np.concatenate([*left, *right])
-        n, m = nx[chunk], ny[chunk]
-        owner = np.concatenate([np.repeat(np.arange(len(chunk)), n), np.repeat(np.arange(len(chunk)), m)])
-        rank = np.concatenate([np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n), np.full(m.sum(), -1)])
-        by = np.lexsort((symbols, owner))
-        twice = np.flatnonzero((symbols[by][1:] == symbols[by][:-1]) & (owner[by][1:] == owner[by][:-1]))
-        who = owner[by][twice]
-        common[chunk] = np.bincount(who, minlength=len(chunk))
-        least = np.full(len(chunk), np.iinfo(np.int64).max)
-        np.minimum.at(least, who, np.maximum(rank[by][twice], rank[by][twice + 1]))
-        earliest[chunk] = least
-    ok = (common * DEN >= NUM * (nx + ny - common)) & (earliest == p)
+    table, place, n_words = words
+    need = -(-NUM * (nx + ny) // (NUM + DEN))  # common words at the threshold
+    common, spans, longest, run = (np.zeros(len(x), np.int64) for _ in range(4))
+    earliest, last = np.full(len(x), -1), np.full(len(x), -2)
+    live, here, depth = np.arange(len(x)), y.copy(), 0
+    while len(live):
+        sign, here = index.step(here)
+        wanted = x[live] * n_words + index.word_of[sign]
+        i = np.minimum(np.searchsorted(table, wanted), len(table) - 1)
+        same = table[i] == wanted
+        hit, pos = live[same], place[i[same]]
+        goes_on = pos == last[hit] + 1  # the maximal match grows by a word; else another one begins
+        run[hit] = np.where(goes_on, run[hit] + 1, 1)
+        spans[hit] += ~goes_on
+        common[hit] += 1
+        longest[hit] = np.maximum(longest[hit], run[hit])
+        earliest[hit] = np.where(earliest[hit] < 0, pos, earliest[hit])
+        last[live[~same]] = -2
+        last[hit] = pos
+        depth += 1
+        more = (depth < ny[live]) & (common[live] + ny[live] - depth >= need[live])
+        live, here = live[more], here[more]
+    ok = (common >= need) & (earliest == p)
     return pd.DataFrame(
-        {"x": part["class"].to_numpy()[x[ok]], "y": y_class[y[ok]], "n_common": common[ok], "n_either": (nx + ny - common)[ok], "longest_run": run[ok]}
+        {"x": x_class[x[ok]], "y": y_class[y[ok]], "n_common": common[ok], "n_either": (nx + ny - common)[ok], "n_spans": spans[ok], "longest_run": longest[ok]}
     )
 
 
 def class_matches(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Matches (x, y, n_common, n_either, longest_run) of training class x and evaluation
+    """Matches (x, y, n_common, n_either, n_spans, longest_run) of training class x and evaluation
     class y, and the members (class, sample_id) of either side."""
     spark = records.sparkSession
+    broadcast = spark.sparkContext.broadcast
     held, train = records.filter("split <> 'train'"), records.filter("split = 'train'")
-    sketch = spark.sparkContext.broadcast(word_sketch(held))
+    sketch = broadcast(word_sketch(held))
     eval_rows = cut(symbol_rows(held, sketch, None, True))
     keys_each = 9  # keys of a record of usual length; only the filter's size hangs on it
     of_eval = key_filter(eval_rows, True, keys_each * eval_rows.count())
-    train_rows = cut(symbol_rows(train, sketch, spark.sparkContext.broadcast(of_eval), False))
-    both = key_filter(train_rows, False, keys_each * train_rows.count(), of_eval)
-    bits = spark.sparkContext.broadcast(both)
-    one = lambda rows: rows.groupBy("class").agg(F.min("symbols").alias("symbols"))
-    held_classes = cut(one(eval_rows))
+    train_rows = cut(symbol_rows(train, sketch, broadcast(of_eval), False))
+    bits = broadcast(key_filter(train_rows, False, keys_each * train_rows.count(), of_eval))
+    one = lambda rows: cut(rows.groupBy("class").agg(F.min("symbols").alias("symbols")))
+    held_classes, train_classes = one(eval_rows), one(train_rows)
     keys = held_classes.select("symbols").mapInPandas(_key_rows(bits), "key long").groupBy("key").agg(F.count("*").alias("n"))
     total, most = keys.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
     hot = {}
     if most > KEY_ENTRIES:  # at most total / KEY_ENTRIES of them
         hot = {r.key: -(-r.n // KEY_ENTRIES) for r in keys.filter(F.col("n") > KEY_ENTRIES).collect()}
-    hot = spark.sparkContext.broadcast(hot)
+    hot = broadcast(hot)
     shards = max(1, -(-total // SHARD_ENTRIES))
-    shape = "shard long, side int, class binary, symbols binary, keys binary, at binary"
-    y = held_classes.mapInPandas(_routed(True, bits, hot, shards), shape)
-    x = one(train_rows).mapInPandas(_routed(False, bits, hot, shards), shape)
+    loads = train_classes.mapInPandas(_loads(bits, hot, shards), "shard long, n long").groupBy("shard").agg(F.sum("n").alias("n"))
+    split, tasks = {}, shards
+    for r in loads.filter(F.col("n") > SHARD_RECORDS).orderBy("shard").collect():  # at most a shard for SHARD_RECORDS routed records
+        more = -(-r.n // SHARD_RECORDS) - 1
+        split[r.shard] = (r.shard, *range(tasks, tasks + more))
+        tasks += more
+    split = broadcast(split)
+    shape = "task long, side int, class binary, symbols binary, kinds binary, at binary"
+    y = held_classes.mapInPandas(_routed(True, bits, hot, shards, split), shape)
+    x = train_classes.mapInPandas(_routed(False, bits, hot, shards, split), shape)
     found = (
         y.unionByName(x)
-        .repartition(shards, "shard")
-        .sortWithinPartitions("shard", "side")
-        .mapInPandas(_search, "x binary, y binary, n_common long, n_either long, longest_run long")
+        .repartitionById(tasks, F.col("task").cast("int"))
+        .sortWithinPartitions("task", "side")
+        .mapInPandas(_search, "x binary, y binary, n_common long, n_either long, n_spans long, longest_run long")
     )
     member = lambda rows: rows.select("class", "sample_id").distinct()
     return cut(found), member(train_rows), member(eval_rows)
 
 
 def pairs(records: DataFrame) -> DataFrame:
-    """train_id, eval_id, n_common, n_either, longest_run of all pairs of a training and an
+    """train_id, eval_id, n_common, n_either, n_spans, longest_run of all pairs of a training and an
     evaluation record with the same non-empty bare answer whose questions share at least
     NUM/DEN of their distinct words. Questions without words match nothing."""
     found, train, held = class_matches(records)
     return (
         found.join(train.toDF("x", "train_id"), "x")
         .join(held.toDF("y", "eval_id"), "y")
-        .select("train_id", "eval_id", "n_common", "n_either", "longest_run")
+        .select("train_id", "eval_id", "n_common", "n_either", "n_spans", "longest_run")
     )
 
 
 def report(records: DataFrame) -> DataFrame:
     """Per split and source of the evaluation record: n_records, n_overlapping, n_same (equal
-    words), n_pairs and longest_run. Every group of evaluation records has a row."""
+    words), n_pairs and longest_run. Every group of evaluation records has a row. Copies are
+    counted by the sizes of their classes, not paired. A sample_id delivered with several texts
+    is counted once in the first three, and its pairs with each text."""
     group = ["split", "source"]
-    held = records.filter("split <> 'train'").groupBy(*group).agg(F.countDistinct("sample_id").alias("n_records"))
+    of = lambda c: [F.regexp_extract(c, SPLIT, 2).alias("split"), F.regexp_extract(c, SPLIT, 1).alias("source")]
+    all_ = records.filter("split <> 'train'").groupBy(*group).agg(F.countDistinct("sample_id").alias("n_records"))
+    found, train, held = class_matches(records)
+    size = train.groupBy(F.col("class").alias("x")).agg(F.count("*").alias("n"))
+    of_class = (
+        found.join(size, "x")
+        .groupBy(F.col("y").alias("class"))
+        .agg(F.sum("n").alias("n"), F.max(F.col("n_common") == F.col("n_either")).alias("same"), F.max("longest_run").alias("run"))
+    )
     hits = (
-        pairs(records)
-        .groupBy("eval_id")
-        .agg(F.count("*").alias("n_pairs"), F.max(F.col("n_common") == F.col("n_either")).alias("same"), F.max("longest_run").alias("run"))
-        .select(F.regexp_extract("eval_id", SPLIT, 2).alias("split"), F.regexp_extract("eval_id", SPLIT, 1).alias("source"), "*")
+        held.join(of_class, "class")
+        .groupBy("sample_id")
+        .agg(F.sum("n").alias("n"), F.max("same").alias("same"), F.max("run").alias("run"))
+        .select(*of("sample_id"), "*")
         .groupBy(*group)
-        .agg(
-            F.count("*").alias("n_overlapping"),
-            F.sum(F.col("same").cast("long")).alias("n_same"),
-            F.sum("n_pairs").alias("n_pairs"),
-            F.max("run").alias("longest_run"),
-        )
+        .agg(F.count("*").alias("n_overlapping"), F.sum(F.col("same").cast("long")).alias("n_same"), F.sum("n").alias("n_pairs"), F.max("run").alias("longest_run"))
     )
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return held.join(hits, group, "left").select(*group, "n_records", *[zero(c) for c in ("n_overlapping", "n_same", "n_pairs", "longest_run")])
+    return all_.join(hits, group, "left").select(*group, "n_records", *[zero(c) for c in ("n_overlapping", "n_same", "n_pairs", "longest_run")])

@@ -82,15 +82,54 @@ def test_overlap_of_nothing(spark):
 
 def test_backward_index():
     rng = np.random.default_rng(1)
-    entries = [rng.integers(1, 5, rng.integers(1, 9)).astype(np.uint64) for _ in range(200)]
-    index = split_overlap.BackwardIndex(entries)
-    for pattern in ([1], [2, 3], [4, 4, 1], [9]):
-        lo, hi = 0, index.n
-        for s in index.symbol(np.array(pattern[::-1], np.uint64)):
-            lo, hi = index.extend(s, lo, hi) if s >= 0 else (0, 0)
-        found = sorted(index.entries(np.arange(lo, hi)))
-        want = sorted(k for k, e in enumerate(entries) for i in range(len(e) - len(pattern) + 1) if list(e[i : i + len(pattern)]) == pattern)
-        assert found == want
+    words = [rng.integers(1, 5, rng.integers(1, 30)).astype(np.uint64) for _ in range(200)]
+    marks = [rng.integers(0, 3, len(w)) for w in words]
+    index = split_overlap.BackwardIndex(words, marks)
+    for pattern in ([(1, 0)], [(2, 1), (3, 0)], [(4, 2), (4, 2), (1, 1)], [(9, 0)]):
+        lo, hi = np.array([0]), np.array([index.n])
+        for s in index.signs(np.array([w for w, _ in pattern], np.uint64), np.array([m for _, m in pattern])):
+            lo, hi = index.extend(np.array([s]), lo, hi) if s >= 0 else (lo * 0, lo * 0)
+        found = sorted(zip(*(v.tolist() for v in index.locate(np.arange(lo[0], hi[0])))))
+        both = [list(zip(w.tolist(), m.tolist())) for w, m in zip(words, marks)]
+        assert found == sorted((k, i + len(pattern) - 1) for k, e in enumerate(both) for i in range(len(e) - len(pattern) + 1) if e[i : i + len(pattern)] == pattern)
+    here = np.arange(len(words))  # backward steps from the end of an entry spell it out
+    for d in range(30):
+        sign, here = index.step(here)
+        for k in np.flatnonzero(index.sizes > d):
+            assert index.alphabet[index.word_of[sign[k]]] == words[k][d]
+
+
+def test_overlap_comes_from_the_index(spark, monkeypatch):
+    """Pairs are counted by what the index spells out: without its steps there are none."""
+    rows = [(f"x_{'train' if i % 2 else 'val'}_{i}", "one two three four five", "yes") for i in range(6)]
+    df = split_overlap.split_records(spark.createDataFrame(rows, SAMPLE))
+    assert split_overlap.pairs(df).count() == 9
+    x = [np.array([1, 2, 3, 4, 5], np.uint64)]
+    index = split_overlap.BackwardIndex(x, [np.array([1, 0, 0, 0, 0])])
+    words = (np.arange(5), np.arange(5), 6)
+    follow = lambda: split_overlap._follow(np.array([b"x"]), np.array([5]), np.array([0]), np.array([0]), *index.extend(index.signs(x[0][:1], np.array([1])), np.array([0]), np.array([index.n])), index, np.array([b"y"]), words)
+    assert follow().values.tolist() == [[b"x", b"y", 5, 5, 1, 5]]
+    monkeypatch.setattr(index, "locate", lambda suffix: (np.array([0]), np.array([0])))
+    assert len(follow())
+    monkeypatch.setattr(index, "step", lambda suffix: (np.zeros(len(suffix), np.int64), suffix))
+    assert not len(follow())
+
+
+def test_overlap_spans(spark):
+    rows = [("x_train_1", "a b c d e f g h i j k l", "yes"), ("x_val_1", "a b c d e X g h i j k l", "yes")]
+    got = split_overlap.pairs(split_overlap.split_records(spark.createDataFrame(rows, SAMPLE))).first()
+    assert (got.n_common, got.n_either) == (11, 13) and 1 <= got.n_spans <= 3 and got.longest_run * got.n_spans >= 11
+
+
+def test_overlap_of_a_key_that_is_hot_in_training(spark, monkeypatch):
+    """Few evaluation records and very many training records with their key: several tasks share a shard."""
+    monkeypatch.setattr(split_overlap, "SHARD_RECORDS", 10)
+    rows = [("x_val_0", "rare word common one", "yes"), ("x_test_0", "rare word common two", "yes")] + [(f"x_train_{i}", f"rare word common n{i % 70}", "yes") for i in range(140)]
+    rows += [(f"x_train_{i}", "rare word common one", "yes") for i in range(200, 230)]
+    records = split_overlap.split_records(spark.createDataFrame(rows, SAMPLE))
+    got = [(r.train_id, r.eval_id) for r in split_overlap.pairs(records).collect()]
+    assert len(got) == len(set(got)) and set(got) == overlap_truth(rows)
+    assert {r.split: (r.n_pairs, r.n_same) for r in split_overlap.report(records).collect()} == {s: (sum(f"_{s}_" in e for _, e in got), n) for s, n in (("val", 1), ("test", 0))}
 
 
 # 2 splitting
