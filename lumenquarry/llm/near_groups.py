@@ -7,7 +7,10 @@ chunks; by the pigeonhole principle two signatures at most LIMIT values apart ha
 two chunk hits when each chunk may hold up to one error, and the error is enumerated by
 leaving out one value of the chunk at a time. The pairs found are checked exactly.
 
-Sets that are equal are joined as one class first, so copies never meet in a bucket.
+Sets that are equal are joined as one class first, so copies never meet in a bucket. A key that
+very many different classes have (set phrases around a few changed words) is no bucket of
+one task: its classes are dealt to blocks, blocks meet two by two, and only the pairs whose
+signatures agree far enough come out.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WORD, cut, keyed
+from .shared import WORD, cut, expanded, keyed
 
 SHINGLE_WORDS, THRESHOLD = 3, 0.6
 CHUNKS, PARTS, B_BITS = 16, 5, 16
@@ -31,6 +34,11 @@ LIMIT = 2 * (CHUNKS - 1) + 1 - 1
 #: Agreeing values below which a pair of similarity THRESHOLD is five standard deviations off.
 LEAST_AGREE = int(CHUNKS * PARTS * THRESHOLD - 5 * (CHUNKS * PARTS * THRESHOLD * (1 - THRESHOLD)) ** 0.5)
 
+#: Classes with a key from which it is hot, and of a block of it; share of the classes by which hot
+#: keys are told (at least, and at least so many classes) and members in that sample. A key that is not
+#: told hot is joined as the others are: the rows are the same.
+HOT, BLOCK, SAMPLE_SHARE, SAMPLE_CLASSES, SAMPLE_LEAST = 2000, 1000, 0.01, 20_000, 20
+
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -125,15 +133,14 @@ def _shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for k in range(0, len(pdf), _TEXTS):
             part = pdf.iloc[k : k + _TEXTS]
-            sets = [np.unique((s & np.uint64(0xFFFFFFFF)).astype(np.uint32)).tobytes() for s in shingler(part.text.tolist())]
-            yield pd.DataFrame({"doc_id": part.doc_id, "s": sets})
+            yield pd.DataFrame({"doc_id": part.doc_id, "s": [s.tobytes() for s in shingler(part.text.tolist())]})
 
 
 def _similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         sims = []
         for a, b in zip(pdf.s_lo, pdf.s_hi):
-            a, b = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+            a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
             both = len(np.intersect1d(a, b, assume_unique=True))
             sims.append(both / max(1, len(a) + len(b) - both))
         yield pd.DataFrame({"lo": pdf.lo, "hi": pdf.hi, "similarity": np.array(sims, np.float64)})
@@ -147,6 +154,44 @@ def _agree(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pdf.loc[(a == b).sum(1) >= LEAST_AGREE, ["lo", "hi"]]
 
 
+def _hot_keys(reps: DataFrame, hot: int) -> DataFrame:
+    """key, blocks of the keys that about ``hot`` classes or more have."""
+    share = min(1.0, max(SAMPLE_SHARE, SAMPLE_CLASSES / max(1, reps.count())))
+    some = reps if share == 1 else reps.filter(F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(1 << 30)) < int(share * (1 << 30)))
+    n = F.col("count") / share
+    return some.select("rep", "sig").mapInPandas(_keys, "key long, rep long").groupBy("key").count().filter((n >= hot) & ((F.col("count") >= SAMPLE_LEAST) | F.lit(share == 1))).select(
+        "key", F.ceil(n / BLOCK).cast("int").alias("blocks")
+    )
+
+
+def _met(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of two blocks of a key, or within one, whose signatures agree in LEAST_AGREE values or more."""
+    i, j = pdf.i.iat[0], pdf.j.iat[0]
+    pdf = pdf.drop_duplicates(["rep", "own"])
+    a, b = pdf[pdf.own == i], pdf[pdf.own == j]
+    sig = lambda rows: np.frombuffer(b"".join(rows.sig), np.uint16).reshape(len(rows), CHUNKS * PARTS)
+    out = []
+    if len(a) and len(b):
+        y, ids = sig(b), b.rep.to_numpy()
+        for k in range(0, len(a), 256):
+            x, of = sig(a.iloc[k : k + 256]), a.rep.to_numpy()[k : k + 256]
+            same = np.zeros((len(x), len(y)), np.uint8)
+            for v in range(x.shape[1]):
+                same += x[:, v, None] == y[:, v]
+            p, q = np.nonzero(same >= LEAST_AGREE)
+            out.append(pd.DataFrame({"lo": np.minimum(of[p], ids[q]), "hi": np.maximum(of[p], ids[q])}))
+    found = pd.concat(out) if out else pd.DataFrame({"lo": [], "hi": []})
+    return found[found.lo < found.hi].astype("int64")
+
+
+def _hot_pairs(keys: DataFrame, hot: DataFrame, sig: DataFrame) -> DataFrame:
+    """lo, hi of the classes that have a hot key in common and agree far enough."""
+    members = keys.join(hot, "key").join(sig, "rep").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    other = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = other.select("key", "rep", "sig", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    return met.groupBy("key", "i", "j").applyInPandas(_met, "lo long, hi long").distinct()
+
+
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, class) of every document with at least three words, and (class, rep, sig)."""
     signed = cut(keyed(docs, "doc_id", "text").mapInPandas(_signatures, "doc_id long, class binary, sig binary"))
@@ -154,9 +199,16 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return signed.select("doc_id", "class"), cut(reps)
 
 
-def class_pairs(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """lo, hi, similarity: representatives of different classes at THRESHOLD or above."""
-    keys = reps.select("rep", "sig").mapInPandas(_keys, "key long, rep long")
+def class_pairs(docs: DataFrame, reps: DataFrame, hot: int = HOT) -> DataFrame:
+    """lo, hi, similarity: representatives of different classes at THRESHOLD or above. ``hot``
+    changes no row but the way to it."""
+    sig = reps.select("rep", "sig")
+    keys = sig.mapInPandas(_keys, "key long, rep long")
+    hot_keys = cut(_hot_keys(reps, hot))
+    any_hot = not hot_keys.isEmpty()
+    of_hot = _hot_pairs(keys, hot_keys, sig) if any_hot else None
+    if any_hot:
+        keys = keys.join(hot_keys.select("key"), "key", "left_anti")
     a, b = keys.withColumnRenamed("rep", "lo"), keys.withColumnRenamed("rep", "hi")
     found = (
         a.join(b.hint("merge"), "key")
@@ -166,12 +218,12 @@ def class_pairs(docs: DataFrame, reps: DataFrame) -> DataFrame:
         .filter(F.col("n") >= LEAST_KEYS)
         .select("lo", "hi")
     )
-    sig = reps.select("rep", "sig")
-    near = cut(
+    near = (
         found.join(sig.toDF("lo", "sig_lo"), "lo")
         .join(sig.toDF("hi", "sig_hi"), "hi")
         .mapInPandas(_agree, "lo long, hi long")
     )
+    near = cut(near.unionByName(of_hot).distinct() if any_hot else near)
     wanted = near.select(F.col("lo").alias("doc_id")).union(near.select("hi")).distinct()
     sets = cut(keyed(docs, "doc_id", "text").join(wanted, "doc_id", "left_semi").mapInPandas(_shingles, "doc_id long, s binary"))
     return (
@@ -192,13 +244,8 @@ def document_pairs(docs: DataFrame) -> DataFrame:
     size = members.groupBy("class").agg(F.countDistinct("doc_id").alias("n"), F.min("doc_id").alias("rep"))
     same = size.filter("n > 1").select(F.col("rep").alias("lo"), F.col("rep").alias("hi"))
     member = members.distinct().join(reps.select("class", "rep"), "class").select("doc_id", "rep")
-    return (
-        pairs.unionByName(same)
-        .join(member.toDF("x", "lo"), "lo")
-        .join(member.toDF("y", "hi"), "hi")
-        .filter("(lo <> hi AND x <> y) OR x < y")
-        .select(F.least("x", "y").alias("doc_id_lo"), F.greatest("x", "y").alias("doc_id_hi"))
-    )
+    all_ = expanded(expanded(pairs.unionByName(same), member.toDF("x", "lo"), "lo"), member.toDF("y", "hi"), "hi")
+    return all_.filter("(lo <> hi AND x <> y) OR x < y").select(F.least("x", "y").alias("doc_id_lo"), F.greatest("x", "y").alias("doc_id_hi"))
 
 
 def document_groups(docs: DataFrame) -> DataFrame:

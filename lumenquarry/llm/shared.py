@@ -50,6 +50,23 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Members of a class that join in one task.
+CLASS_BLOCK = 10_000
+
+
+def expanded(pairs: DataFrame, members: DataFrame, on: str, block: int = CLASS_BLOCK) -> DataFrame:
+    """``pairs`` joined with all ``members`` of the class in column ``on``. A class of more than
+    ``block`` members is joined in blocks, so that a hot one is many tasks."""
+    big = members.groupBy(on).agg(F.count("*").alias("_n")).filter(F.col("_n") > block).select(on, F.ceil(F.col("_n") / block).cast("int").alias("_blocks"))
+    if big.isEmpty():
+        return pairs.join(members, on)
+    (other,) = [c for c in members.columns if c != on]
+    blocks = F.coalesce("_blocks", F.lit(1))  # at most members / block rows of big
+    left = pairs.join(big, on, "left").withColumn("_b", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("_blocks")
+    right = members.join(big, on, "left").withColumn("_b", F.pmod(F.xxhash64(other), blocks).cast("int")).drop("_blocks")
+    return left.join(right, [on, "_b"]).drop("_b")
+
+
 def bare(col: Column) -> Column:
     """Letters and digits of a text in order, ignoring letter case; '' for null."""
     return F.regexp_replace(F.lower(F.coalesce(col, F.lit(""))), r"[^\p{L}\p{N}]", "")

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WORD, cut
+from .shared import WORD, cut, expanded
 
 #: Similarity of the words of two questions, as a fraction.
 NUM, DEN = 7, 10
@@ -539,11 +539,8 @@ def pairs(records: DataFrame) -> DataFrame:
     evaluation record with the same non-empty bare answer whose questions share at least
     NUM/DEN of their distinct words. Questions without words match nothing."""
     found, train, held = class_matches(records)
-    return (
-        found.join(train.toDF("x", "train_id"), "x")
-        .join(held.toDF("y", "eval_id"), "y")
-        .select("train_id", "eval_id", "n_common", "n_either", "n_spans", "longest_run")
-    )
+    both = expanded(expanded(found, train.toDF("x", "train_id"), "x"), held.toDF("y", "eval_id"), "y")
+    return both.select("train_id", "eval_id", "n_common", "n_either", "n_spans", "longest_run")
 
 
 def report(records: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenquarry.llm import cutoff, eval_leaks, format_copies, near_groups, packing, reply_defects, split_overlap, splitting, subjects
-from lumenquarry.llm.shared import cut
+from lumenquarry.llm.shared import cut, expanded
 
 WORD = re.compile(r"[^\W_]+")
 def clash(*names):
@@ -350,6 +350,31 @@ def test_near_pairs_and_groups(spark):
     assert near_groups.document_pairs(docs.limit(0)).count() == 0
 
 
+def test_near_pairs_of_hot_keys(spark, monkeypatch):
+    """Set phrases with a few changed words: keys of all documents, met in blocks, with the same pairs."""
+    monkeypatch.setattr(near_groups, "BLOCK", 7)
+    phrase = [f"set{i}" for i in range(40)]
+    rng = random.Random(3)
+    rows = []
+    for i in range(60):
+        w = list(phrase)
+        for _ in range(rng.randint(0, 5)):
+            w[rng.randrange(40)] = f"own{rng.randrange(9)}"
+        rows.append((i, " ".join(w), None))
+    docs = spark.createDataFrame(rows, TEXT)
+    _, reps = near_groups.classes(docs)
+    pairs = lambda hot: sorted(tuple(r)[:2] for r in near_groups.class_pairs(docs, reps, hot).collect())
+    assert not near_groups._hot_keys(reps, 10**6).count() and near_groups._hot_keys(reps, 10).count() > 10
+    assert len(pairs(10**6)) > 100 and pairs(10) == pairs(10**6)
+
+
+def test_expanded_in_blocks(spark):
+    pairs = spark.createDataFrame([(1, 5), (2, 5)], "c long, d long")
+    members = spark.createDataFrame([(i, 1 if i < 40 else 2) for i in range(43)], "m long, c long")
+    want = sorted(map(tuple, expanded(pairs, members, "c").select("m", "c", "d").collect()))
+    assert len(want) == 43 and sorted(map(tuple, expanded(pairs, members, "c", 6).select("m", "c", "d").collect())) == want
+
+
 def test_hamming_guarantee():
     """Signatures at most LIMIT values apart share the needed number of keys."""
     rng = np.random.default_rng(2)
