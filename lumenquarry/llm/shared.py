@@ -18,6 +18,10 @@ WORD = re.compile(r"[^\W_]+")
 SPACE = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
+#: The same signs one by one.
+SPACES = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor sees; a temporary one only on one machine where none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None)

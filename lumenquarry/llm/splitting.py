@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SPACE
+from .shared import SPACE, SPACES
 
 MAX_WORDS, OVERLAP = 300, 40
 #: A run without any space beyond this length is cut by characters.
@@ -30,13 +30,8 @@ def _by_charset(text: Column, make) -> Column:
 
 def n_words(text: Column) -> Column:
     """Number of maximal runs of non-whitespace; 0 for null."""
-    text = F.coalesce(text, F.lit(""))
-
-    def count(space: str) -> Column:
-        marks = F.regexp_replace(text, rf"[^{space}]++[{space}]*+", "\u0001")
-        return F.length(marks) - F.length(F.regexp_extract(marks, rf"^[{space}]*", 0))
-
-    return _by_charset(text, count)
+    text = F.ltrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
+    return _by_charset(text, lambda space: F.length(F.regexp_replace(text, rf"[^{space}]++[{space}]*+", "\u0001")))
 
 
 def longer_than(text: Column, words: int) -> Column:
@@ -101,15 +96,17 @@ def pieces(docs: DataFrame, max_words: int = MAX_WORDS, overlap: int = OVERLAP)
 
 def exploded(docs: DataFrame) -> DataFrame:
     """One row per piece: doc_id, chunk_index from 0, entity_name (trimmed), text, n_words, n_overlap_words."""
-    return (
-        pieces(docs.select("doc_id", "text", "entity_name"))
-        .select("doc_id", "entity_name", F.posexplode("pieces").alias("chunk_index", "p"))
-        .select(
-            "doc_id",
-            "chunk_index",
-            F.trim("entity_name").alias("entity_name"),
-            F.regexp_replace(F.concat("p.overlap_text", "p.new_text"), rf"[{SPACE}]+$", "").alias("text"),
-            n_words(F.concat("p.overlap_text", "p.new_text")).alias("n_words"),
-            n_words(F.col("p.overlap_text")).alias("n_overlap_words"),
-        )
+    # The outer form, as from the plain one Catalyst infers a filter that walks every text once more.
+    rows = pieces(docs.select("doc_id", "text", "entity_name")).select("doc_id", "entity_name", F.posexplode_outer("pieces").alias("chunk_index", "p")).filter("p IS NOT NULL")
+    before, new = F.col("p.overlap_text"), F.col("p.new_text")
+    counted = rows.select("doc_id", "chunk_index", "entity_name", before.alias("before"), new.alias("new"), F.when(before == "", 0).otherwise(n_words(before)).alias("n_before"))
+    # a word that no space ends goes on in the new text
+    torn = (F.col("before") != "") & (F.length("before") == F.length(F.rtrim("before", F.lit(SPACES))))
+    return counted.select(
+        "doc_id",
+        "chunk_index",
+        F.trim("entity_name").alias("entity_name"),
+        F.rtrim(F.concat("before", "new"), F.lit(SPACES)).alias("text"),
+        (F.col("n_before") + n_words(F.col("new")) - torn.cast("int")).alias("n_words"),
+        F.col("n_before").alias("n_overlap_words"),
     )
