@@ -18,7 +18,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import cut, keyed
@@ -33,10 +34,12 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 def token_counts(docs: DataFrame, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, n_tokens; null and empty texts have 0 tokens, rows without doc_id are left out."""
 
+    docs.sparkSession.sparkContext.addFile(os.path.join(folder, vocabulary))  # no worker needs the folder
+
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import tiktoken
 
-        with open(os.path.join(folder, vocabulary), "rb") as f:
+        with open(SparkFiles.get(vocabulary), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         encoding = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         for pdf in batches:
@@ -91,9 +94,10 @@ def containers(counts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     if capacity < 1:
         raise ValueError("capacity must be positive")
     items = counts.filter("n_tokens > 0")
-    full = items.select("doc_id", "n_tokens", F.floor(F.col("n_tokens") / capacity).cast("long").alias("f")).filter("f > 0")
-    full = full.select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("f") - 1)).alias("part")).select(
-        F.concat_ws("-", F.lit("full"), "doc_id", "part").alias("container_id"),
+    again = F.row_number().over(Window.partitionBy("doc_id").orderBy("n_tokens")) - 1  # of the long texts alone
+    full = items.select("doc_id", "n_tokens", F.floor(F.col("n_tokens") / capacity).cast("long").alias("f")).filter("f > 0").withColumn("again", again)
+    full = full.select("doc_id", "again", F.explode(F.sequence(F.lit(0).cast("long"), F.col("f") - 1)).alias("part")).select(
+        F.concat_ws("-", F.lit("full"), "doc_id", "part", F.when(F.col("again") > 0, F.col("again"))).alias("container_id"),
         "doc_id",
         "part",
         (F.col("part") * capacity).alias("first_token"),

@@ -407,6 +407,9 @@ def test_containers(spark):
         assert [a for a, _ in spans] == list(range(0, s, 1024)) and sum(n for _, n in spans) == s
     assert sum(sizes) / (len(held) * 1024) > 0.95
     assert packing.containers(counts(spark, [0])).count() == 0
+    twice = spark.createDataFrame([(1, 2500), (1, 2500), (1, 1500)], "doc_id long, n_tokens long")
+    held = {r.container_id: r["n"] for r in packing.containers(twice).groupBy("container_id").agg(F.sum("n_tokens").alias("n")).collect()}
+    assert max(held.values()) <= 1024 and sum(held.values()) == 6500 and sum(k.startswith("full") for k in held) == 5
 
 
 def test_differencing():
