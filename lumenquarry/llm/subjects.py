@@ -27,24 +27,19 @@ from pyspark.sql import functions as F
 
 from .shared import WORD, keyed
 
-#: Bounds of the fitting sample: labelled documents and case descriptions.
-FIT_DOCUMENTS, FIT_CASES = 4000, 2000
+#: Bounds of the fitting sample: labelled documents and case descriptions; and how many statements of
+#: cases there are at most for one of the documents, lest they outweigh the subjects where labels are few.
+FIT_DOCUMENTS, FIT_CASES, CASE_SHARE = 4000, 2000, 0.25
 #: Share of the statements that have a subject.
 LEAST_SHARE = 0.25
 #: Mining: support as a share of the statements (and in statements), confidence, words of a rule.
-MIN_SUPPORT, MIN_COUNT, MIN_CONFIDENCE, RULE_WORDS = 0.001, 4, 0.5, 4
+MIN_SUPPORT, MIN_COUNT, MIN_CONFIDENCE, RULE_WORDS = 0.0003, 4, 0.5, 4
 #: A longer rule is redundant unless it is surer by this much than all shorter ones within it.
 GAIN = 0.05
-#: Documents in which a word must stand to be an item, and how many times the even share of a
-#: subject's documents it may stand in before it belongs to none.
-MIN_DOCUMENTS, MOST_DOCUMENTS = 3, 2.5
 #: Pseudo-counts that draw a rate towards the class's share.
 SHRINK = 4.0
-#: Lift (natural logarithm) and share of one class from which a word is an item, and statement
-#: evidence to be assigned.
+#: Log odds and share of one class from which a word is an item, and statement evidence to be assigned.
 ITEM_LIFT, ITEM_SHARE, ASSIGN = 0.7, 0.35, 1.0
-#: Share of one class from which a word needs no other words beside it.
-SURE = 0.95
 #: Calibrated probability from which a statement has the subject.
 ACCEPT = 0.5
 NONE = ""
@@ -144,13 +139,28 @@ def fit(docs: DataFrame, labels: DataFrame, areas: DataFrame, cases: DataFrame)
     number = {c: i for i, c in enumerate(classes)}
     marked = [len(WORD.findall(s)) for t in sample.text for s in MARKS.split(t)]
     usual = int(np.median([n for n in marked if 3 <= n <= 40] or [16]))
-    rows = cases.select("passage", "question").orderBy(F.xxhash64("item_id"), "item_id").limit(min(FIT_CASES, max(50, len(sample) // 2))).toPandas()
+    rows = cases.select("passage", "question").orderBy(F.xxhash64("item_id"), "item_id").limit(FIT_CASES).toPandas()
     parts = [(list(statements(t, usual)), [number[s] for s in subjects]) for t, subjects in zip(sample.text, sample.subjects)]
-    parts += [(list(statements(t, usual)), [0]) for r in rows.itertuples(index=False) for t in r if isinstance(t, str)]
+    said_of_none = [s for r in rows.itertuples(index=False) for t in r if isinstance(t, str) for s in statements(t, usual)]
+    said_of_none = said_of_none[: max(1, int(CASE_SHARE * sum(len(said) for said, _ in parts)))]
+    return _learnt(spark, _told_apart(parts, said_of_none, len(classes)), classes, usual)
 
-    k = len(classes)
-    seen = [1.0] * k
-    uses: dict[str, list[float]] = {}  # by class, and over all
+
+def _lifts(counts: dict[str, list[float]], prior: list[float]) -> dict[str, list[float]]:
+    """Log of how much commoner a word makes each class."""
+    k = len(prior)
+    return {w: [math.log((n[c] + SHRINK * p) / (n[k] + SHRINK) / p) for c, p in enumerate(prior)] for w, n in counts.items() if n[k] >= 2}
+
+
+def _prior(seen: list[float]) -> list[float]:
+    return [x / sum(seen) for x in seen]
+
+
+def _told_apart(parts: list[tuple[list[list[str]], list[int]]], said_of_none: list[list[str]], k: int) -> list[tuple[list[str], int | None]]:
+    """The statements of labelled documents, each with the label of its document (or with none of them)
+    that its words favour; those of cases have no subject."""
+    parts = [*parts, *(([s], [0]) for s in said_of_none)]
+    seen, uses = [1.0] * k, {}  # by class, and over all
     for said, own in parts:
         share = 1 / len(own)
         for c in own:
@@ -160,49 +170,59 @@ def fit(docs: DataFrame, labels: DataFrame, areas: DataFrame, cases: DataFrame)
             n[k] += 1
             for c in own:
                 n[c] += share
-    prior = [x / sum(seen) for x in seen]
-
-    def lifts(counts: dict[str, list[float]]) -> dict[str, list[float]]:
-        return {w: [math.log((n[c] + SHRINK * p) / (n[k] + SHRINK) / p) for c, p in enumerate(prior)] for w, n in counts.items() if n[k] >= 2}
-
-    lift = lifts(uses)
-    common = {w for w, n in uses.items() if MIN_DOCUMENTS <= n[k] <= MOST_DOCUMENTS * len(sample) / (k - 1)}
+    prior = _prior(seen)
+    lift = _lifts(uses, prior)
     chosen: list[tuple[list[str], int | None]] = []
     for _ in range(2):  # tell the statements of a document apart, then count words by statement
-        chosen, uses = [], {}
+        chosen = []
         for said, own in parts:
             pick = sorted({0, *own})
             for s in said:
-                told = set(s)
                 e = [0.0] * len(pick)
-                for w in told:
+                for w in set(s):
                     v = lift.get(w)
                     if v is not None:
                         own_lift = [v[c] for c in pick]
                         if max(own_lift) > 0.3:
                             e = [a + b for a, b in zip(e, own_lift)]
                 best = max(range(len(pick)), key=e.__getitem__)
-                c = pick[best] if e[best] >= ASSIGN else None
-                chosen.append((s, c))
-                for w in told:
-                    n = uses.setdefault(w, [0.0] * (k + 1))
-                    n[k] += 1
-                    if c is not None:
-                        n[c] += 1
-        lift = lifts(uses)
-    telling = lambda w: max(uses[w][:k]) >= ITEM_SHARE * uses[w][k] and uses[w][k] >= MIN_COUNT
-    items = {w: int(uses[w][k]) for w, v in lift.items() if max(v) >= ITEM_LIFT and telling(w) and w in common and not w.isdigit()}
-
-    # The single words are counted already, and one that is sure needs no company. Growth starts
-    # from the statements' other items.
-    sure = {w for w in items if max(uses[w][:k]) >= SURE * uses[w][k]}
+                chosen.append((s, pick[best] if e[best] >= ASSIGN else None))
+        lift = _lifts(_uses(chosen, k), prior)
+    return chosen
+
+
+def _uses(chosen: list[tuple[list[str], int | None]], k: int) -> dict[str, list[float]]:
+    """Statements with each word, by class and over all."""
+    uses: dict[str, list[float]] = {}
+    for s, c in chosen:
+        for w in set(s):
+            n = uses.setdefault(w, [0.0] * (k + 1))
+            n[k] += 1
+            if c is not None:
+                n[c] += 1
+    return uses
+
+
+def _learnt(spark, chosen: list[tuple[list[str], int | None]], classes: list[str], usual: int) -> Model:
+    """Items, rules of them by pattern growth, and the calibration of their evidence."""
+    k = len(classes)
+    uses, seen = _uses(chosen, k), [1.0] * k
+    for _, c in chosen:
+        if c is not None:
+            seen[c] += 1
+    prior = _prior(seen)
+
+    def telling(n: list[float]) -> bool:
+        """Whether a word raises the odds of a class that has a good share of it; odds, so that a class of most statements can have words too."""
+        return n[k] >= MIN_COUNT and max(n[:k]) >= ITEM_SHARE * n[k] and any(_weight(n[c], n[k], p) >= ITEM_LIFT for c, p in enumerate(prior))
+
+    items = {w: int(n[k]) for w, n in uses.items() if not w.isdigit() and telling(n)}
     baskets = []
     for s, c in chosen:
-        told = {w for w in s if w in items and w not in sure}
+        told = {w for w in s if w in items}
         if told:
             baskets.append([*sorted(told), *([f"={c}"] if c is not None else [])])
-    counted = {(frozenset([w]), c): (uses[w][c], uses[w][k]) for w in items for c in range(k) if uses[w][c] >= MIN_CONFIDENCE * uses[w][k]}
-    rules = _pruned(counted | _mine(spark, baskets, len(chosen)), prior)
+    rules = _pruned(_mine(spark, baskets, len(chosen)), prior)
     model = Model(classes, rules, usual, items)
     margins, right = [], []
     for s, c in chosen:
@@ -230,18 +250,23 @@ def _mine(spark, baskets: list[list[str]], n_statements: int) -> dict[tuple[froz
     for items, n in freq.items():
         cls = [x for x in items if x[0] == "="]
         words = frozenset(x for x in items if x[0] != "=")
-        if len(cls) == 1 and len(words) > 1 and words in freq and n >= MIN_CONFIDENCE * freq[words]:
+        if len(cls) == 1 and words and words in freq and n >= MIN_CONFIDENCE * freq[words]:
             out[words, int(cls[0][1:])] = (n, freq[words])
     return out
 
 
+def _weight(n: float, total: float, prior: float) -> float:
+    """Log odds of the class, above those it has anyway."""
+    p = (n + SHRINK * prior) / (total + SHRINK)
+    return math.log(p / (1 - p + 1e-9)) - math.log(prior / (1 - prior))
+
+
 def _pruned(found: dict[tuple[frozenset, int], tuple[float, float]], prior: list[float]) -> list[tuple[frozenset, int, float]]:
     """Rules with their weight, without those that a shorter one makes redundant."""
     kept = []
     for (words, c), (n, total) in found.items():
         shorter = (found.get((frozenset(x), c)) for k in range(1, len(words)) for x in combinations(words, k))
-        p = (n + SHRINK * prior[c]) / (total + SHRINK)
-        weight = math.log(p / (1 - p + 1e-9)) - math.log(prior[c] / (1 - prior[c]))
+        weight = _weight(n, total, prior[c])
         if weight > 0 and not any(x and x[0] / x[1] >= n / total - GAIN for x in shorter):
             kept.append((words, c, weight))
     return kept
