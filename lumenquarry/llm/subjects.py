@@ -32,8 +32,8 @@ from .shared import WORD, keyed
 FIT_DOCUMENTS, FIT_CASES, CASE_SHARE = 4000, 2000, 0.25
 #: Share of the statements that have a subject.
 LEAST_SHARE = 0.25
-#: Mining: support as a share of the statements (and in statements), confidence, words of a rule.
-MIN_SUPPORT, MIN_COUNT, MIN_CONFIDENCE, RULE_WORDS = 0.0003, 4, 0.5, 4
+#: Mining: support as a share of the statements and in statements (single words need the latter alone), confidence, words of a rule.
+MIN_SUPPORT, MIN_COUNT, MIN_CONFIDENCE, RULE_WORDS = 0.001, 4, 0.5, 4
 #: A longer rule is redundant unless it is surer by this much than all shorter ones within it.
 GAIN = 0.05
 #: Pseudo-counts that draw a rate towards the class's share.
@@ -222,7 +222,9 @@ def _learnt(spark, chosen: list[tuple[list[str], int | None]], classes: list[str
         told = {w for w in s if w in items}
         if told:
             baskets.append([*sorted(told), *([f"={c}"] if c is not None else [])])
-    rules = _pruned(_mine(spark, baskets, len(chosen)), prior)
+    # What growth counts first are the single words; of these, rules need no support but MIN_COUNT.
+    single = {(frozenset([w]), c): (uses[w][c], uses[w][k]) for w in items for c in range(k) if uses[w][c] >= MIN_CONFIDENCE * uses[w][k]}
+    rules = _pruned(single | _mine(spark, baskets, len(chosen)), prior)
     model = Model(classes, rules, usual, items)
     margins, right = [], []
     for s, c in chosen:
@@ -236,22 +238,21 @@ def _learnt(spark, chosen: list[tuple[list[str], int | None]], classes: list[str
 
 
 def _mine(spark, baskets: list[list[str]], n_statements: int) -> dict[tuple[frozenset, int], tuple[float, float]]:
-    """(words, class) -> (statements with both, statements with the words), by frequent-pattern growth."""
+    """(words, class) -> (statements with both, statements with the words), by frequent-pattern growth
+    over all items; only rules for a class leave the executors."""
     from pyspark.ml.fpm import FPGrowth
 
     if not baskets:
         return {}
     support = max(MIN_SUPPORT * n_statements, MIN_COUNT) / len(baskets)
     data = spark.createDataFrame([(b,) for b in baskets], "items array<string>")
-    found = FPGrowth(itemsCol="items", minSupport=min(1.0, support), minConfidence=MIN_CONFIDENCE).fit(data).freqItemsets
-    sets = found.filter(F.size("items") <= RULE_WORDS + 1).collect()  # at most len(baskets) / support sets of each size
-    freq = {frozenset(r["items"]): r["freq"] for r in sets}
+    found = FPGrowth(itemsCol="items", minSupport=min(1.0, support), minConfidence=MIN_CONFIDENCE).fit(data).associationRules
+    of_class = F.col("consequent")[0].startswith("=") & ~F.exists("antecedent", lambda x: x.startswith("="))
+    rules = found.filter(of_class & (F.size("antecedent") <= RULE_WORDS)).select("antecedent", F.col("consequent")[0].alias("c"), "confidence", "support").collect()
     out = {}
-    for items, n in freq.items():
-        cls = [x for x in items if x[0] == "="]
-        words = frozenset(x for x in items if x[0] != "=")
-        if len(cls) == 1 and words and words in freq and n >= MIN_CONFIDENCE * freq[words]:
-            out[words, int(cls[0][1:])] = (n, freq[words])
+    for words, c, confidence, share in rules:
+        n = share * len(baskets)
+        out[frozenset(words), int(c[1:])] = (n, n / confidence)
     return out
 
 
