@@ -221,7 +221,7 @@ def _learnt(spark, chosen: list[tuple[list[str], int | None]], classes: list[str
     for s, c in chosen:
         told = {w for w in s if w in items}
         if told:
-            baskets.append([*sorted(told), *([f"={c}"] if c is not None else [])])
+            baskets.append((told, c))
     # What growth counts first are the single words; of these, rules need no support but MIN_COUNT.
     single = {(frozenset([w]), c): (uses[w][c], uses[w][k]) for w in items for c in range(k) if uses[w][c] >= MIN_CONFIDENCE * uses[w][k]}
     rules = _pruned(single | _mine(spark, baskets, len(chosen)), prior)
@@ -237,22 +237,29 @@ def _learnt(spark, chosen: list[tuple[list[str], int | None]], classes: list[str
     return model
 
 
-def _mine(spark, baskets: list[list[str]], n_statements: int) -> dict[tuple[frozenset, int], tuple[float, float]]:
+#: Parts of the pattern growth: the sample is bounded, and every part repeats the statements it needs.
+GROWTH_PARTS = 2
+
+
+def _mine(spark, baskets: list[tuple[set[str], int | None]], n_statements: int) -> dict[tuple[frozenset, int], tuple[float, float]]:
     """(words, class) -> (statements with both, statements with the words), by frequent-pattern growth
-    over all items; only rules for a class leave the executors."""
+    over all items; only rules for a class leave the executors. Words are numbers there, class c is -1 - c."""
     from pyspark.ml.fpm import FPGrowth
 
     if not baskets:
         return {}
+    words = sorted({w for told, _ in baskets for w in told})
+    number = {w: i for i, w in enumerate(words)}
     support = max(MIN_SUPPORT * n_statements, MIN_COUNT) / len(baskets)
-    data = spark.createDataFrame([(b,) for b in baskets], "items array<string>")
-    found = FPGrowth(itemsCol="items", minSupport=min(1.0, support), minConfidence=MIN_CONFIDENCE).fit(data).associationRules
-    of_class = F.col("consequent")[0].startswith("=") & ~F.exists("antecedent", lambda x: x.startswith("="))
-    rules = found.filter(of_class & (F.size("antecedent") <= RULE_WORDS)).select("antecedent", F.col("consequent")[0].alias("c"), "confidence", "support").collect()
+    rows = pd.DataFrame({"items": [[*sorted(number[w] for w in told), *([-1 - c] if c is not None else [])] for told, c in baskets]})
+    data = spark.createDataFrame(rows, "items array<int>")
+    growth = FPGrowth(itemsCol="items", minSupport=min(1.0, support), minConfidence=MIN_CONFIDENCE, numPartitions=GROWTH_PARTS)
+    consequent = F.col("consequent")[0]
+    of_class = (consequent < 0) & (F.array_min("antecedent") >= 0) & (F.size("antecedent") <= RULE_WORDS)
     out = {}
-    for words, c, confidence, share in rules:
+    for told, c, confidence, share in growth.fit(data).associationRules.filter(of_class).select("antecedent", consequent, "confidence", "support").collect():
         n = share * len(baskets)
-        out[frozenset(words), int(c[1:])] = (n, n / confidence)
+        out[frozenset(words[i] for i in told), -1 - c] = (n, n / confidence)
     return out
 
 
