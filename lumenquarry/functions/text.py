@@ -156,5 +156,16 @@ def percent(col: Column, digits: int = 1) -> Column:
     return F.when(col < 0, "N/A").otherwise(F.concat(F.format_number(col * 100, digits), F.lit("%")))
 
 
+def score(col: Column, digits: int = 3) -> Column:
+    """A score as it is, N/A for the negative sentinel."""
+    return F.when(col < 0, "N/A").otherwise(F.format_number(col, digits))
+
+
+def signed_score(col: Column, blank_zero: bool, digits: int = 3) -> Column:
+    """A difference of scores; with ``blank_zero`` N/A where there is none."""
+    none = col.isNull() | (F.lit(blank_zero) & (col == 0))
+    return F.when(none, "N/A").otherwise(F.concat(F.when(col >= 0, "+").otherwise(""), F.format_number(col, digits)))
+
+
 def signed(col: Column, digits: int = 1) -> Column:
     return F.when(col.isNull(), "N/A").otherwise(F.concat(F.when(col >= 0, "+").otherwise(""), F.format_number(col * 100, digits), F.lit("%")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -55,10 +55,22 @@ def duplicates(samples: DataFrame, most: int | None = None) -> DataFrame:
     return out if most is None else out.orderBy(F.col("n").desc(), "q", "a").limit(most)
 
 
-def first_of_each(samples: DataFrame, *keys: str, order: str = "sample_id") -> DataFrame:
-    """The first row, by ``order``, of each source, question and answer in training form."""
+#: The order in which collections and splits are loaded.
+SOURCES, SPLITS = ("vqa_rad", "slake", "pathvqa"), ("train", "val", "test")
+
+
+def load_order() -> list[Column]:
+    """Samples in the order they are loaded in: by collection, split and number; ids that end in no
+    number follow, in string order."""
+    place = lambda names, c: F.nullif(F.array_position(F.array(*map(F.lit, names)), c), F.lit(0)).asc_nulls_last()
+    number = F.regexp_extract("sample_id", r"_(\d+)$", 1).try_cast("long")
+    return [place(SOURCES, F.col("source")), place(SPLITS, F.regexp_extract("sample_id", r"_(train|val|test)_[^_]+$", 1)), number.asc_nulls_last(), F.col("sample_id")]
+
+
+def first_of_each(samples: DataFrame, *keys: str) -> DataFrame:
+    """The first row, in load order, of each source, question and answer in training form."""
     rows = keyed(samples)
-    first = Window.partitionBy(*(keys or ("source", "q", "a"))).orderBy(order)
+    first = Window.partitionBy(*(keys or ("source", "q", "a"))).orderBy(*load_order())
     return rows.withColumn("_rn", F.row_number().over(first)).filter("_rn = 1").drop("_rn", "q", "a", "split")
 
 
@@ -97,12 +109,27 @@ def index_summary(documents: DataFrame) -> DataFrame:
     return documents.rollup("source").agg(F.count("*").alias("n_documents"))
 
 
+#: Ranges in which the rows are counted.
+LAST_PARTS = 4096
+
+
 def last_share(rows: DataFrame, order: str, share: float) -> DataFrame:
-    """The last ``max(1, int(n * share))`` rows by ``order``. The bound is found among the
-    distinct values of ``order`` by a range-partitioned sort, not in one task."""
-    n = rows.count()
-    k = min(n, max(1, int(n * share)))
-    return rows.orderBy(F.col(order).desc()).limit(k) if n else rows
+    """The last ``max(1, int(n * share))`` rows by the whole number ``order``, then by sample_id; of rows
+    without a number none. The numbers are counted in LAST_PARTS ranges of equal width; all rows
+    of the upper ones are in, and only those of the range with the bound are ranked."""
+    n, low, high = rows.filter(F.col(order).isNotNull()).agg(F.count("*"), F.min(order), F.max(order)).first()
+    if not n:
+        return rows.filter(F.col(order).isNotNull())
+    width = (high - low) // LAST_PARTS + 1
+    part = F.floor((F.col(order) - low) / width).cast("long")
+    open_ = max(1, int(n * share))
+    for r in rows.groupBy(part.alias("part")).agg(F.count("*").alias("n")).filter("part IS NOT NULL").orderBy(F.col("part").desc()).collect():  # at most LAST_PARTS rows
+        if r.n >= open_:
+            break
+        open_ -= r.n
+    last = Window.partitionBy("_part").orderBy(F.col(order).desc(), F.col("sample_id").desc())
+    bound = rows.withColumn("_part", part).filter(F.col("_part") == r.part).withColumn("_rn", F.row_number().over(last)).filter(F.col("_rn") <= open_)
+    return rows.filter(part > r.part).unionByName(bound.drop("_part", "_rn"))
 
 
 def mixed_calibration(samples: DataFrame, share: float = 0.1) -> DataFrame:

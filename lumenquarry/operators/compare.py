@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from . import calibration, metrics
 
 
@@ -41,15 +42,33 @@ def mcnemar(pairs: DataFrame, *keys: str) -> DataFrame:
 
 
 def summary(results: DataFrame) -> DataFrame:
-    """One row a run with its headline metrics."""
-    kinds = metrics.by_type(results, "run_id")
-    accuracy = kinds.groupBy("run_id").agg(*[F.max(F.when(F.col("kind") == k, F.col("accuracy"))).alias(f"{k}_accuracy") for k in ("overall", "closed", "open")])
-    return (
-        accuracy.join(metrics.abstention(results, "run_id").drop("n"), "run_id")
-        .join(metrics.precision_recall_f1(results, "run_id").select("run_id", F.col("f1").alias("closed_f1")), "run_id")
-        .join(metrics.text_scores(results, "run_id").select("run_id", "token_f1", "bleu_1"), "run_id")
-        .join(calibration.ece(results, "run_id").select("run_id", "ece"), "run_id", "left")
-        .join(calibration.discrimination(results, "run_id").select("run_id", "auroc"), "run_id", "left")
+    """One row a run with its headline metrics: one pass over the results, and one that sums up the
+    distinct confidences."""
+    kind, p, g = F.col("answer_type"), T.normalize_eval(F.col("prediction")), T.normalize_eval(F.col("ground_truth"))
+    answered = F.col("decision") != "abstain"
+    share = lambda part, whole: F.round(metrics.ratio(part, whole), 6)
+    of = lambda k: F.when(F.count_if(kind == k) > 0, share(F.count_if((kind == k) & F.col("hit")), F.count_if(kind == k)))
+    count = lambda a, b: F.count_if((F.col("_p") == a) & (F.col("_g") == b))
+    tp, fp, fn = count("yes", "yes"), count("yes", "no"), count("no", "yes")
+    precision, recall = metrics.ratio(tp, tp + fp), metrics.ratio(tp, tp + fn)
+    facts = (
+        results.withColumns({"_p": p, "_g": g, "_f": metrics.token_f1(), "_u": metrics.bleu_1()})
+        .groupBy("run_id")
+        .agg(
+            share(F.count_if("hit"), F.count("*")).alias("overall_accuracy"),
+            of("closed").alias("closed_accuracy"),
+            of("open").alias("open_accuracy"),
+            share(F.count_if(F.col("decision") == "abstain"), F.count("*")).alias("abstention_rate"),
+            share(F.count_if(answered & F.col("hit")), F.count_if(answered)).alias("accuracy_when_answered"),
+            share(F.count_if(F.col("decision") == "re_query"), F.count("*")).alias("re_query_rate"),
+            share(F.count_if(F.coalesce("retry_count", F.lit(0)) > 0), F.count("*")).alias("retried_rate"),
+            share(2 * precision * recall, precision + recall).alias("closed_f1"),
+            F.round(F.avg("_f"), 6).alias("token_f1"),
+            F.round(F.avg("_u"), 6).alias("bleu_1"),
+        )
+    )
+    return facts.join(calibration.ece(results, "run_id").select("run_id", "ece"), "run_id", "left").join(
+        calibration.discrimination(results, "run_id").select("run_id", "auroc"), "run_id", "left"
     )
 
 
@@ -79,10 +98,21 @@ def errors(agent: DataFrame, kind: str, most: int) -> DataFrame:
     return agent.filter(rule).orderBy("result_id").limit(most).select(F.lit(kind).alias("kind"), "result_id", "sample_id", "prediction", "ground_truth")
 
 
-def ablation(summaries: DataFrame, configs: list[tuple[int, str]]) -> DataFrame:
-    """One row a configuration (number, run_id), runs that are missing with nulls."""
+def ablation(summaries: DataFrame, configs: list[tuple[int, str]], model_only: tuple[str, ...] = ()) -> DataFrame:
+    """One row a configuration (number, run_id), runs that are missing with nulls. Runs of the model
+    alone (``model_only``) answer everything: their accuracy when answered is the overall one,
+    and nothing is abstained."""
     frame = summaries.sparkSession.createDataFrame(configs, "num int, run_id string")
-    return frame.join(summaries.select("run_id", "overall_accuracy", "accuracy_when_answered", "abstention_rate", "ece", "auroc"), "run_id", "left")
+    alone = F.col("run_id").isin(*model_only) if model_only else F.lit(False)
+    rows = summaries.select(
+        "run_id",
+        "overall_accuracy",
+        F.when(alone, F.col("overall_accuracy")).otherwise(F.coalesce(F.nullif("accuracy_when_answered", F.lit(0.0)), "overall_accuracy")).alias("accuracy_when_answered"),
+        F.when(alone, 0.0).otherwise(F.col("abstention_rate")).alias("abstention_rate"),
+        "ece",
+        "auroc",
+    )
+    return frame.join(rows, "run_id", "left")
 
 
 def component_deltas(table: DataFrame, steps: list[tuple[str, int, int]]) -> DataFrame:

@@ -161,8 +161,8 @@ def qa_documents(samples: DataFrame) -> DataFrame:
 
 
 def one_sample(samples: DataFrame) -> DataFrame:
-    """The earliest delivery of each sample_id."""
-    first = Window.partitionBy("sample_id").orderBy("ingested_at")
+    """The earliest delivery of each sample_id; then by creation, question and answer."""
+    first = Window.partitionBy("sample_id").orderBy("ingested_at", "created_at", "question", "answer")
     return samples.filter("sample_id IS NOT NULL").withColumn("_rn", F.row_number().over(first)).filter("_rn = 1").drop("_rn")
 
 

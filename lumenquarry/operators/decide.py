@@ -53,6 +53,12 @@ def agreement(rows: DataFrame, policy: Policy = Policy()) -> DataFrame:
     return rows.withColumn("n_supporting", n).withColumn("agreement", F.coalesce(F.try_divide(n.cast("double"), F.size("evidence")), F.lit(0.0))).drop("_k")
 
 
+def compared_text() -> Column:
+    """What evidence is compared with: the question of closed or yes/no answers, else the answer."""
+    yes_no = (F.col("answer_type") == "closed") | F.lower(F.trim("visual_answer")).isin("yes", "no")
+    return F.trim(F.when(yes_no, F.col("question")).otherwise(F.col("visual_answer")))
+
+
 def vector_agreement(rows: DataFrame, evidence: DataFrame, policy: Policy = Policy()) -> DataFrame:
     """The same by similarity: ``evidence`` has query_id, score, similarity of each item; the
     share of the query's items that pass both gates."""
@@ -62,15 +68,15 @@ def vector_agreement(rows: DataFrame, evidence: DataFrame, policy: Policy = Poli
 
 
 def decided(rows: DataFrame, policy: Policy = Policy()) -> DataFrame:
-    """``decision``, ``grounded_confidence`` and the retry count after it. Bounds are inclusive;
-    only an answer keeps its confidence."""
+    """``decision``, ``grounded_confidence`` and the retry count after it. Bounds are inclusive,
+    and the high one holds first where it is below the low one; only an answer keeps its confidence."""
     pick = lambda own, rest: own if own > 0 else rest
     closed = F.col("answer_type") == "closed"
     high = F.when(closed, pick(policy.closed_high, policy.high)).otherwise(pick(policy.open_high, policy.high))
     low = F.when(closed, pick(policy.closed_low, policy.low)).otherwise(pick(policy.open_low, policy.low))
     c, a = F.coalesce("confidence", F.lit(0.0)), F.col("agreement")
     again = F.when(F.coalesce("retry_count", F.lit(0)) < policy.max_retries, "re_query").otherwise("abstain")
-    decision = F.when(T.text_or_empty(F.col("visual_error")) != "", "abstain").when(c < low, "abstain").when(a > 0, "answer").otherwise(again)
+    decision = F.when(T.text_or_empty(F.col("visual_error")) != "", "abstain").when((c < low) & (c < high), "abstain").when(a > 0, "answer").otherwise(again)
     kept = F.when(c >= high, c * (0.5 + 0.5 * a)).otherwise(c * (0.3 + 0.7 * a))
     return (
         rows.withColumn("decision", decision)

@@ -9,9 +9,9 @@ from ..functions import text as T
 
 
 def one_delivery(results: DataFrame) -> DataFrame:
-    """The earliest delivery of each result; confidence NaN becomes null, the answer type lower
+    """The earliest delivery of each result (then by creation, sample and prediction); confidence NaN becomes null, the answer type lower
     case with open for null and blank, texts never null."""
-    first = Window.partitionBy("result_id").orderBy("ingested_at")
+    first = Window.partitionBy("result_id").orderBy("ingested_at", "created_at", "sample_id", "prediction")
     kind = F.lower(F.trim(T.text_or_empty(F.col("answer_type"))))
     return (
         results.withColumn("_rn", F.row_number().over(first))
@@ -59,10 +59,11 @@ def remaining(samples: DataFrame, done: DataFrame) -> DataFrame:
 
 
 def demo_entries(wanted: DataFrame, results: DataFrame, fallback: DataFrame) -> DataFrame:
-    """One row for each wanted sample_id: its result, else the fallback's, else nulls; ``found``
-    tells where it comes from."""
+    """One row for each wanted sample_id: its last result of any run, else the fallback's, else nulls;
+    ``found`` tells where it comes from."""
     cols = ["prediction", "ground_truth", "confidence", "decision"]
-    side = lambda df, p: last_per_sample(df).dropDuplicates(["sample_id"]).select("sample_id", *[F.col(c).alias(f"{p}{c}") for c in cols], F.lit(True).alias(f"{p}has"))
+    last = lambda df: df.groupBy("sample_id").agg(F.max_by(F.struct(*cols), F.struct("result_id", "run_id")).alias("_r")).select("sample_id", "_r.*")
+    side = lambda df, p: last(df).select("sample_id", *[F.col(c).alias(f"{p}{c}") for c in cols], F.lit(True).alias(f"{p}has"))
     joined = wanted.select("sample_id").distinct().join(side(results, "r_"), "sample_id", "left").join(side(fallback, "f_"), "sample_id", "left")
     found = F.when(F.col("r_has"), "result").when(F.col("f_has"), "fallback").otherwise("none")
     return joined.select("sample_id", *[F.when(F.col("r_has"), F.col(f"r_{c}")).otherwise(F.col(f"f_{c}")).alias(c) for c in cols], found.alias("found"))

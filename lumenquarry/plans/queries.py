@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import folders
 from ..functions import arrays as A
 from ..functions import text as T
 from ..operators import audit, calibration, compare, corpus, decide, metrics, results, retrieval
+from ..sources import readers, sinks
 from ..streaming import ingest
+from . import report
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -253,7 +256,8 @@ def mcnemar_counts(spark, d):
 
 @query
 def mcnemar_test(spark, d):
-    return compare.mcnemar(pairs(spark, d), "run_id")
+    rows = compare.mcnemar(pairs(spark, d), "run_id")
+    return rows.withColumns({"statistic": F.round("statistic", 6), "p_value": F.round("p_value", 6)})
 
 
 @query
@@ -286,12 +290,12 @@ STEPS = [("grounding", 2, 1), ("second agent", 3, 2), ("full system", 3, 1), ("m
 
 @query
 def ablation_table(spark, d):
-    return compare.ablation(compare.summary(per_sample(spark, d)), CONFIGS)
+    return compare.ablation(compare.summary(per_sample(spark, d)), CONFIGS, (BASELINE,))
 
 
 @query
 def component_deltas(spark, d):
-    return compare.component_deltas(compare.ablation(compare.summary(per_sample(spark, d)), CONFIGS), STEPS)
+    return compare.component_deltas(compare.ablation(compare.summary(per_sample(spark, d)), CONFIGS, (BASELINE,)), STEPS)
 
 
 @query
@@ -317,6 +321,12 @@ def report_flags(spark, d):
     return compare.flags(compare.summary(r), metrics.citation_relevance(r, "run_id"), BASELINE)
 
 
+@query
+def evaluation_report(spark, d):
+    found = report.sections(per_sample(spark, d), "agent_a", BASELINE, "Evaluation report")
+    return spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(found)], "place int, section string, text string")
+
+
 @query
 def running_progress(spark, d):
     return compare.progress(per_sample(spark, d), 25)
@@ -363,7 +373,7 @@ def _ontology(spark, d):
     pick = lambda r: F.max(F.when(F.col("relation") == r, F.col("tail")))
     return t.groupBy(F.col("head").alias("label")).agg(
         pick("definition").alias("full_def"), pick("description").alias("short_def"), F.replace(pick("alias"), F.lit(", "), F.lit("|")).alias("synonyms"),
-        F.when(F.min("pos") % 7 == 0, "1").otherwise("0").alias("obsolete"), F.lit(None).cast("string").alias("rid"),
+        F.lit(None).cast("string").alias("obsolete"), F.lit(None).cast("string").alias("rid"),
     )
 
 
@@ -499,6 +509,18 @@ def retrieval_diagnostic(spark, d):
     return retrieval.diagnostic(hits, _questions(spark, d), _texts(spark, d))
 
 
+@query
+def retrieval_relevance(spark, d):
+    q, docs = _questions(spark, d), _texts(spark, d)
+    return retrieval.relevance(retrieval.bm25_topk(q, docs, 5), q, docs)
+
+
+@query
+def retrieval_verdict(spark, d):
+    q, docs = _questions(spark, d), _texts(spark, d)
+    return retrieval.verdict(retrieval.bm25_topk(q, docs, 5), q, docs)
+
+
 @query
 def index_comparison(spark, d):
     q, docs = _questions(spark, d), _texts(spark, d)
@@ -512,6 +534,50 @@ def vocabulary_size(spark, d):
     return retrieval.term_weights(_texts(spark, d)).agg(F.count("*").alias("n_terms"), F.round(F.min("idf"), 6).alias("least_idf"))
 
 
+# what is written and read again
+
+
+@query
+def postings_round_trip(spark, d):
+    """BM25 over an index that was saved and read back."""
+    folder = folders.fresh(spark, "postings")
+    sinks.save_postings(_texts(spark, d), folder)
+    return retrieval.bm25_topk(_questions(spark, d), readers.postings(spark, folder))
+
+
+@query
+def index_round_trip(spark, d):
+    folder = folders.fresh(spark, "index")
+    sinks.save_index(read(spark, d, "documents"), folder, "none", 0)
+    docs, meta = readers.index(spark, folder)
+    return audit.index_summary(docs).join(meta.select(F.col("doc_count").cast("long").alias("doc_count"), "version"), how="cross")  # one row of meta
+
+
+@query
+def results_round_trip(spark, d):
+    folder = folders.fresh(spark, "results")
+    sinks.save_results(per_sample(spark, d).select("result_id", "run_id", "sample_id", "prediction", "hit"), folder)
+    back = spark.read.schema("result_id long, sample_id string, prediction string, hit boolean, run_id string").json(folder)
+    return metrics.exact_match(back, "run_id")
+
+
+@query
+def resumed_stream(spark, d):
+    """A run's results streamed into its checkpoint folder, twice: the second time nothing is new."""
+    folder, mark, source = (folders.fresh(spark, n) for n in ("stream", "mark", "source"))
+    read(spark, d, "per_sample_results").select("result_id", "run_id", "correct").write.parquet(source)
+    for _ in range(2):
+        ingest.resume_into(spark.readStream.schema("result_id long, run_id string, correct boolean").parquet(source), folder, mark).awaitTermination()
+    return spark.read.parquet(folder).groupBy("run_id").agg(F.count("*").alias("n"), F.count_if("correct").alias("n_correct"))
+
+
+@query
+def scanned_types(spark, d):
+    """Samples scanned from a Parquet dataset, by the type of their answer."""
+    rows = readers.parquet_samples(spark, f"{d}/vqa_samples.parquet", "vqa_rad", "test")
+    return rows.groupBy("answer_type").agg(F.count("*").alias("n"), F.countDistinct("sample_id").alias("n_ids"))
+
+
 # decisions
 
 
@@ -534,6 +600,32 @@ def keyword_agreement(spark, d):
     return decide.agreement(_queries(spark, d)).select("result_id", "n_supporting", F.round("agreement", 6).alias("agreement"))
 
 
+@query
+def agreement_texts(spark, d):
+    return _queries(spark, d).select("result_id", decide.compared_text().alias("text"))
+
+
+@query
+def embedding_agreement(spark, d):
+    """Support of each query vector among its five nearest, by inner product."""
+    hits = retrieval.dense_topk(*_vectors(spark, d), k=5)
+    q = _vectors(spark, d)[0].select("query_id")
+    out = decide.vector_agreement(q, hits.withColumn("similarity", F.col("score")), decide.Policy(similarity=0.6))
+    return out.select("query_id", "n_supporting", F.round("agreement", 6).alias("agreement"))
+
+
+@query
+def retrieved_decisions(spark, d):
+    """Decisions on evidence that retrieval finds for question and answer, not on stored citations."""
+    rows = _queries(spark, d).filter("result_id % 50 = 0").withColumn("query_id", F.col("result_id"))
+    query = T.retrieval_query(F.col("question"), F.col("visual_answer"), F.col("visual_error"), F.col("retry_count"))
+    docs = read(spark, d, "documents")
+    bm25 = retrieval.bm25_topk(rows.select("query_id", query.alias("text")), docs.select("doc_id", "text"))
+    found = retrieval.with_documents(retrieval.fused(bm25, bm25.limit(0)), docs)
+    fed = rows.drop("evidence").join(found, "query_id", "left")
+    return decide.decided(decide.agreement(fed)).select("result_id", F.size("evidence").alias("n_evidence"), "n_supporting", "decision", F.round("grounded_confidence", 6).alias("grounded_confidence"))
+
+
 @query
 def supervisor_decisions(spark, d):
     return decide.decided(decide.agreement(_queries(spark, d))).select("result_id", "decision", F.round("grounded_confidence", 6).alias("grounded_confidence"), "retry_count")

@@ -71,7 +71,7 @@ def ratio(a: str, b: str) -> str:
 
 
 PS = f"""
-ps0 AS (SELECT *, row_number() OVER (PARTITION BY result_id ORDER BY ingested_at) AS rn FROM per_sample_results),
+ps0 AS (SELECT *, row_number() OVER (PARTITION BY result_id ORDER BY ingested_at, created_at, sample_id, prediction) AS rn FROM per_sample_results),
 ps AS (
   SELECT result_id, run_id, sample_id, question, coalesce(ground_truth, '') AS ground_truth, coalesce(prediction, '') AS prediction,
          CASE WHEN trim(coalesce(answer_type, '')) = '' THEN 'open' ELSE lower(trim(answer_type)) END AS answer_type,
@@ -88,12 +88,14 @@ base AS (SELECT sample_id, hit AS b_hit FROM last WHERE run_id = '{BASELINE}'),
 pairs AS (SELECT last.*, b_hit FROM last JOIN base USING (sample_id) WHERE run_id <> '{BASELINE}')"""
 
 VS = """
-vs0 AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY ingested_at) AS rn FROM vqa_samples WHERE sample_id IS NOT NULL),
+vs0 AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY ingested_at, created_at, question, answer) AS rn FROM vqa_samples WHERE sample_id IS NOT NULL),
 vs AS (SELECT * FROM vs0 WHERE rn = 1)"""
 
 KEYED = f"""{VS},
 keyed AS (SELECT *, {train_form('question')} AS q, {train_form('answer')} AS a, regexp_extract(sample_id, '_(train|val|test)_[^_]+$', 1) AS split FROM vs)"""
 
+_LOADED = r"CASE source WHEN 'vqa_rad' THEN 1 WHEN 'slake' THEN 2 WHEN 'pathvqa' THEN 3 END NULLS LAST, CASE split WHEN 'train' THEN 1 WHEN 'val' THEN 2 WHEN 'test' THEN 3 END NULLS LAST, TRY_CAST(regexp_extract(sample_id, '_(\d+)$', 1) AS BIGINT) NULLS LAST, sample_id"
+
 _BINS = "bins AS (SELECT CAST(i AS INT) AS bin, i / 10.0::DOUBLE AS lo, (i + 1) / 10.0::DOUBLE AS hi FROM range(10) t(i))"
 _INSIDE = "confidence >= lo AND (confidence < hi OR (bin = 9 AND confidence <= hi))"
 _GRID = ", ".join(f"({h}::DOUBLE, {w}::DOUBLE)" for h in HIGH_GRID for w in LOW_GRID if w < h)
@@ -178,6 +180,8 @@ summary AS (
 
 _METRICS = ("overall_accuracy", "closed_accuracy", "open_accuracy", "accuracy_when_answered", "abstention_rate", "closed_f1", "token_f1", "bleu_1", "ece", "auroc")
 _ABLATION = ("overall_accuracy", "accuracy_when_answered", "abstention_rate", "ece", "auroc")
+_ABLATED = f"""overall_accuracy, CASE WHEN run_id = '{BASELINE}' THEN overall_accuracy ELSE coalesce(nullif(accuracy_when_answered, 0), overall_accuracy) END AS accuracy_when_answered,
+  CASE WHEN run_id = '{BASELINE}' THEN CASE WHEN overall_accuracy IS NOT NULL THEN 0.0 END ELSE abstention_rate END AS abstention_rate, ece, auroc"""
 _CONFIGS = ", ".join(f"({n}, '{r}')" for n, r in CONFIGS)
 _STEPS = ", ".join(f"('{c}', {a}, {b})" for c, a, b in STEPS)
 
@@ -217,7 +221,7 @@ _RELATION_DOCS = f"SELECT {_document("'kg_organ_rel'", "'belong_to'", "concat(he
 _ONTOLOGY = f"""{_TRIPLES},
 o AS (
   SELECT head AS label, max(CASE WHEN relation = 'definition' THEN tail END) AS full_def, max(CASE WHEN relation = 'description' THEN tail END) AS short_def,
-         replace(max(CASE WHEN relation = 'alias' THEN tail END), ', ', '|') AS synonyms, CASE WHEN min(pos) % 7 = 0 THEN '1' ELSE '0' END AS obsolete
+         replace(max(CASE WHEN relation = 'alias' THEN tail END), ', ', '|') AS synonyms, CAST(NULL AS VARCHAR) AS obsolete
   FROM t GROUP BY head)"""
 
 _QA = f"""{VS},
@@ -234,7 +238,10 @@ s AS (SELECT query_id, vec_id AS doc_id, label, wanted, round(list_inner_product
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s)"""
 
 
-def _bm25(k: int, where: str = "true", name: str = "bm") -> str:
+_ASKED = "SELECT item_id AS query_id, question AS text FROM eval_items WHERE item_id % 50 = 0"
+
+
+def _bm25(k: int, where: str = "true", name: str = "bm", asked: str = _ASKED) -> str:
     toks = lambda x: words(f"lower({x})")
     return f"""
 {name}_docs AS (SELECT doc_id, source, text, {toks('text')} AS w FROM documents WHERE {where}),
@@ -242,7 +249,7 @@ def _bm25(k: int, where: str = "true", name: str = "bm") -> str:
 {name}_tf AS (SELECT doc_id, len(w) AS dl, term, count(*) AS tf FROM (SELECT doc_id, w, unnest(w) AS term FROM {name}_docs) GROUP BY doc_id, dl, term),
 {name}_raw AS (SELECT term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM {name}_tf, {name}_n GROUP BY term, n),
 {name}_idf AS (SELECT term, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM {name}_raw) ELSE raw END AS idf FROM {name}_raw),
-{name}_q AS (SELECT item_id AS query_id, term, count(*) AS times FROM (SELECT item_id, unnest({toks('question')}) AS term FROM eval_items WHERE item_id % 50 = 0) GROUP BY 1, 2),
+{name}_q AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest({toks('text')}) AS term FROM ({asked})) GROUP BY 1, 2),
 {name}_s AS (
   SELECT query_id, doc_id, round(sum(times * idf * CAST(tf AS DOUBLE) * 2.5 / (CAST(tf AS DOUBLE) + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
   FROM {name}_q JOIN {name}_idf USING (term) JOIN {name}_tf USING (term), {name}_n GROUP BY query_id, doc_id),
@@ -307,7 +314,43 @@ _ISO = "CASE WHEN confidence <= {x0} THEN {y0} {mid} ELSE {yn} END".format(
     ),
 )
 
+_RETRIEVED = f"""{_QUERIES},
+ask AS (SELECT result_id AS query_id, CASE WHEN coalesce(visual_answer, '') = '' THEN question ELSE concat_ws(' ', question, visual_answer) END AS text FROM in0 WHERE result_id % 50 = 0),
+{_bm25(20, asked='SELECT * FROM ask')},
+fu AS (SELECT query_id, doc_id, rank, round(1.0 / (60 + rank), 9) AS raw FROM bm WHERE rank <= 5),
+ev AS (
+  SELECT query_id, list(struct_pack(text := d.text, entity_name := d.entity_name, score := sc)) AS e
+  FROM (SELECT *, round(raw / max(raw) OVER (PARTITION BY query_id), 6) AS sc FROM fu) JOIN documents d USING (doc_id) GROUP BY query_id),
+in2 AS (SELECT in1.* EXCLUDE (evidence), coalesce(e, []) AS evidence FROM in1 LEFT JOIN ev ON query_id = result_id WHERE result_id % 50 = 0),
+ag3 AS ({_agreement('c.score')} FROM in2)"""
+
+_C = "(factorial(CAST(b + c AS INT)) / (factorial(CAST({k} AS INT)) * factorial(CAST(b + c - {k} AS INT))))"
+_BINOMIAL = f"least(1.0, list_sum(list_filter(list_transform(range(0, b + c + 1), lambda k: {_C.format(k='k')}), lambda x: x <= {_C.format(k='b')})) / pow(2, b + c))"
+# erfc by Simpson's rule over 2,000 steps
+_TAIL = "greatest(0.0, 1 - 2 / sqrt(pi()) * z / 6000 * list_sum(list_transform(range(0, 2001), lambda i: (CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-pow(z * i / 2000, 2)))))"
+
 SQL: dict[str, str] = {
+    "mcnemar_test": f"""WITH {PAIRS}, n AS (SELECT run_id, count(*) FILTER (WHERE hit AND NOT b_hit) AS b, count(*) FILTER (WHERE NOT hit AND b_hit) AS c FROM pairs GROUP BY run_id),
+        s AS (SELECT *, CASE WHEN b + c >= 25 THEN pow(abs(b - c) - 1, 2) / (b + c) ELSE 0.0 END AS st FROM n), y AS (SELECT *, sqrt(st / 2) AS z FROM s),
+        w AS (SELECT *, CASE WHEN b + c < 5 THEN 1.0 WHEN b + c < 25 THEN {_BINOMIAL} ELSE {_TAIL} END AS p FROM y)
+        SELECT run_id, b, c, round(st, 6) AS statistic, round(p, 6) AS p_value, p < 0.05 AS significant FROM w""",
+    "retrieval_relevance": f"""WITH {_bm25(5)}, o AS (SELECT query_id, rank, doc_id, score, source, left(bm_docs.text, 100) AS preview,
+          CAST(len(list_intersect({citation_tokens('question')}, {citation_tokens('text')})) AS INT) AS token_overlap FROM bm JOIN bm_docs USING (doc_id) JOIN eval_items ON item_id = query_id)
+        SELECT *, token_overlap >= 1 AS relevant FROM o""",
+    "retrieval_verdict": f"""WITH {_bm25(5)}, h AS (SELECT DISTINCT query_id FROM bm JOIN bm_docs USING (doc_id) JOIN eval_items ON item_id = query_id
+          WHERE len(list_intersect({citation_tokens('question')}, {citation_tokens('text')})) > 0),
+        c AS (SELECT (SELECT count(DISTINCT item_id) FROM eval_items WHERE item_id % 50 = 0) AS n_questions, (SELECT count(*) FROM h) AS n_hits)
+        SELECT *, round({ratio('n_hits', 'n_questions')}, 6) AS hit_rate,
+          CASE WHEN {ratio('n_hits', 'n_questions')} >= 0.40 THEN 'PASS' WHEN {ratio('n_hits', 'n_questions')} >= 0.25 THEN 'PARTIAL' ELSE 'FAIL' END AS verdict FROM c""",
+    "postings_round_trip": f"WITH {_bm25(20)} SELECT query_id, doc_id, score, CAST(rank AS INT) AS rank FROM bm",
+    "index_round_trip": """SELECT source, count(*) AS n_documents, (SELECT count(*) FROM documents) AS doc_count, '1.0.0' AS version FROM documents GROUP BY ROLLUP (source)""",
+    "results_round_trip": f"WITH {PS} SELECT run_id, count(*) AS n, count(*) FILTER (WHERE hit) AS n_correct, round({ratio('count(*) FILTER (WHERE hit)', 'count(*)')}, 6) AS accuracy FROM ps GROUP BY run_id",
+    "resumed_stream": "SELECT run_id, count(*) AS n, count(*) FILTER (WHERE correct) AS n_correct FROM per_sample_results GROUP BY run_id",
+    "scanned_types": f"""SELECT CASE WHEN {train_form('answer')} IN ('yes', 'no') THEN 'closed' ELSE 'open' END AS answer_type, count(*) AS n, count(*) AS n_ids FROM vqa_samples GROUP BY 1""",
+    "agreement_texts": f"""WITH {_QUERIES} SELECT result_id, trim(CASE WHEN answer_type = 'closed' OR lower(trim(visual_answer)) IN ('yes', 'no') THEN question ELSE visual_answer END) AS text FROM in0""",
+    "embedding_agreement": f"""WITH {_DENSE.format(more='')} SELECT query_id, count(*) FILTER (WHERE score >= 0.6) AS n_supporting, round({ratio('count(*) FILTER (WHERE score >= 0.6)', 'count(*)')}, 6) AS agreement
+        FROM r WHERE rank <= 5 GROUP BY query_id""",
+    "retrieved_decisions": f"""WITH {_RETRIEVED} SELECT result_id, CAST(len(evidence) AS INT) AS n_evidence, CAST(n_supporting AS INT) AS n_supporting, decision, round(grounded, 6) AS grounded_confidence FROM (SELECT {_decide(1)} FROM ag3)""",
     "normalize_variants": f"""WITH {VS} SELECT sample_id, {eval_form('answer')} AS eval_form, {bench_form('answer')} AS bench_form, {train_form('answer')} AS train_form,
         CASE WHEN {train_form('answer')} IN ('yes', 'no') THEN 'closed' ELSE 'open' END AS type_by_answer, {by_question('question')} AS type_by_question FROM vs""",
     "document_slugs": f"""SELECT doc_id, {slug_keep('entity_name')} AS slug_keep, {slug_ascii('entity_name')} AS slug_ascii,
@@ -392,8 +435,8 @@ SQL: dict[str, str] = {
         k AS (SELECT 'wrong' AS kind, 10 AS most, * FROM e WHERE NOT hit AND decision <> 'abstain' UNION ALL SELECT 'over_abstain', 5, * FROM e WHERE decision = 'abstain' AND bh
               UNION ALL SELECT 'improved', 5, * FROM e WHERE hit AND NOT bh UNION ALL SELECT 'improved_answered', 5, * FROM e WHERE hit AND NOT bh AND decision = 'answer')
         SELECT kind, result_id, sample_id, prediction, ground_truth FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY result_id) AS i FROM k) WHERE i <= most""",
-    "ablation_table": f"""WITH {_SUMMARY}, cfg AS (SELECT * FROM (VALUES {_CONFIGS}) v(num, run_id)) SELECT num, run_id, {', '.join(_ABLATION)} FROM cfg LEFT JOIN summary USING (run_id)""",
-    "component_deltas": f"""WITH {_SUMMARY}, cfg AS (SELECT * FROM (VALUES {_CONFIGS}) v(num, run_id)), tab AS (SELECT num, {', '.join(_ABLATION)} FROM cfg LEFT JOIN summary USING (run_id)),
+    "ablation_table": f"""WITH {_SUMMARY}, cfg AS (SELECT * FROM (VALUES {_CONFIGS}) v(num, run_id)) SELECT num, run_id, {_ABLATED} FROM cfg LEFT JOIN summary USING (run_id)""",
+    "component_deltas": f"""WITH {_SUMMARY}, cfg AS (SELECT * FROM (VALUES {_CONFIGS}) v(num, run_id)), tab AS (SELECT num, {_ABLATED} FROM cfg LEFT JOIN summary USING (run_id)),
         st AS (SELECT * FROM (VALUES {_STEPS}) v(component, to_num, from_num))
         SELECT component, to_num, from_num, {', '.join(f'round(a.{m} - b.{m}, 6) AS {m}_delta' for m in _ABLATION)}
         FROM st LEFT JOIN tab a ON a.num = to_num LEFT JOIN tab b ON b.num = from_num""",
@@ -420,7 +463,7 @@ SQL: dict[str, str] = {
     "kg_relation_docs": f"WITH {_TRIPLES} {_RELATION_DOCS}",
     "kg_index_summary": f"WITH {_TRIPLES}, k AS ({_ATTRIBUTE_DOCS} UNION ALL {_SUMMARY_DOCS} UNION ALL {_RELATION_DOCS}) SELECT source, count(*) AS n_documents FROM k GROUP BY ROLLUP (source)",
     "ontology_docs": f"""WITH {_ONTOLOGY}, d AS (SELECT *, CASE WHEN coalesce(synonyms, '') <> '' THEN ' Also known as: ' || replace(synonyms, '|', ', ') ELSE '' END AS known
-          FROM o WHERE obsolete <> '1' AND coalesce(full_def, short_def) IS NOT NULL)
+          FROM o WHERE coalesce(obsolete, '') <> '1' AND coalesce(full_def, short_def) IS NOT NULL)
         SELECT concat('radlex_', {slug_ascii('label')}) AS doc_key, trim(regexp_replace(label || ': ' || coalesce(full_def, short_def) || known, '[^\\x00-\\x7F]', '', 'g')) AS text,
           'radlex' AS source, label AS entity_name, 'definition' AS attribute FROM d""",
     "ontology_skips": f"""WITH {_ONTOLOGY} SELECT CASE WHEN label = '' THEN 'no_label' WHEN obsolete = '1' THEN 'obsolete' WHEN coalesce(full_def, '') = '' AND coalesce(short_def, '') = '' THEN 'no_definition' ELSE 'kept' END AS reason,
@@ -437,8 +480,8 @@ SQL: dict[str, str] = {
     "answer_histogram": f"WITH {KEYED} SELECT a AS value, count(*) AS n FROM keyed GROUP BY a ORDER BY n DESC, a LIMIT 5",
     "modality_histogram": f"WITH {VS} SELECT modality AS value, count(*) AS n FROM vs GROUP BY modality",
     "duplicate_keys": f"WITH {KEYED} SELECT q, a, count(*) AS n FROM keyed GROUP BY q, a HAVING count(*) > 1",
-    "dedup_first_wins": f"WITH {KEYED} SELECT min(sample_id) AS sample_id FROM keyed GROUP BY source, q, a",
-    "dedup_by_image": f"WITH {KEYED} SELECT min(sample_id) AS sample_id FROM keyed GROUP BY img_name, q, a",
+    "dedup_first_wins": f"WITH {KEYED} SELECT sample_id FROM (SELECT sample_id, row_number() OVER (PARTITION BY source, q, a ORDER BY {_LOADED}) AS k FROM keyed) WHERE k = 1",
+    "dedup_by_image": f"WITH {KEYED} SELECT sample_id FROM (SELECT sample_id, row_number() OVER (PARTITION BY img_name, q, a ORDER BY {_LOADED}) AS k FROM keyed) WHERE k = 1",
     "split_overlap": f"""WITH {KEYED}, tr AS (SELECT * FROM keyed WHERE split = 'train'), he AS (SELECT * FROM keyed WHERE split IN ('val', 'test'))
         SELECT 'question' AS kind, count(*) AS n FROM (SELECT q FROM tr INTERSECT SELECT q FROM he)
         UNION ALL SELECT 'question_answer', count(*) FROM (SELECT q, a FROM tr INTERSECT SELECT q, a FROM he)

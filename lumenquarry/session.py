@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -18,7 +20,9 @@ def ship_package(spark: SparkSession) -> None:
     if context.applicationId in _sent:
         return
     package = Path(__file__).resolve().parent
-    archive = Path(tempfile.mkdtemp(prefix="lumenquarry-")) / "lumenquarry.zip"
+    folder = tempfile.mkdtemp(prefix="lumenquarry-")  # of the driver alone; Spark sends the file
+    atexit.register(shutil.rmtree, folder, True)
+    archive = Path(folder) / "lumenquarry.zip"
     with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
         for file in sorted(package.rglob("*.py")):
             z.write(file, file.relative_to(package.parent))

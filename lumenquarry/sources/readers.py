@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import text as T
+from ..operators import retrieval
 
 SLAKE_FILES = {"train": "train.json", "val": "validate.json", "validation": "validate.json", "test": "test.json"}
 KG_FILES = {"en_disease.csv": "disease", "en_organ.csv": "organ", "en_organ_rel.csv": "organ_rel"}
 #: What the columns of a triple file may be called.
 KG_NAMES = {"head": ("head", "subject", "entity1", "h"), "relation": ("relation", "rel", "predicate", "r"), "tail": ("tail", "object", "entity2", "t")}
+#: Places of the ontology's columns.
+ONTOLOGY = {"rid": 46, "label": 1, "full_def": 28, "short_def": 3, "synonyms": 2, "obsolete": 4}
 #: Spellings of modalities.
-MODALITIES = {"x-ray": "xray", "xray": "xray", "ct": "ct", "mri": "mri"}
+MODALITIES = {"X-Ray": "xray", "CT": "ct", "MRI": "mri"}
 
 
 def parquet_samples(spark: SparkSession, path: str, source: str, split: str, max_samples: int | None = None) -> DataFrame:
@@ -64,37 +67,38 @@ def slake(spark: SparkSession, folder: str, split: str, images: DataFrame | None
 def _modality(col):
     out = F.lit("unknown")
     for spelled, name in MODALITIES.items():
-        out = F.when(F.lower(col) == spelled, name).otherwise(out)
+        out = F.when(col == spelled, name).otherwise(out)
     return out
 
 
 def kg_triples(spark: SparkSession, folder: str) -> DataFrame:
-    """Triples of the three files with ``#`` between fields; columns by their heading, else by
-    position; incomplete rows, missing files and resource forks (``._*``) are left out."""
+    """Triples of the three files with ``#`` between fields, which may be quoted; columns by their heading,
+    else by position; incomplete rows, missing files and resource forks (``._*``) are left out."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     out = spark.createDataFrame([], schemas.TRIPLE)
     for name, category in KG_FILES.items():
         path = hadoop(f"{folder}/{name}")
         if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
             continue
-        lines = spark.read.text(f"{folder}/{name}")
-        head = lines.first()
-        if head is None:
+        rows = spark.read.csv(f"{folder}/{name}", sep="#", header=True, quote='"', escape='"', multiLine=True)
+        titles = [t.strip().lower() for t in rows.columns]
+        if len(titles) < 3:
             continue
-        titles = [t.strip().lower() for t in head[0].split("#")]
         at = {k: next((titles.index(n) for n in names if n in titles), i) for i, (k, names) in enumerate(KG_NAMES.items())}
-        cells = F.split("value", "#")
-        rows = lines.filter((F.col("value") != head[0]) & (F.size(cells) >= 3))
-        part = rows.select(*[F.trim(F.get(cells, F.lit(i))).alias(k) for k, i in at.items()], F.lit(category).alias("category"))
+        cells = rows.toDF(*[f"c{i}" for i in range(len(titles))])
+        part = cells.select(*[F.trim(f"c{i}").alias(k) for k, i in at.items()], F.lit(category).alias("category"))
         out = out.unionByName(part.filter("head <> '' AND relation <> '' AND tail <> ''"))
     return out
 
 
 def ontology(spark: SparkSession, path: str) -> DataFrame:
     """rid, label, full_def, short_def, synonyms, obsolete of an ontology table exported as CSV
-    (cells may hold line breaks)."""
+    (cells may hold line breaks): by heading where these are the headings, else by position."""
     rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    return rows.select("rid", "label", "full_def", "short_def", "synonyms", "obsolete")
+    if set(ONTOLOGY) <= set(rows.columns):
+        return rows.select(*ONTOLOGY)
+    cells = rows.toDF(*[f"c{i}" for i in range(len(rows.columns))])
+    return cells.select(*[(F.col(f"c{i}") if i < len(rows.columns) else F.lit(None).cast("string")).alias(k) for k, i in ONTOLOGY.items()])
 
 
 def index(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -104,6 +108,12 @@ def index(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{folder}/documents"), meta.withColumn("version", version)
 
 
+def postings(spark: SparkSession, folder: str) -> retrieval.Bm25Index:
+    """The saved index of documents' tokens, for any number of queries."""
+    tokens = spark.read.parquet(f"{folder}/tokens")
+    return retrieval.Bm25Index(tokens, spark.read.parquet(f"{folder}/terms"), tokens.agg(F.avg(F.size("w"))).first()[0] or 0.0)
+
+
 def result_files(spark: SparkSession, pattern: str) -> DataFrame:
     """Per-sample rows of all result files of a folder, with their file."""
     rows = spark.read.schema(schemas.RESULT_FILE).json(pattern, multiLine=True).select(F.input_file_name().alias("file"), "run_name", F.explode("per_sample").alias("r"))

@@ -24,10 +24,11 @@ def save_index(documents: DataFrame, folder: str, model: str, dimension: int, ve
 
 
 def save_postings(documents: DataFrame, folder: str) -> int:
-    """Postings by term and the term weights; the size of the vocabulary."""
+    """Postings by term, the documents' tokens and the term weights; the size of the vocabulary."""
     retrieval.postings(documents).write.mode("overwrite").parquet(f"{folder}/postings")
-    weights = retrieval.term_weights(documents)
-    weights.write.mode("overwrite").parquet(f"{folder}/terms")
+    index = retrieval.bm25_index(documents)
+    index.tokens.write.mode("overwrite").parquet(f"{folder}/tokens")
+    index.weights.write.mode("overwrite").parquet(f"{folder}/terms")
     return documents.sparkSession.read.parquet(f"{folder}/terms").count()
 
 
