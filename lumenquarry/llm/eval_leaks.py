@@ -5,10 +5,10 @@ that all occur in the evaluation texts: no other place can hold RUN of their wor
 Terms are weighted by their inverse document frequency over all documents, and a randomised
 SVD of the passages' TF-IDF rows (range finder and power steps as distributed sums of
 term x RANK blocks) gives the latent space. Every window of RUN words of a passage is compared by cosine with
-every window of WINDOW words of the evaluation texts. The cosine below which a window can't
-hold a given run is no guess: it is the smallest that any of the evaluation window's own runs
-has with it, so the candidate search loses no leak. Candidates are then compared word by word
-for their longest common run.
+the windows of WINDOW words of the evaluation texts that hold its rarest word. The cosine below
+which a window can't hold a given run is no guess: it is the smallest that any of the evaluation
+window's own runs has with it, so the candidate search loses no leak. Candidates are then
+compared word by word for their longest common run.
 
 A paraphrase brings in foreign words, so it is sought in the whole text: a span of WINDOW words
 that has PARAPHRASE_SHARE of a window's words in their order. Foreign words count in the span's
@@ -16,8 +16,9 @@ length and in its norm. No cosine bounds such a span, as its other words may be
 the number of rare words it must share, so candidates come from those and lose nothing. The
 cosine is reported and cuts nothing.
 
-The evaluation set is taken in blocks of BLOCK_ITEMS items, so what the tasks receive is
-bounded whatever its size.
+The texts of the corpus are read once, by the words of all items, and written as word numbers. The
+windows of the evaluation set go over these in blocks of BLOCK_ITEMS items, so what the tasks
+receive is bounded but for the vocabulary.
 """
 
 from __future__ import annotations
@@ -43,8 +44,8 @@ ITEM_STEP, KEYS = 1, 10
 class Items:
     """The texts of one block of items as word numbers, and their windows."""
 
-    def __init__(self, rows: pd.DataFrame, documents: int = 0):
-        self.vocabulary: dict[str, int] = {}
+    def __init__(self, rows: pd.DataFrame, vocabulary: dict[str, int], more: dict[str, int]):
+        """``vocabulary`` numbers the words of windows, ``more`` those of answers; they grow over all blocks."""
         self.ids, self.texts, self.answers = [], [], []
         for item, passage, question, answer in rows[["item_id", "passage", "question", "answer"]].itertuples(index=False):
             for text in (passage, question):
@@ -53,14 +54,11 @@ class Items:
                     part = words[start : start + ITEM_WORDS + RUN - 1]
                     if len(part) >= RUN:
                         self.ids.append(item)
-                        self.texts.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in part], np.int32))
+                        self.texts.append(np.array([vocabulary.setdefault(w, len(vocabulary)) for w in part], np.int32))
                         self.answers.append(" ".join(WORD.findall(answer.lower())) if isinstance(answer, str) else "")
-        #: Words that stand in answers alone: no part of a window, but an answer is sought by them.
-        self.more: dict[str, int] = {}
         for w in (w for answer in self.answers for w in answer.split()):
-            if w not in self.vocabulary:
-                self.more.setdefault(w, len(self.vocabulary) + len(self.more))
-        self.windows, self.of, self.runs = [], [], []
+            more.setdefault(w, len(more))
+        self.windows, self.of = [], []
         for t, words in enumerate(self.texts):
             for start in range(0, max(1, len(words) - RUN + 1), WINDOW - RUN):
                 stop = min(start + WINDOW, len(words))
@@ -87,10 +85,14 @@ class Items:
         for k, w in enumerate(self.windows):
             rare = w[np.lexsort((w, df[w]))][: len(w) - self.common[k] + self.demand[k]]
             post.append(np.unique(rare).astype(np.int64) << 32 | k)
+        self._post(post, len(df))
+        self.padded = np.stack([np.pad(w, (0, WINDOW - len(w)), constant_values=-1) for w in self.windows])
+
+    def _post(self, post: list[np.ndarray], n_words: int) -> None:
+        """The windows by word: ``post`` has word and window in one number."""
         post = np.sort(np.concatenate(post))
         self.keys = (post & 0xFFFFFFFF).astype(np.int32)
-        self.key_end = np.searchsorted(post >> 32, np.arange(len(self.vocabulary) + 1))
-        self.padded = np.stack([np.pad(w, (0, WINDOW - len(w)), constant_values=-1) for w in self.windows])
+        self.key_end = np.searchsorted(post >> 32, np.arange(n_words + 1))
 
     def cosine(self, windows: np.ndarray, spans: np.ndarray) -> np.ndarray:
         """Cosine in the latent space; a foreign word has a direction of its own."""
@@ -106,8 +108,10 @@ class Items:
         vectors = np.stack([self.terms[w].sum(0) for w in self.windows])
         self.unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
 
-    def bounds(self) -> None:
-        """The least cosine that a run of each window has with it."""
+    def bounds(self, df: np.ndarray) -> None:
+        """The least cosine that a run of each window has with it, and the windows that hold each word."""
+        self.rarity = np.argsort(np.lexsort((np.arange(len(df)), df))).astype(np.int32)  # 0 is the rarest
+        self._post([np.unique(w).astype(np.int64) << 32 | k for k, w in enumerate(self.windows)], len(df))
         least = []
         for w, u in zip(self.windows, self.unit):
             runs, ok = self.run_vectors(w)
@@ -221,22 +225,28 @@ def _search(items, paraphrases: bool):
     return hits
 
 
+#: Runs and windows that are compared at a time.
+_PAIRS = 100_000
+
+
 def _leaks(it: Items, ids, of, words: np.ndarray) -> set:
     found = set()
     runs, ok = it.run_vectors(words)
     grams = np.lib.stride_tricks.sliding_window_view(words, RUN)
-    for s in range(0, len(runs), 2048):
-        near = (runs[s : s + 2048] @ it.unit.T >= it.least) | ~ok[s : s + 2048, None]
-        r, w = near.nonzero()
-        for c in range(0, len(r), 100_000):  # longest common run: is the whole window there?
-            g, p = grams[s + r[c : c + 100_000]], it.padded[w[c : c + 100_000]]
-            hit = np.zeros(len(g), bool)
-            for shift in range(it.padded.shape[1] - RUN + 1):
-                part = p[:, shift] == g[:, 0]
-                if part.any():
-                    (k,) = part.nonzero()
-                    hit[k] |= (p[k, shift : shift + RUN] == g[k]).all(1)
-            found.update((i,) for i in ids[of[w[c : c + 100_000][hit]]])
+    rarest = grams[np.arange(len(grams)), it.rarity[grams].argmin(1)]  # a window that holds the run holds this word
+    n = it.key_end[rarest + 1] - it.key_end[rarest]
+    bounds = np.searchsorted(np.cumsum(n), np.arange(_PAIRS, n.sum(), _PAIRS), "left")
+    for part in np.split(np.arange(len(grams)), np.unique(bounds)):
+        m = n[part]
+        r = np.repeat(part, m)
+        w = it.keys[np.repeat(it.key_end[rarest[part]], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)]
+        near = (np.einsum("ij,ij->i", runs[r], it.unit[w]) >= it.least[w]) | ~ok[r]
+        g, p, w = grams[r[near]], it.padded[w[near]], w[near]
+        hit = np.zeros(len(g), bool)  # longest common run: is the whole of the run there?
+        for shift in range(it.padded.shape[1] - RUN + 1):
+            (k,) = (p[:, shift] == g[:, 0]).nonzero()
+            hit[k] |= (p[k, shift : shift + RUN] == g[k]).all(1)
+        found.update((i,) for i in ids[of[w[hit]]])
     return found
 
 
@@ -298,7 +308,7 @@ def _candidates(it: Items, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _paraphrases(it: Items, ids, of, words: np.ndarray) -> list:
     """Items a window of which has most of its words, in order, in a span of WINDOW words."""
     best: dict = {}
-    text, words = words, np.where(words < len(it.vocabulary), words, -1)
+    text, words = words, np.where(words < len(it.terms), words, -1)
     for a, b in _near(words, it.least_common):
         part = words[a:b]
         spans = np.lib.stride_tricks.sliding_window_view(part, min(WINDOW, len(part)))
@@ -314,13 +324,11 @@ def _paraphrases(it: Items, ids, of, words: np.ndarray) -> list:
             (hit,) = (share == top[texts]).nonzero()
             for t, x, y, z in zip(texts[hit], share[hit], n[hit], it.cosine(w[hit], spans[s[hit]])):
                 best[ids[t]] = max(best.get(ids[t], (0.0, 0, 0.0, 0)), (float(x), int(y), float(z), int(t)))
-    names = None
     out = []
     for item, (share, n, cosine, t) in best.items():
-        names = names or {i: x for x, i in (it.vocabulary | it.more).items()}
-        said = f" {' '.join(names.get(i, '_') for i in text)} "
-        answer = it.answers[t]
-        out.append((item, cosine, n, share, bool(answer) and f" {answer} " in said))
+        answer = it.answer_words[t]
+        at = np.flatnonzero(text[: len(text) - len(answer) + 1] == answer[0]) if 0 < len(answer) <= len(text) else ()
+        out.append((item, cosine, n, share, any((text[k : k + len(answer)] == answer).all() for k in at)))
     return out
 
 
@@ -336,27 +344,29 @@ def _blocks(items: DataFrame) -> Iterator[pd.DataFrame]:
 def _retrieve(docs: DataFrame, items: DataFrame, paraphrases: bool, schema: str) -> DataFrame:
     spark = docs.sparkSession
     found = spark.createDataFrame([], schema)
-    documents = None
-    for rows in _blocks(items):
-        it = Items(rows)
-        if not it.windows:
-            continue
-        least = it.least_common if paraphrases else None
-        known = spark.sparkContext.broadcast(it.vocabulary | it.more if paraphrases else it.vocabulary)
-        words = cut(keyed(docs, "doc_id", "text").mapInPandas(_passages(known, len(it.vocabulary), least), "kind int, id long, n long, words binary"))
-        passages = words.filter("kind = 0").select("id", "words")
-        documents = documents or docs.count()
-        df = np.zeros(len(it.vocabulary))
-        counted = words.filter("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).toPandas()  # at most one row a word of the block
-        df[counted.id.to_numpy(int)] = counted.n
-        idf = np.log((1 + documents) / (1 + df)) + 1
-        own = spark.createDataFrame(pd.DataFrame({"id": -1, "words": [w.tobytes() for w in it.windows]}), "id long, words binary")
-        basis = latent_basis(passages.unionByName(own), idf, least)
+    vocabulary, more = {}, {}
+    blocks = [it for rows in _blocks(items) if (it := Items(rows, vocabulary, more)).windows]
+    if not blocks:
+        return found
+    size = len(vocabulary)
+    numbers = vocabulary | {w: size + i for w, i in more.items() if w not in vocabulary} if paraphrases else vocabulary
+    least = min(it.least_common for it in blocks) if paraphrases else None
+    known = spark.sparkContext.broadcast(numbers)
+    words = cut(keyed(docs, "doc_id", "text").mapInPandas(_passages(known, size, least), "kind int, id long, n long, words binary"))
+    passages = words.filter("kind = 0").select("id", "words")
+    df = np.zeros(size)
+    counted = words.filter("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).toPandas()  # at most one row a word of the items
+    df[counted.id.to_numpy(int)] = counted.n
+    idf = np.log((1 + docs.count()) / (1 + df)) + 1
+    own = spark.createDataFrame(pd.DataFrame({"id": -1, "words": [w.tobytes() for it in blocks for w in it.windows]}), "id long, words binary")
+    basis = latent_basis(passages.unionByName(own), idf, least)
+    for it in blocks:
         if paraphrases:
             it.keyed(df)
+            it.answer_words = [np.array([numbers[w] for w in answer.split()], np.int32) for answer in it.answers]
         it.latent(idf, basis)
         if not paraphrases:
-            it.bounds()
+            it.bounds(df)
         found = found.unionByName(passages.mapInPandas(_search(spark.sparkContext.broadcast(it), paraphrases), schema))
     return found
 
