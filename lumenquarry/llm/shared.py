@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
 import re
-import shutil
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import folders
+
 #: A word is a maximal run of letters and digits; the underscore is neither.
 WORD = re.compile(r"[^\W_]+")
 
@@ -22,36 +20,26 @@ SPACE = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPACES = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees; a temporary one only on one machine where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="lumenquarry-")
-        spark.conf.set("spark.checkpoint.dir", found)
-        atexit.register(shutil.rmtree, found, True)
-    return found.rstrip("/")
+_written: list[tuple[SparkSession, str]] = []
 
 
 def cut(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back, so that a lost
-    executor costs a read and not the whole lineage. The table goes when the session ends."""
+    executor costs a read and not the whole lineage. The table goes when the session ends, or with
+    ``release``."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
+    path = folders.fresh(spark, "table")
+    _written.append((spark, path))
     schema = df.schema
     (df.coalesce(partitions) if partitions else df).write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session is gone; the folder is the cluster's to clean
-        pass
+def release() -> None:
+    """Remove all tables that ``cut`` has written: for long sessions, once the results that read them
+    are stored elsewhere."""
+    while _written:
+        folders.remove(*_written.pop())
 
 
 #: Members of a class that join in one task.
