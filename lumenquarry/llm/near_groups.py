@@ -193,9 +193,9 @@ def _hot_pairs(keys: DataFrame, hot: DataFrame, sig: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, class) of every document with at least three words, and (class, rep, sig)."""
+    """(doc_id, class) of every document with at least three words, and (class, rep, sig, n)."""
     signed = cut(keyed(docs, "doc_id", "text").mapInPandas(_signatures, "doc_id long, class binary, sig binary"))
-    reps = signed.groupBy("class").agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig"))
+    reps = signed.groupBy("class").agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig"), F.count("*").alias("n"))
     return signed.select("doc_id", "class"), cut(reps)
 
 
@@ -241,10 +241,10 @@ def document_pairs(docs: DataFrame) -> DataFrame:
     without doc_id have no pair; a repeated doc_id is no pair with itself."""
     members, reps = classes(docs)
     pairs = class_pairs(docs, reps).select("lo", "hi")
-    size = members.groupBy("class").agg(F.countDistinct("doc_id").alias("n"), F.min("doc_id").alias("rep"))
-    same = size.filter("n > 1").select(F.col("rep").alias("lo"), F.col("rep").alias("hi"))
+    sizes = reps.select("rep", "n")
+    same = sizes.filter("n > 1").select(F.col("rep").alias("lo"), F.col("rep").alias("hi"))
     member = members.distinct().join(reps.select("class", "rep"), "class").select("doc_id", "rep")
-    all_ = expanded(expanded(pairs.unionByName(same), member.toDF("x", "lo"), "lo"), member.toDF("y", "hi"), "hi")
+    all_ = expanded(expanded(pairs.unionByName(same), member.toDF("x", "lo"), "lo", sizes), member.toDF("y", "hi"), "hi", sizes)
     return all_.filter("(lo <> hi AND x <> y) OR x < y").select(F.least("x", "y").alias("doc_id_lo"), F.greatest("x", "y").alias("doc_id_hi"))
 
 

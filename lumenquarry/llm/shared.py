@@ -46,10 +46,10 @@ def release() -> None:
 CLASS_BLOCK = 10_000
 
 
-def expanded(pairs: DataFrame, members: DataFrame, on: str, block: int = CLASS_BLOCK) -> DataFrame:
+def expanded(pairs: DataFrame, members: DataFrame, on: str, sizes: DataFrame, block: int = CLASS_BLOCK) -> DataFrame:
     """``pairs`` joined with all ``members`` of the class in column ``on``. A class of more than
-    ``block`` members is joined in blocks, so that a hot one is many tasks."""
-    big = members.groupBy(on).agg(F.count("*").alias("_n")).filter(F.col("_n") > block).select(on, F.ceil(F.col("_n") / block).cast("int").alias("_blocks"))
+    ``block`` members, by ``sizes`` (the class, n), is joined in blocks, so that a hot one is many tasks."""
+    big = sizes.toDF(on, "_n").filter(F.col("_n") > block).select(on, F.ceil(F.col("_n") / block).cast("int").alias("_blocks"))
     if big.isEmpty():
         return pairs.join(members, on)
     (other,) = [c for c in members.columns if c != on]

@@ -28,6 +28,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -153,28 +154,42 @@ def key_filter(rows: DataFrame, evaluation: bool, n_keys: int, within: np.ndarra
     return out.view(np.uint64)
 
 
+class _Hashes(dict):
+    """The hash of each word asked for."""
+
+    def __missing__(self, word: str) -> int:
+        found = self[word] = xxhash.xxh3_64_intdigest(word)
+        return found
+
+
+class _Bare(dict):
+    """The hash of each answer's bare form; None for an empty one."""
+
+    def __missing__(self, answer: str) -> int | None:
+        bare = "".join(WORD.findall(answer.lower()))
+        found = self[answer] = xxhash.xxh3_64_intdigest(bare) if bare else None
+        return found
+
+
 def symbol_rows(records: DataFrame, sketch, within, evaluation: bool) -> DataFrame:
     """class, symbols, sample_id; with ``within`` only of records that have a key in it."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts, known = sketch.value, {}
+        counts, known, answered = sketch.value, _Hashes(), _Bare()
         bits = within.value if within is not None else None
         for pdf in batches:
             ids, sizes, answers, words = [], [], [], []
             for sample_id, question, answer in zip(pdf.sample_id, pdf.question, pdf.answer):
-                bare, said = "".join(WORD.findall(answer.lower())), set(WORD.findall(question.lower()))
-                if not bare or not said:
+                bare, said = answered[answer], set(WORD.findall(question.lower()))
+                if bare is None or not said:
                     continue
-                for w in said:
-                    h = known.get(w)
-                    if h is None:
-                        if len(known) > 1_000_000:
-                            known.clear()
-                        h = known[w] = xxhash.xxh3_64_intdigest(w)
-                    words.append(h)
+                words.extend(map(known.__getitem__, said))
                 ids.append(sample_id)
                 sizes.append(len(said))
-                answers.append(xxhash.xxh3_64_intdigest(bare))
+                answers.append(bare)
+            for kept in (known, answered):
+                if len(kept) > 1_000_000:
+                    kept.clear()
             if not ids:
                 continue
             n = np.array(sizes)
@@ -352,7 +367,7 @@ def _loads(bits, hot, shards: int):
         n = Counter()
         for pdf in batches:
             for cls, symbols in zip(pdf["class"], pdf.symbols):
-                n.update(np.unique(_shards_of(cls, symbols, False, bits.value, hot.value, shards)[0]).tolist())
+                n.update(set(_shards_of(cls, symbols, False, bits.value, hot.value, shards)[0].tolist()))
         yield pd.DataFrame({"shard": list(n), "n": list(n.values())}, dtype="int64")
 
     return rows
@@ -367,9 +382,9 @@ def _routed(evaluation: bool, bits, hot, shards: int, split):
             out = []
             for cls, symbols in zip(pdf["class"], pdf.symbols):
                 shard, at, kinds = _shards_of(cls, symbols, evaluation, bits.value, hot.value, shards)
-                for s in np.unique(shard):
+                for s in set(shard.tolist()):
                     own = shard == s
-                    tasks = split.value.get(int(s), (int(s),))
+                    tasks = split.value.get(s, (s,))
                     if not evaluation:
                         tasks = (tasks[int.from_bytes(cls[8:16], "little") % len(tasks)],)
                     out += [(t, 0 if evaluation else 1, cls, symbols, kinds[own].tobytes(), at[own].tobytes()) for t in tasks]
@@ -493,9 +508,16 @@ def _follow(x_class, size, row, at, lo, hi, index: BackwardIndex, y_class, words
     )
 
 
-def class_matches(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+class Side(NamedTuple):
+    """The members (class, sample_id) of a side, and the rows (class, n) of each class."""
+
+    members: DataFrame
+    sizes: DataFrame
+
+
+def class_matches(records: DataFrame) -> tuple[DataFrame, Side, Side]:
     """Matches (x, y, n_common, n_either, n_spans, longest_run) of training class x and evaluation
-    class y, and the members (class, sample_id) of either side."""
+    class y, and either side."""
     spark = records.sparkSession
     broadcast = spark.sparkContext.broadcast
     held, train = records.filter("split <> 'train'"), records.filter("split = 'train'")
@@ -505,7 +527,7 @@ def class_matches(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     of_eval = key_filter(eval_rows, True, keys_each * eval_rows.count())
     train_rows = cut(symbol_rows(train, sketch, broadcast(of_eval), False))
     bits = broadcast(key_filter(train_rows, False, keys_each * train_rows.count(), of_eval))
-    one = lambda rows: cut(rows.groupBy("class").agg(F.min("symbols").alias("symbols")))
+    one = lambda rows: cut(rows.groupBy("class").agg(F.min("symbols").alias("symbols"), F.count("*").alias("n")))
     held_classes, train_classes = one(eval_rows), one(train_rows)
     keys = held_classes.select("symbols").mapInPandas(_key_rows(bits), "key long").groupBy("key").agg(F.count("*").alias("n"))
     total, most = keys.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
@@ -514,7 +536,7 @@ def class_matches(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         hot = {r.key: -(-r.n // KEY_ENTRIES) for r in keys.filter(F.col("n") > KEY_ENTRIES).collect()}
     hot = broadcast(hot)
     shards = max(1, -(-total // SHARD_ENTRIES))
-    loads = train_classes.mapInPandas(_loads(bits, hot, shards), "shard long, n long").groupBy("shard").agg(F.sum("n").alias("n"))
+    loads = train_classes.select("class", "symbols").mapInPandas(_loads(bits, hot, shards), "shard long, n long").groupBy("shard").agg(F.sum("n").alias("n"))
     split, tasks = {}, shards
     for r in loads.filter(F.col("n") > SHARD_RECORDS).orderBy("shard").collect():  # at most a shard for SHARD_RECORDS routed records
         more = -(-r.n // SHARD_RECORDS) - 1
@@ -522,8 +544,8 @@ def class_matches(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         tasks += more
     split = broadcast(split)
     shape = "task long, side int, class binary, symbols binary, kinds binary, at binary"
-    y = held_classes.mapInPandas(_routed(True, bits, hot, shards, split), shape)
-    x = train_classes.mapInPandas(_routed(False, bits, hot, shards, split), shape)
+    y = held_classes.select("class", "symbols").mapInPandas(_routed(True, bits, hot, shards, split), shape)
+    x = train_classes.select("class", "symbols").mapInPandas(_routed(False, bits, hot, shards, split), shape)
     found = (
         y.unionByName(x)
         .repartitionById(tasks, F.col("task").cast("int"))
@@ -531,7 +553,7 @@ def class_matches(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         .mapInPandas(_search, "x binary, y binary, n_common long, n_either long, n_spans long, longest_run long")
     )
     member = lambda rows: rows.select("class", "sample_id").distinct()
-    return cut(found), member(train_rows), member(eval_rows)
+    return cut(found), Side(member(train_rows), train_classes.select("class", "n")), Side(member(eval_rows), held_classes.select("class", "n"))
 
 
 def pairs(records: DataFrame) -> DataFrame:
@@ -539,7 +561,7 @@ def pairs(records: DataFrame) -> DataFrame:
     evaluation record with the same non-empty bare answer whose questions share at least
     NUM/DEN of their distinct words. Questions without words match nothing."""
     found, train, held = class_matches(records)
-    both = expanded(expanded(found, train.toDF("x", "train_id"), "x"), held.toDF("y", "eval_id"), "y")
+    both = expanded(expanded(found, train.members.toDF("x", "train_id"), "x", train.sizes), held.members.toDF("y", "eval_id"), "y", held.sizes)
     return both.select("train_id", "eval_id", "n_common", "n_either", "n_spans", "longest_run")
 
 
@@ -552,14 +574,14 @@ def report(records: DataFrame) -> DataFrame:
     of = lambda c: [F.regexp_extract(c, SPLIT, 2).alias("split"), F.regexp_extract(c, SPLIT, 1).alias("source")]
     all_ = records.filter("split <> 'train'").groupBy(*group).agg(F.countDistinct("sample_id").alias("n_records"))
     found, train, held = class_matches(records)
-    size = train.groupBy(F.col("class").alias("x")).agg(F.count("*").alias("n"))
+    size = train.members.groupBy(F.col("class").alias("x")).agg(F.count("*").alias("n"))
     of_class = (
         found.join(size, "x")
         .groupBy(F.col("y").alias("class"))
         .agg(F.sum("n").alias("n"), F.max(F.col("n_common") == F.col("n_either")).alias("same"), F.max("longest_run").alias("run"))
     )
     hits = (
-        held.join(of_class, "class")
+        held.members.join(of_class, "class")
         .groupBy("sample_id")
         .agg(F.sum("n").alias("n"), F.max("same").alias("same"), F.max("run").alias("run"))
         .select(*of("sample_id"), "*")

@@ -1,5 +1,6 @@
 """Small cases of each training-data operator against brute force, exact round trips or rules."""
 
+import os
 import random
 import re
 
@@ -7,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumenquarry.llm import cutoff, eval_leaks, format_copies, near_groups, packing, reply_defects, split_overlap, splitting, subjects
+from lumenquarry.llm import cutoff, eval_leaks, format_copies, near_groups, packing, reply_defects, split_overlap, shared, splitting, subjects
 from lumenquarry.llm.shared import cut, expanded
 
 WORD = re.compile(r"[^\W_]+")
@@ -371,8 +372,9 @@ def test_near_pairs_of_hot_keys(spark, monkeypatch):
 def test_expanded_in_blocks(spark):
     pairs = spark.createDataFrame([(1, 5), (2, 5)], "c long, d long")
     members = spark.createDataFrame([(i, 1 if i < 40 else 2) for i in range(43)], "m long, c long")
-    want = sorted(map(tuple, expanded(pairs, members, "c").select("m", "c", "d").collect()))
-    assert len(want) == 43 and sorted(map(tuple, expanded(pairs, members, "c", 6).select("m", "c", "d").collect())) == want
+    sizes = members.groupBy("c").count()
+    want = sorted(map(tuple, expanded(pairs, members, "c", sizes).select("m", "c", "d").collect()))
+    assert len(want) == 43 and sorted(map(tuple, expanded(pairs, members, "c", sizes, 6).select("m", "c", "d").collect())) == want
 
 
 def test_hamming_guarantee():
@@ -583,5 +585,9 @@ def test_subjects_without_labels(spark):
 # shared
 
 
-def test_cut_keeps_rows(spark):
-    assert cut(spark.range(5)).count() == 5
+def test_cut_keeps_rows_until_released(spark):
+    kept = cut(spark.range(5))
+    path = shared._written[-1][1]
+    assert kept.count() == 5 and os.path.isdir(path)
+    shared.release()
+    assert not os.path.exists(path) and not shared._written
