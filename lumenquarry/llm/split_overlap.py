@@ -95,7 +95,7 @@ def word_sketch(records: DataFrame) -> np.ndarray:
     return sketch
 
 
-def key_positions(n: int) -> tuple[int, int]:
+def key_positions(n):
     """How many leading words are shallow, and how many can be the first common one at all."""
     return 3 * n // 17 + 1, n * (DEN - NUM) // DEN + 1
 
@@ -106,17 +106,20 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _keys(symbols: np.ndarray, evaluation: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of a record, the positions they stand for and their kinds. Kind 0: both shallow; 1: only
-    the evaluation record shallow; 2: only the training record."""
-    shallow, last = key_positions(len(symbols))
-    shallow = min(shallow, last)
-    head, deep = symbols[:shallow], symbols[shallow:last]
+def _keys(symbols, evaluation: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, key, position and kind of all keys of some records. Kind 0: both shallow; 1: only the
+    evaluation record shallow; 2: only the training record."""
+    n = np.array([len(s) // 8 for s in symbols])
+    flat = np.frombuffer(b"".join(symbols), np.uint64)
+    row = np.repeat(np.arange(len(n)), n)
+    at = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+    last = np.repeat(key_positions(n)[1], n)
+    shallow = np.minimum(np.repeat(key_positions(n)[0], n), last)
+    (head,), (deep,) = np.nonzero(at < shallow), np.nonzero((at >= shallow) & (at < last))
     other, own = (1, 2) if evaluation else (2, 1)
-    keys = np.concatenate([_mix(head), _mix(head + _KIND[other]), _mix(deep + _KIND[own])])
-    at = np.arange(last)
-    kinds = np.repeat(np.array([0, other, own], np.uint8), [shallow, shallow, last - shallow])
-    return keys, np.concatenate([at[:shallow], at[:shallow], at[shallow:]]), kinds
+    keys = np.concatenate([_mix(flat[head]), _mix(flat[head] + _KIND[other]), _mix(flat[deep] + _KIND[own])])
+    place = np.concatenate([head, head, deep])
+    return row[place], keys, at[place].astype(np.int32), np.repeat(np.array([0, other, own], np.uint8), [len(head), len(head), len(deep)])
 
 
 def _mask(keys: np.ndarray) -> np.ndarray:
@@ -143,7 +146,7 @@ def key_filter(rows: DataFrame, evaluation: bool, n_keys: int, within: np.ndarra
         for pdf in batches:
             if not len(pdf):
                 continue
-            h = np.concatenate([_keys(np.frombuffer(s, np.uint64), evaluation)[0] for s in pdf.symbols])
+            h = _keys(pdf.symbols, evaluation)[1]
             if within is not None:
                 h = h[_inside(within, h)]
             yield pd.DataFrame({"cell": _filter_cell(h, cells), "b": _mask(h).view(np.int64)})
@@ -337,38 +340,39 @@ def _key_rows(bits):
         inside = bits.value
         for pdf in batches:
             if len(pdf):
-                k = np.concatenate([_keys(np.frombuffer(v, np.uint64), True)[0] for v in pdf.symbols])
+                k = _keys(pdf.symbols, True)[1]
                 yield pd.DataFrame({"key": k[_inside(inside, k)].view(np.int64)})
 
     return rows
 
 
-def _shards_of(cls: bytes, symbols: bytes, evaluation: bool, inside, blocks_of: dict, shards: int):
-    """Shard, position and kind of each key of a record that is in the filter. A hot key has several
-    blocks: an evaluation record is in one of them, a training record meets all."""
-    keys, at, kinds = _keys(np.frombuffer(symbols, np.uint64), evaluation)
+def _shards_of(rows: pd.DataFrame, evaluation: bool, inside, blocks_of: dict, shards: int):
+    """Row, shard, position and kind of each key of the records that is in the filter. A hot key has
+    several blocks: an evaluation record is in one of them, a training record meets all."""
+    row, keys, at, kinds = _keys(rows.symbols, evaluation)
     ok = _inside(inside, keys)
-    keys, at, kinds = keys[ok], at[ok].astype(np.int32), kinds[ok]
+    row, keys, at, kinds = row[ok], keys[ok], at[ok], kinds[ok]
     block = np.zeros(len(keys), np.uint64)
     if blocks_of:
         n = np.array([blocks_of.get(k, 1) for k in keys.view(np.int64).tolist()], np.int64)
         if evaluation:
-            block = np.uint64(int.from_bytes(cls[:8], "little")) % n.astype(np.uint64)
+            own = np.array([int.from_bytes(c[:8], "little") for c in rows["class"]], np.uint64)
+            block = own[row] % n.astype(np.uint64)
         else:
-            keys, at, kinds = np.repeat(keys, n), np.repeat(at, n), np.repeat(kinds, n)
+            row, keys, at, kinds = (np.repeat(v, n) for v in (row, keys, at, kinds))
             block = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)).astype(np.uint64)
-    return (_mix(keys + block * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(shards)).astype(np.int64), at, kinds
+    return row, (_mix(keys + block * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(shards)).astype(np.int64), at, kinds
 
 
 def _loads(bits, hot, shards: int):
     """How many training records go to each shard."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n = Counter()
         for pdf in batches:
-            for cls, symbols in zip(pdf["class"], pdf.symbols):
-                n.update(set(_shards_of(cls, symbols, False, bits.value, hot.value, shards)[0].tolist()))
-        yield pd.DataFrame({"shard": list(n), "n": list(n.values())}, dtype="int64")
+            if len(pdf):
+                row, shard, _, _ = _shards_of(pdf, False, bits.value, hot.value, shards)
+                found, n = np.unique(np.unique(row * shards + shard) % shards, return_counts=True)
+                yield pd.DataFrame({"shard": found, "n": n})
 
     return rows
 
@@ -378,16 +382,20 @@ def _routed(evaluation: bool, bits, hot, shards: int, split):
     tasks of the shards that several search: an evaluation record is in all, a training record in one."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tasks_of = split.value
         for pdf in batches:
-            out = []
-            for cls, symbols in zip(pdf["class"], pdf.symbols):
-                shard, at, kinds = _shards_of(cls, symbols, evaluation, bits.value, hot.value, shards)
-                for s in set(shard.tolist()):
-                    own = shard == s
-                    tasks = split.value.get(s, (s,))
-                    if not evaluation:
-                        tasks = (tasks[int.from_bytes(cls[8:16], "little") % len(tasks)],)
-                    out += [(t, 0 if evaluation else 1, cls, symbols, kinds[own].tobytes(), at[own].tobytes()) for t in tasks]
+            if not len(pdf):
+                continue
+            row, shard, at, kinds = _shards_of(pdf, evaluation, bits.value, hot.value, shards)
+            order = np.lexsort((shard, row))
+            row, shard, at, kinds = row[order], shard[order], at[order].tobytes(), kinds[order].tobytes()
+            first = np.flatnonzero(np.diff(row * shards + shard, prepend=-1))
+            cls, symbols, side, out = pdf["class"].tolist(), pdf.symbols.tolist(), 0 if evaluation else 1, []
+            for a, b, i, s in zip(first.tolist(), [*first[1:].tolist(), len(row)], row[first].tolist(), shard[first].tolist()):
+                tasks = tasks_of.get(s, (s,))
+                if not evaluation:
+                    tasks = (tasks[int.from_bytes(cls[i][8:16], "little") % len(tasks)],)
+                out += [(t, side, cls[i], symbols[i], kinds[a:b], at[4 * a : 4 * b]) for t in tasks]
             yield pd.DataFrame(out, columns=["task", "side", "class", "symbols", "kinds", "at"])
 
     return rows
