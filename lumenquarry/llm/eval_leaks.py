@@ -35,6 +35,8 @@ from .shared import WORD, cut, keyed
 RUN, WINDOW, RANK, EXTRA, POWER_STEPS = 12, 24, 48, 8, 1
 #: Items of a block; with ITEM_WORDS words of an item at most, a block's tables stay small.
 BLOCK_ITEMS, ITEM_WORDS = 4000, 5000
+#: Documents that one task compares with a block, in the search for paraphrases.
+DOCUMENTS_PER_TASK = 10_000
 #: Share of a window's words in the common subsequence with a paraphrase.
 PARAPHRASE_SHARE = 0.7
 #: Words from one window for paraphrases to the next, and how many rare words find one.
@@ -357,9 +359,12 @@ def _retrieve(docs: DataFrame, items: DataFrame, paraphrases: bool, schema: str)
     df = np.zeros(size)
     counted = words.filter("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).toPandas()  # at most one row a word of the items
     df[counted.id.to_numpy(int)] = counted.n
-    idf = np.log((1 + docs.count()) / (1 + df)) + 1
+    documents = docs.count()
+    idf = np.log((1 + documents) / (1 + df)) + 1
     own = spark.createDataFrame(pd.DataFrame({"id": -1, "words": [w.tobytes() for it in blocks for w in it.windows]}), "id long, words binary")
     basis = latent_basis(passages.unionByName(own), idf, least)
+    if paraphrases:  # few bytes and much work: tasks are made by documents
+        passages = passages.repartition(max(2 * spark.sparkContext.defaultParallelism, documents // DOCUMENTS_PER_TASK))
     for it in blocks:
         if paraphrases:
             it.keyed(df)

@@ -36,6 +36,8 @@ LEAST_SHARE = 0.25
 MIN_SUPPORT, MIN_COUNT, MIN_CONFIDENCE, RULE_WORDS = 0.001, 4, 0.5, 4
 #: A longer rule is redundant unless it is surer by this much than all shorter ones within it.
 GAIN = 0.05
+#: Documents in which a word must stand to be an item.
+MIN_DOCUMENTS = 2
 #: Pseudo-counts that draw a rate towards the class's share.
 SHRINK = 4.0
 #: Log odds and share of one class from which a word is an item, and statement evidence to be assigned.
@@ -143,7 +145,8 @@ def fit(docs: DataFrame, labels: DataFrame, areas: DataFrame, cases: DataFrame)
     parts = [(list(statements(t, usual)), [number[s] for s in subjects]) for t, subjects in zip(sample.text, sample.subjects)]
     said_of_none = [s for r in rows.itertuples(index=False) for t in r if isinstance(t, str) for s in statements(t, usual)]
     said_of_none = said_of_none[: max(1, int(CASE_SHARE * sum(len(said) for said, _ in parts)))]
-    return _learnt(spark, _told_apart(parts, said_of_none, len(classes)), classes, usual)
+    documents = Counter(w for said, _ in parts for w in {w for s in said for w in s})
+    return _learnt(spark, _told_apart(parts, said_of_none, len(classes)), classes, usual, {w for w, n in documents.items() if n < MIN_DOCUMENTS})
 
 
 def _lifts(counts: dict[str, list[float]], prior: list[float]) -> dict[str, list[float]]:
@@ -203,8 +206,9 @@ def _uses(chosen: list[tuple[list[str], int | None]], k: int) -> dict[str, list[
     return uses
 
 
-def _learnt(spark, chosen: list[tuple[list[str], int | None]], classes: list[str], usual: int) -> Model:
-    """Items, rules of them by pattern growth, and the calibration of their evidence."""
+def _learnt(spark, chosen: list[tuple[list[str], int | None]], classes: list[str], usual: int, single: set[str]) -> Model:
+    """Items, rules of them by pattern growth, and the calibration of their evidence. Words in ``single`` stand
+    in too few documents to tell a subject from a document."""
     k = len(classes)
     uses, seen = _uses(chosen, k), [1.0] * k
     for _, c in chosen:
@@ -216,15 +220,15 @@ def _learnt(spark, chosen: list[tuple[list[str], int | None]], classes: list[str
         """Whether a word raises the odds of a class that has a good share of it; odds, so that a class of most statements can have words too."""
         return n[k] >= MIN_COUNT and max(n[:k]) >= ITEM_SHARE * n[k] and any(_weight(n[c], n[k], p) >= ITEM_LIFT for c, p in enumerate(prior))
 
-    items = {w: int(n[k]) for w, n in uses.items() if not w.isdigit() and telling(n)}
+    items = {w: int(n[k]) for w, n in uses.items() if not w.isdigit() and w not in single and telling(n)}
     baskets = []
     for s, c in chosen:
         told = {w for w in s if w in items}
         if told:
             baskets.append((told, c))
     # What growth counts first are the single words; of these, rules need no support but MIN_COUNT.
-    single = {(frozenset([w]), c): (uses[w][c], uses[w][k]) for w in items for c in range(k) if uses[w][c] >= MIN_CONFIDENCE * uses[w][k]}
-    rules = _pruned(single | _mine(spark, baskets, len(chosen)), prior)
+    alone = {(frozenset([w]), c): (uses[w][c], uses[w][k]) for w in items for c in range(k) if uses[w][c] >= MIN_CONFIDENCE * uses[w][k]}
+    rules = _pruned(alone | _mine(spark, baskets, len(chosen)), prior)
     model = Model(classes, rules, usual, items)
     margins, right = [], []
     for s, c in chosen:
