@@ -15,6 +15,16 @@ def inner_product(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def token_probabilities(logits: Column, ids: Column) -> Column:
+    """The softmax probability of each chosen token: ``logits`` has an array over the vocabulary for each."""
+
+    def chosen(row: Column, i: Column) -> Column:
+        top = F.array_max(row)
+        return F.exp(F.get(row, i) - top) / F.aggregate(row, F.lit(0.0), lambda s, x: s + F.exp(x - top))
+
+    return F.zip_with(logits, ids, chosen)
+
+
 def mean_probability(probabilities: Column, fallback: float = 0.5) -> Column:
     """Mean token probability, ``fallback`` where there is none."""
     total = F.aggregate(probabilities, F.lit(0.0), lambda s, x: s + F.coalesce(x.cast("double"), F.lit(0.0)))

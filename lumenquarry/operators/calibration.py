@@ -191,6 +191,18 @@ def fit_isotonic(results: DataFrame) -> tuple[list[float], list[float]]:
     return [float(x) for x in model.boundaries], [float(y) for y in model.predictions]
 
 
+def transfer(fitted: DataFrame, tested: DataFrame) -> DataFrame:
+    """method, ece_raw, ece_calibrated, improvement on results that the scalers were not fitted on."""
+    from ..functions.arrays import isotonic, platt
+
+    c = F.col("confidence")
+    by = tested.filter("confidence IS NOT NULL")
+    scaled = {"platt": platt(c, *fit_platt(fitted)), "isotonic": isotonic(c, *fit_isotonic(fitted))}
+    raw = float(ece(by).first().ece)
+    rows = [(m, raw, e := float(ece(by.withColumn("confidence", x)).first().ece), round(raw - e, 6)) for m, x in scaled.items()]
+    return fitted.sparkSession.createDataFrame(rows, "method string, ece_raw double, ece_calibrated double, improvement double")
+
+
 def compare_scalers(results: DataFrame) -> DataFrame:
     """method, ece_before, ece_after, chosen: the scaler with the lower error, Platt on a tie."""
     from ..functions.arrays import isotonic, platt

@@ -144,9 +144,10 @@ def flags(summaries: DataFrame, relevance: DataFrame, baseline: str) -> DataFram
     )
 
 
-def progress(results: DataFrame, every: int = 25) -> DataFrame:
-    """Running count, accuracy, abstentions and mean latency of each run by result_id, at every
-    ``every``-th result and the last. A run is summed up in blocks first, so that no task sees
+def progress(results: DataFrame, every: int = 25, batch: int = 1) -> DataFrame:
+    """Running count, accuracy, abstentions, mean latency and minutes to go of each run by result_id, at
+    every ``every``-th result and the last; with results that come in batches, at the first
+    ``batch`` counts from there on. A run is summed up in blocks first, so that no task sees
     more than one block and the (small) list of blocks."""
     block = 100_000
     numbered = results.withColumn("_b", F.floor(F.col("result_id") / block))
@@ -170,9 +171,10 @@ def progress(results: DataFrame, every: int = 25) -> DataFrame:
             run(F.col("hit").cast("int"), "_h0").alias("n_correct"),
             run((F.col("decision") == "abstain").cast("int"), "_a0").alias("n_abstained"),
             F.round(F.try_divide(lat, nlat), 4).alias("mean_latency"),
+            F.round(F.try_divide(lat, nlat) * (F.col("_all") - run(one, "_n0")) / 60, 2).alias("minutes_to_go"),
             "_all",
         )
-        .filter((F.col("done") % every == 0) | (F.col("done") == F.col("_all")))
+        .filter((F.col("done") % every < batch) | (F.col("done") == F.col("_all")))
         .withColumn("accuracy", F.round(F.col("n_correct") / F.col("done"), 6))
         .drop("_all")
     )

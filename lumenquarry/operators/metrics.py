@@ -31,6 +31,14 @@ def by_type(results: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def type_counts(results: DataFrame, *keys: str) -> DataFrame:
+    """total, closed, open, and unknown: what is neither."""
+    kind = lambda k: F.count_if(F.col("answer_type") == k)
+    return results.groupBy(*keys).agg(
+        F.count("*").alias("total"), kind("closed").alias("closed"), kind("open").alias("open"), (F.count("*") - kind("closed") - kind("open")).alias("unknown")
+    )
+
+
 def confusion(results: DataFrame, *keys: str) -> DataFrame:
     """tp, tn, fp, fn with yes as positive; rows where either side is neither yes nor no are
     counted as excluded."""

@@ -332,6 +332,22 @@ def running_progress(spark, d):
     return compare.progress(per_sample(spark, d), 25)
 
 
+@query
+def benchmark_progress(spark, d):
+    return compare.progress(per_sample(spark, d), 50, 4)
+
+
+@query
+def type_counts(spark, d):
+    return metrics.type_counts(per_sample(spark, d), "run_id")
+
+
+@query
+def transfer_ece(spark, d):
+    r = per_sample(spark, d).filter("confidence BETWEEN 0 AND 1")
+    return calibration.transfer(r.filter("run_id = 'agent_a'"), r.filter("run_id = 'agent_b'"))
+
+
 @query
 def resume_remaining(spark, d):
     done = per_sample(spark, d).filter("run_id = 'agent_a'")

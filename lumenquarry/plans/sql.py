@@ -329,6 +329,14 @@ _BINOMIAL = f"least(1.0, list_sum(list_filter(list_transform(range(0, b + c + 1)
 # erfc by Simpson's rule over 2,000 steps
 _TAIL = "greatest(0.0, 1 - 2 / sqrt(pi()) * z / 6000 * list_sum(list_transform(range(0, 2001), lambda i: (CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-pow(z * i / 2000, 2)))))"
 
+
+def _progress(every: int, batch: int) -> str:
+    return f"""WITH {PS}, w AS (SELECT run_id, result_id, row_number() OVER r AS done, count(*) FILTER (WHERE hit) OVER r AS n_correct, count(*) FILTER (WHERE decision = 'abstain') OVER r AS n_abstained,
+          avg(latency_seconds) OVER r AS m, count(*) OVER (PARTITION BY run_id) AS n FROM ps WINDOW r AS (PARTITION BY run_id ORDER BY result_id ROWS UNBOUNDED PRECEDING))
+        SELECT run_id, result_id, done, n_correct, n_abstained, round(m, 4) AS mean_latency, round(m * (n - done) / 60, 2) AS minutes_to_go, round(n_correct / CAST(done AS DOUBLE), 6) AS accuracy
+        FROM w WHERE done % {every} < {batch} OR done = n"""
+
+
 SQL: dict[str, str] = {
     "mcnemar_test": f"""WITH {PAIRS}, n AS (SELECT run_id, count(*) FILTER (WHERE hit AND NOT b_hit) AS b, count(*) FILTER (WHERE NOT hit AND b_hit) AS c FROM pairs GROUP BY run_id),
         s AS (SELECT *, CASE WHEN b + c >= 25 THEN pow(abs(b - c) - 1, 2) / (b + c) ELSE 0.0 END AS st FROM n), y AS (SELECT *, sqrt(st / 2) AS z FROM s),
@@ -454,9 +462,10 @@ SQL: dict[str, str] = {
     "report_flags": f"""WITH {_SUMMARY}, {_REL}
         SELECT run_id, abstention_rate > 0.25 AS high_abstention, {ratio('n_relevant', 'n_answered')} < 0.5 AS low_citation_relevance, open_accuracy < 0.30 AS low_open_accuracy, ece > 0.15 AS high_ece,
           overall_accuracy < (SELECT overall_accuracy FROM summary WHERE run_id = '{BASELINE}') AS grounding_hurt FROM summary LEFT JOIN rel USING (run_id)""",
-    "running_progress": f"""WITH {PS}, w AS (SELECT run_id, result_id, row_number() OVER r AS done, count(*) FILTER (WHERE hit) OVER r AS n_correct, count(*) FILTER (WHERE decision = 'abstain') OVER r AS n_abstained,
-          avg(latency_seconds) OVER r AS m, count(*) OVER (PARTITION BY run_id) AS n FROM ps WINDOW r AS (PARTITION BY run_id ORDER BY result_id ROWS UNBOUNDED PRECEDING))
-        SELECT run_id, result_id, done, n_correct, n_abstained, round(m, 4) AS mean_latency, round(n_correct / CAST(done AS DOUBLE), 6) AS accuracy FROM w WHERE done % 25 = 0 OR done = n""",
+    "running_progress": _progress(25, 1),
+    "benchmark_progress": _progress(50, 4),
+    "type_counts": f"""WITH {PS} SELECT run_id, count(*) AS total, count(*) FILTER (WHERE answer_type = 'closed') AS closed, count(*) FILTER (WHERE answer_type = 'open') AS open,
+        count(*) FILTER (WHERE answer_type NOT IN ('closed', 'open')) AS unknown FROM ps GROUP BY run_id""",
     "resume_remaining": f"""WITH {PS}, {VS} SELECT sample_id FROM vs WHERE regexp_matches(sample_id, '_(val|test)_') AND sample_id NOT IN (SELECT sample_id FROM ps WHERE run_id = 'agent_a' AND sample_id IS NOT NULL)""",
     "kg_attribute_docs": f"WITH {_TRIPLES} {_ATTRIBUTE_DOCS}",
     "kg_summary_docs": f"WITH {_TRIPLES} {_SUMMARY_DOCS}",

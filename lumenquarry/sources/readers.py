@@ -122,7 +122,13 @@ def result_files(spark: SparkSession, pattern: str) -> DataFrame:
 
 def sweep_rows(spark: SparkSession, path: str) -> DataFrame:
     """confidence, correct, answer_type of a list of rows; a null type reads open, a row without
-    confidence or correct fails the scan."""
+    confidence or correct fails the scan. A file of sweeps (an object with ``combined``) has no
+    rows; another object is an error."""
+    first = spark.read.text(path).filter("trim(value) <> ''").first()
+    if first and first[0].lstrip().startswith("{"):
+        if "combined" not in spark.read.json(path, multiLine=True).columns:
+            raise ValueError("expected a list of rows or an object with 'combined'")
+        return spark.createDataFrame([], schemas.SWEEP_ROW)
     rows = spark.read.schema(schemas.SWEEP_ROW).json(path, multiLine=True)
     ok = F.assert_true(F.col("confidence").isNotNull() & F.col("correct").isNotNull(), F.lit("confidence and correct are required"))
     return rows.withColumn("_ok", ok).filter("_ok IS NULL").drop("_ok").withColumn("answer_type", F.coalesce("answer_type", F.lit("open")))

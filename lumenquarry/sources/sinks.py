@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from ..operators import retrieval
 
 
+# Bounds (high, low) of a kind for which none was found.
+THRESHOLDS = {"closed": (0.65, 0.20), "open": (0.85, 0.55)}
+
+
 def save_index(documents: DataFrame, folder: str, model: str, dimension: int, version: str = "1.0.0") -> None:
     """Documents as Parquet, partitioned by source, and one row of meta."""
     documents.write.mode("overwrite").partitionBy("source").parquet(f"{folder}/documents")
@@ -75,9 +79,11 @@ def load_calibrator(spark: SparkSession, path: str | None) -> dict | None:
 
 
 def save_thresholds(spark: SparkSession, path: str, best: dict[str, tuple[float, float]], method: str) -> None:
-    """YAML of the best (high, low) pair of each kind."""
+    """YAML of the best (high, low) pair of closed and open; a kind that is missing takes the combined
+    pair, else the default. Other kinds are written too."""
     lines = [f"calibration_method: {method}"]
-    for kind, (high, low) in sorted(best.items()):
+    kinds = {k: best.get(k) or best.get("combined") or v for k, v in THRESHOLDS.items()} | best
+    for kind, (high, low) in sorted(kinds.items()):
         lines += [f"supervisor_{kind}_high_confidence: {high:.2f}", f"supervisor_{kind}_low_confidence: {low:.2f}"]
     _put(spark, path, "\n".join(lines) + "\n")
 

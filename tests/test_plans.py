@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from lumenquarry.functions import arrays
 from lumenquarry.operators import audit, compare, decide, results, retrieval
 from lumenquarry.plans import report
 from lumenquarry.sources import readers, sinks
@@ -140,3 +141,24 @@ def test_ablation_of_the_model_alone(spark):
 @pytest.mark.parametrize(("b", "c", "p"), [(2, 2, 1.0), (10, 2, 0.038574), (30, 10, 0.002663), (0, 0, 1.0)])
 def test_mcnemar_values(b, c, p):
     assert round(compare.mcnemar_p(b, c)[1], 6) == p
+
+
+def test_thresholds_fall_back(spark, tmp_path):
+    sinks.save_thresholds(spark, f"{tmp_path}/t.yaml", {"open": (0.7, 0.3), "combined": (0.6, 0.2)}, "platt")
+    text = (tmp_path / "t.yaml").read_text()
+    assert "closed_high_confidence: 0.60" in text and "open_low_confidence: 0.30" in text
+    sinks.save_thresholds(spark, f"{tmp_path}/u.yaml", {}, "none")
+    assert "closed_high_confidence: 0.65" in (tmp_path / "u.yaml").read_text() and "open_low_confidence: 0.55" in (tmp_path / "u.yaml").read_text()
+
+
+def test_sweep_files(spark, tmp_path):
+    (tmp_path / "b.json").write_text('{"combined": [{"high_t": 0.5}]}')
+    assert readers.sweep_rows(spark, f"{tmp_path}/b.json").count() == 0
+    (tmp_path / "c.json").write_text('{"other": 1}')
+    with pytest.raises(ValueError):
+        readers.sweep_rows(spark, f"{tmp_path}/c.json")
+
+
+def test_token_probabilities(spark):
+    row = spark.createDataFrame([([[1.0, 1.0], [0.0, 0.0, 0.0, 0.0]], [0, 3])], "x array<array<double>>, i array<int>")
+    assert [round(p, 6) for p in row.select(arrays.token_probabilities(F.col("x"), F.col("i"))).first()[0]] == [0.5, 0.25]
