@@ -36,7 +36,7 @@ LEAST_AGREE = int(CHUNKS * PARTS * THRESHOLD - 5 * (CHUNKS * PARTS * THRESHOLD *
 
 #: Classes with a key from which it is hot, and of a block of it; share of the classes by which hot
 #: keys are told (at least, and at least so many classes) and members in that sample. A key that is not
-#: told hot is joined as the others are: the rows are the same.
+#: told hot is joined as the others are.
 HOT, BLOCK, SAMPLE_SHARE, SAMPLE_CLASSES, SAMPLE_LEAST = 2000, 1000, 0.01, 20_000, 20
 
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -200,8 +200,9 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def class_pairs(docs: DataFrame, reps: DataFrame, hot: int = HOT) -> DataFrame:
-    """lo, hi, similarity: representatives of different classes at THRESHOLD or above. ``hot``
-    changes no row but the way to it."""
+    """lo, hi, similarity: representatives of different classes at THRESHOLD or above. Keys of
+    ``hot`` classes or more go through blocks, which lose no pair and may find one that has
+    no second common key."""
     sig = reps.select("rep", "sig")
     keys = sig.mapInPandas(_keys, "key long, rep long")
     hot_keys = cut(_hot_keys(reps, hot))
